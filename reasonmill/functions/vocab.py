@@ -79,27 +79,39 @@ JOINED_WORDS = (
 
 def sensor_key(raw: Column | str) -> Column:
     """Spelling-free form of a sensor name: case, separators and synonyms collapse, axis and modality do not."""
-    text = F.lower(strip(raw))
-    text = F.regexp_replace(text, r"(?U)[^\w^]+|_+", "_")
-    text = F.regexp_replace(text, r"\A_+|_+\z", "")
     synonyms = literal_map(TOKEN_SYNONYMS)
-    key = F.array_join(
-        F.transform(F.split(text, "_"), lambda t: F.coalesce(F.try_element_at(synonyms, t), t)), "_"
+    tokens = F.filter(F.split(F.lower(strip(raw)), r"(?U)[^\w^]+|_+"), lambda t: t != "")
+    return let(
+        F.array_join(
+            F.transform(tokens, lambda t: F.coalesce(F.try_element_at(synonyms, t), t)), "_"
+        ),
+        lambda key: F.when(key.rlike("left_|right_|upper_|linear_"), _joined(key)).otherwise(key),
     )
+
+
+def _joined(key: Column) -> Column:
     for words, joined in JOINED_WORDS:
         key = F.regexp_replace(key, rf"(?<![^_]){words}(?![^_])", joined)
     return key
 
 
 def canonical_sensor(raw: Column | str, sensors: Sequence[str]) -> Column:
-    """``struct<name, resolved>``: the valid sensor with the same key, else the key itself, unresolved."""
+    """``struct<name, resolved>``: the valid sensor with the same key, else the key itself, unresolved.
+
+    Most names are spelled as in the registry, so those are looked up before any key is built.
+    """
+    exact = literal_map({s.lower(): s for s in sensors})
     known = literal_map({_plain_key(s): s for s in sensors})
-    return let(
-        sensor_key(raw),
-        lambda key: F.struct(
-            F.coalesce(F.try_element_at(known, key), key).alias("name"),
-            F.try_element_at(known, key).isNotNull().alias("resolved"),
-        ),
+    found = lambda name: F.struct(name.alias("name"), F.lit(True).alias("resolved"))
+    lower = F.lower(as_column(raw))
+    return F.when(F.map_contains_key(exact, lower), found(F.try_element_at(exact, lower))).otherwise(
+        let(
+            sensor_key(raw),
+            lambda key: F.struct(
+                F.coalesce(F.try_element_at(known, key), key).alias("name"),
+                F.try_element_at(known, key).isNotNull().alias("resolved"),
+            ),
+        )
     )
 
 

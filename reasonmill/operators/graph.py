@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reasonmill.functions.expr import harmonic_mean, let, share
@@ -131,17 +131,18 @@ def parse_success(graphs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def chain_validity_samples(graphs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Shares per sample; samples that failed to parse or have no inference do not appear."""
-    checked = graphs.where("not gen.parse_failed and gen.n_inferences > 0").select(
-        *keys, inference_checks(F.col("gen")).alias("checks")
-    )
+    """Shares per sample, NULL for samples that failed to parse or have no inference."""
+    usable = ~F.col("gen.parse_failed") & (F.col("gen.n_inferences") > 0)
+    checked = graphs.select(*keys, F.when(usable, inference_checks(F.col("gen"))).alias("checks"))
     n = F.size("checks")
     both = share(_count(F.col("checks"), lambda x: x["structural"] & x["names_sensor"]), n)
     return checked.select(
         *keys,
-        share(_count(F.col("checks"), lambda x: x["structural"]), n).alias("rcv_structural"),
-        both.alias("rcv_semantic"),
-        both.alias("rcv_combined"),
+        F.when(F.col("checks").isNotNull(), share(_count(F.col("checks"), lambda x: x["structural"]), n)).alias(
+            "rcv_structural"
+        ),
+        F.when(F.col("checks").isNotNull(), both).alias("rcv_semantic"),
+        F.when(F.col("checks").isNotNull(), both).alias("rcv_combined"),
     )
 
 
@@ -154,10 +155,11 @@ def chain_validity(graphs: DataFrame, keys: Sequence[str], by: Sequence[str] = (
 # ---- coverage ----------------------------------------------------------------------------------------------
 
 
-def _coverage_parts(graphs: DataFrame, activity: str) -> DataFrame:
-    """Coverage per (class, number of observations): samples collapse into a histogram before the class means
-    meet it, so the join is between two small tables whatever the number of samples."""
+def _coverage_parts(graphs: DataFrame, activity: str, by: Sequence[str] = ()) -> DataFrame:
+    """Coverage per (class, number of observations): samples collapse into a histogram, and the class means are a
+    window over that small table, so each sample is read once and no sample meets its class mean in a join."""
     histogram = graphs.groupBy(
+        *by,
         F.col(activity).alias("activity"),
         F.when(~F.col("gen.parse_failed"), F.col("gen.n_observations")).alias("n_obs"),
     ).agg(
@@ -165,27 +167,31 @@ def _coverage_parts(graphs: DataFrame, activity: str) -> DataFrame:
         F.sum(F.when(~F.col("ref.parse_failed"), F.col("ref.n_observations"))).alias("ref_obs"),
         F.count(F.when(~F.col("ref.parse_failed"), 1)).alias("ref_n"),
     )
-    means = histogram.groupBy("activity").agg(
-        share(F.sum("ref_obs"), F.sum("ref_n")).alias("ref_obs_mean")
+    of_class = Window.partitionBy(*by, "activity")
+    means = histogram.withColumn(
+        "ref_obs_mean", share(F.sum("ref_obs").over(of_class), F.sum("ref_n").over(of_class))
     )
-    scored = histogram.where("n_obs is not null").join(means, "activity")
-    return scored.where("ref_obs_mean > 0").withColumn(
+    return means.where("n_obs is not null and ref_obs_mean > 0").withColumn(
         "gc", F.least(share(F.col("n_obs"), F.col("ref_obs_mean")), F.lit(1.0))
     )
 
 
-def coverage_by_class(graphs: DataFrame, activity: str = "gt_activity") -> DataFrame:
-    parts = _coverage_parts(graphs, activity)
-    return parts.groupBy("activity").agg(
+def coverage_by_class(
+    graphs: DataFrame, activity: str = "gt_activity", by: Sequence[str] = ()
+) -> DataFrame:
+    parts = _coverage_parts(graphs, activity, by)
+    return parts.groupBy(*by, "activity").agg(
         share(F.sum(F.col("gc") * F.col("n")), F.sum("n")).alias("gc_mean"),
         F.max("ref_obs_mean").alias("ref_obs_mean"),
         F.sum("n").alias("n_scored"),
     )
 
 
-def coverage(graphs: DataFrame, activity: str = "gt_activity") -> DataFrame:
-    parts = _coverage_parts(graphs, activity)
-    return parts.agg(share(F.sum(F.col("gc") * F.col("n")), F.sum("n")).alias("gc_mean"))
+def coverage(graphs: DataFrame, activity: str = "gt_activity", by: Sequence[str] = ()) -> DataFrame:
+    parts = _coverage_parts(graphs, activity, by)
+    return parts.groupBy(*by).agg(
+        share(F.sum(F.col("gc") * F.col("n")), F.sum("n")).alias("gc_mean")
+    )
 
 
 # ---- grounding ---------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonmill.functions.expr import strings
+from reasonmill.operators.ordering import with_group_position
 from reasonmill.registry import UCIHAR_CLASSES
 from reasonmill.sources.tables import table
 
@@ -151,7 +152,7 @@ def eval_rows(spark: SparkSession, folder: str) -> DataFrame:
     pred_line = (
         F.when(F.col("k") % 13 == 1, None)
         .when(F.col("c") % 17 == 0, "[ACTIVITY]: Break_Dancing\n[ACTIVITY]: walking")
-        .otherwise(F.concat(F.lit("[Activity] : "), guess, F.lit(" today")))
+        .otherwise(F.concat(F.lit("[Activity] : "), guess, F.when(F.col("c") % 2 == 0, " today").otherwise("")))
     )
     reference = _render("gt_obs", "gt_inf", "gt_syn", "gt_syn_text", gt_line)
     generated = _render("pred_obs", "pred_inf", "pred_syn", "pred_syn_text", pred_line)
@@ -164,3 +165,164 @@ def eval_rows(spark: SparkSession, folder: str) -> DataFrame:
         .alias("ground_truth_reasoning"),
         F.when(F.col("c") % 23 == 0, " ").otherwise(generated).alias("generated"),
     )
+
+
+def verdict_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict texts for the candidate pairs of every order, from the relation and not from the trace text.
+
+    Some pairs have no verdict and some an undecided one, as a failing judge would leave them.
+    """
+    rel = orders_relation(spark, folder)
+    k = F.col("k")
+    channel = F.array(*[F.lit(v) for v in (0, 1, 2, 0, 3, 1)])
+    row = lambda kind, i, j, response: F.struct(
+        F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"),
+        response.alias("response"),
+    )
+
+    def pair_up(left: str, right: str, keep, response) -> Column:
+        return F.flatten(
+            F.transform(
+                left,
+                lambda a: F.transform(
+                    F.filter(right, lambda b: keep(a, b)), lambda b: response(a, b)
+                ),
+            )
+        )
+
+    def obs_response(a: Column, b: Column) -> Column:
+        text = (
+            F.when((a["q"] == b["q"]) & (F.abs(a["w"] - b["w"]) <= 1), "yes, the same\nboth agree")
+            .when((7 * a["i"] + b["i"] + k) % 29 == 0, "hard to tell")
+            .when((a["i"] + 2 * b["i"] + k) % 31 == 0, None)
+            .otherwise("NO\nthey differ")
+        )
+        return row("observation", a["i"] - 1, b["i"] - 1, text)
+
+    def inf_response(a: Column, b: Column) -> Column:
+        text = (
+            F.when((a["t"] == b["t"]) & ((k + a["i"] + b["i"]) % 3 != 0), "I would say YES")
+            .when((a["i"] + b["i"] + k) % 7 == 0, "unclear")
+            .otherwise("Nothing in common")
+        )
+        return row("inference", a["i"] - 1, b["i"] - 1, text)
+
+    obs = pair_up(
+        "gt_obs", "pred_obs", lambda a, b: F.get(channel, a["s"]) == F.get(channel, b["s"]), obs_response
+    )
+    inf = pair_up("gt_inf", "pred_inf", lambda a, b: F.lit(True), inf_response)
+    syn = F.when(
+        F.col("gt_syn").isNotNull() & F.col("pred_syn").isNotNull(),
+        F.array(
+            row(
+                "synthesis",
+                F.lit(0),
+                F.lit(0),
+                F.when(F.col("gt_syn_text") == F.col("pred_syn_text"), "YES")
+                .when(k % 9 == 0, "perhaps")
+                .otherwise("no"),
+            )
+        ),
+    ).otherwise(F.slice(inf, 1, 0))
+    return (
+        rel.select(k.cast("string").alias("sample_id"), F.explode(F.concat(obs, inf, syn)).alias("v"))
+        .select("sample_id", "v.*")
+        .where("response is not null")
+    )
+
+
+RAW_ATTRIBUTED = ("Acc_X", "Gyro_Z", "Total_Acc_Y", "AccZ", "Heart_Rate", "")
+
+
+def attribution_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Attribution documents with file names: some without an id, some in both splits, some samples without any."""
+    rel = orders_relation(spark, folder).select("k", "c", "p", "cls")
+    versions = F.when(F.col("k") % 29 == 0, F.array().cast("array<int>")).when(
+        F.col("k") % 10 == 0, F.array(F.lit(0), F.lit(1))
+    ).otherwise(F.array(F.when(F.col("c") % 3 == 0, 1).otherwise(0)))
+    docs = rel.withColumn("v", F.explode(versions))
+    stem = F.format_string(
+        "%s_class%d_%s_s%07d.json",
+        F.when(F.col("v") == 1, "test").otherwise("train"), F.col("cls"),
+        F.replace(F.initcap(_pick(CLASSES, F.col("cls"))), F.lit(" "), F.lit("")), F.col("k"),
+    )
+    regions = F.expr(
+        """transform(filter(sequence(1, 12), r -> r <= (p div 7 + c + v) % 13), r -> named_struct(
+            's', cast((p + k + r * 5 + v) % 6 as int), 'm', cast((p * 3 + c + r * 7) % 11 as int),
+            't', cast((p + r * 29) % 128 as int), 'l', cast((c + r * 17 + p % 50) % 110 + 1 as int)))"""
+    )
+    return docs.withColumn("r", regions).select(
+        F.col("k").cast("string").alias("sample_idx"),
+        _pick(CLASSES, F.col("cls")).alias("activity"),
+        (F.col("p") % 100 / 100.0).alias("confidence"),
+        F.when(F.col("k") % 4 != 0, F.col("c") % 10 / 100.0).alias("attribution_threshold_p90"),
+        F.transform(
+            "r",
+            lambda r: F.struct(
+                _pick(RAW_ATTRIBUTED, r["s"]).alias("sensor"),
+                r["t"].alias("start_t"),
+                (r["t"] + r["l"]).alias("end_t"),
+                r["l"].alias("length"),
+                F.when(r["m"] != 10, r["m"] / 100.0).alias("mean_importance"),
+                (r["m"] / 50.0).alias("max_importance"),
+                (r["t"] + 1).alias("peak_timestep"),
+            ),
+        ).alias("high_attribution_regions"),
+        F.array(
+            F.struct(F.lit("start").alias("phase"), (F.col("p") % 7 / 10.0).alias("importance")),
+            F.struct(F.lit("end").alias("phase"), (F.col("p") % 9 / 10.0).alias("importance")),
+        ).alias("temporal_phase_importance"),
+        F.when(F.col("c") % 31 == 0, F.concat(F.lit("misc_"), F.col("k").cast("string"), F.lit(".json")))
+        .otherwise(stem)
+        .alias("file_name"),
+    )
+
+
+def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each turn of a conversation as reference and the next turn as generated text, both whole."""
+    turns = table(spark, folder, "conversations")
+    after = turns.select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generated")
+    )
+    return turns.join(after, ["conv_id", "turn"]).select(
+        "conv_id", "turn", "role", F.col("text").alias("ground_truth_reasoning"), "generated"
+    )
+
+
+def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document and the next one, if they share the language; texts are whole."""
+    docs = table(spark, folder, "documents")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("text").alias("generated"))
+    return docs.join(after, ["doc_id", "lang"]).select(
+        "doc_id", "lang", F.col("text").alias("ground_truth_reasoning"), "generated"
+    )
+
+
+def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight neighbouring vectors make a sample; even ones are the reference side."""
+    return table(spark, folder, "embeddings").select(
+        F.expr("vec_id div 8").alias("sample_id"),
+        F.when(F.col("vec_id") % 2 == 0, "reference").otherwise("generated").alias("side"),
+        F.expr("(vec_id % 8) div 2").alias("pos"),
+        F.col("embedding").alias("vec"),
+    )
+
+
+def run_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as the log of generation runs, one run per event type, 128 rows a batch."""
+    events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    placed = with_group_position(events, "event_type", ["ts", "event_id"], "seq")
+    flag = lambda c: c.cast("double")
+    return placed.select(
+        F.col("event_type").alias("dataset"),
+        F.col("seq").cast("bigint").alias("seq"),
+        F.expr("cast(seq div 128 as bigint)").alias("batch"),
+        F.floor("value").cast("double").alias("tokens"),
+        (F.floor("value") * 5 + F.col("user_id") % 5).cast("double").alias("chars"),
+        flag(F.col("user_id") % 4 == 0).alias("leak"),
+        flag(F.col("user_id") % 9 == 0).alias("refusal"),
+        flag(F.col("event_id") % 6 == 0).alias("parse_fail"),
+        (F.col("event_id") % 10).cast("double").alias("n_obs"),
+        (F.col("user_id") % 4).cast("double").alias("n_inf"),
+        ((F.col("user_id") % 7 + 1) / 10.0).alias("seconds"),
+    )
