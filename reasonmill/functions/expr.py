@@ -37,7 +37,7 @@ def share(part: Column, whole: Column) -> Column:
 
 def fixed4(c: Column) -> Column:
     """Four decimals for reports; undefined prints as N/A."""
-    return F.coalesce(F.format_string("%.4f", c), F.lit("N/A"))
+    return F.when(c.isNotNull(), F.format_string("%.4f", c)).otherwise("N/A")
 
 
 def defined(c: Column | str) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reasonmill.functions.expr import let, strings
 from reasonmill.schema import as_column
 
 # All characters that count as blank, as a list for trimming and as a class for patterns. The class is spelled out
@@ -86,8 +87,8 @@ ACTIVITY_LINE = rf"(?iudm)\[ACTIVITY\]{BLANK}*:{BLANK}*(.+?)$"
 
 def activity_line(text: Column | str) -> Column:
     """First activity line, stripped; NULL without a marker."""
-    text = as_column(text)
-    return F.when(text.rlike(ACTIVITY_LINE), strip(F.regexp_extract(text, ACTIVITY_LINE, 1)))
+    line = F.regexp_extract(as_column(text), ACTIVITY_LINE, 1)
+    return let(line, lambda found: F.when(found != "", strip(found)))
 
 
 def predicted_activity(text: Column | str, classes: Sequence[str]) -> Column:
@@ -96,17 +97,19 @@ def predicted_activity(text: Column | str, classes: Sequence[str]) -> Column:
     The longest class equal to, or contained in, the activity line; else that line itself. Without a line the
     longest class contained in the whole text; else ``unknown``. Classes of equal length keep their order.
     """
-    text = F.coalesce(as_column(text), F.lit(""))
-    ordered = F.array(*[F.lit(c) for c in sorted(classes, key=lambda c: -len(c))])
+    ordered = strings(sorted(classes, key=lambda c: -len(c)))
 
     def first_in(haystack: Column) -> Column:
         return F.get(F.filter(ordered, lambda c: F.contains(haystack, c)), F.lit(0))
 
-    line = normalise_label(activity_line(text))
-    whole = F.replace(F.lower(text), F.lit("_"), F.lit(" "))
-    return F.when(
-        line.isNotNull(), F.coalesce(first_in(line), F.when(line != "", line), F.lit("unknown"))
-    ).otherwise(F.coalesce(first_in(whole), F.lit("unknown")))
+    def build(t: Column) -> Column:
+        whole = F.replace(F.lower(t), F.lit("_"), F.lit(" "))
+        from_line = lambda line: F.coalesce(first_in(line), F.when(line != "", line))
+        return F.when(t.rlike(ACTIVITY_LINE), let(normalise_label(activity_line(t)), from_line)).otherwise(
+            first_in(whole)
+        )
+
+    return F.coalesce(let(F.coalesce(as_column(text), F.lit("")), build), F.lit("unknown"))
 
 
 def verdict_of(response: Column | str) -> Column:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reasonmill.functions.expr import harmonic_mean, share
+from reasonmill.functions.expr import harmonic_mean, share, strings
 
 UNKNOWN = "unknown"
 
@@ -31,18 +31,12 @@ def pair_counts(
     )
 
 
-def _label_table(df: DataFrame, labels: Sequence[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [(label, i) for i, label in enumerate(labels)], "label string, ordinal int"
-    )
-
-
 def _per_class(counts: DataFrame, labels: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Spread each pair over the label list: rows stay few, as the pair table is already aggregated."""
     label = F.col("label")
     n_where = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     spread = counts.select(
-        "*", F.posexplode(F.array(*[F.lit(c) for c in labels])).alias("ordinal", "label")
+        "*", F.posexplode(strings(labels)).alias("ordinal", "label")
     )
     hit = (F.col("gt") == label) & (F.col("pred") == label)
     sums = spread.groupBy(*by, "ordinal", "label").agg(
@@ -96,9 +90,11 @@ def confusion(
     rows: DataFrame, labels: Sequence[str], gt: str = "gt_activity", pred: str = "predicted_activity"
 ) -> DataFrame:
     """Long confusion matrix with all label pairs; rows with an off-list side are left out."""
-    counts = pair_counts(rows, labels, gt, pred).where("gt is not null and pred is not null")
-    grid = _label_table(rows, labels)
-    cells = grid.select(F.col("label").alias("gt"), F.explode(_literals(labels)).alias("pred"))
+    counts = pair_counts(rows, labels, gt, pred)
+    one = rows.sparkSession.range(1)
+    cells = one.select(F.explode(strings(labels)).alias("gt")).select(
+        "gt", F.explode(strings(labels)).alias("pred")
+    )
     return cells.join(counts.drop("n_equal"), ["gt", "pred"], "left").select(
         "gt", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
@@ -110,7 +106,3 @@ def confusion_matrix(
     """Wide form for reports: one row per true class, one column per predicted class."""
     cells = confusion(rows, labels, gt, pred)
     return cells.groupBy("gt").pivot("pred", list(labels)).agg(F.first("n"))
-
-
-def _literals(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])

@@ -272,7 +272,7 @@ def attribution_rows(spark: SparkSession, folder: str) -> DataFrame:
             F.struct(F.lit("start").alias("phase"), (F.col("p") % 7 / 10.0).alias("importance")),
             F.struct(F.lit("end").alias("phase"), (F.col("p") % 9 / 10.0).alias("importance")),
         ).alias("temporal_phase_importance"),
-        F.when(F.col("c") % 31 == 0, F.concat(F.lit("misc_"), F.col("k").cast("string"), F.lit(".json")))
+        F.when(F.col("c") % 31 == 0, F.format_string("misc_%d_v%d.json", "k", "v"))
         .otherwise(stem)
         .alias("file_name"),
     )
