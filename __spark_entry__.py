@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from oracle_queries import ORACLES
 from reasonmill import registry
 from reasonmill.functions import similarity, text, vocab
@@ -14,6 +18,7 @@ from reasonmill.operators import (
     classification, corpus, graph, matching, ordering, reports, runlog, textquality,
 )
 from reasonmill.plans import evaluate, match
+from reasonmill.session import ship_package
 from reasonmill.sources import derived, documents
 from reasonmill.sources.tables import table
 
@@ -425,11 +430,15 @@ ALL: Sequence[Query] = (
 
 def entry(spark: SparkSession) -> DataFrame:
     """Node rates per class: text to graph to rates."""
-    return tidy(node_rates_by_class(spark, "/root/testdata/sf0.001"))
+    return _tidied(node_rates_by_class)(spark, "/root/testdata/sf0.001")
 
 
 def _tidied(query: Query) -> Query:
-    return lambda spark, sf_dir: tidy(query(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return tidy(query(spark, sf_dir))
+
+    return run
 
 
 def queries() -> dict[str, Query]:

@@ -29,7 +29,8 @@ base AS (
   SELECT *, CAST(k AS VARCHAR) AS sample_id, (p + k) % 9 AS n_gt,
     greatest((p + k) % 9 - k % 3, 0) + c % 2 AS n_pred,
     (k + c) % 4 AS m_gt, (k + c + CASE WHEN c % 5 = 0 THEN 1 ELSE 0 END) % 4 AS m_pred,
-    c % 19 NOT IN (0, 1) AS has_ref, c % 23 <> 0 AS has_gen,
+    c % 19 NOT IN (0, 1) AS has_ref,
+    c % 23 <> 0 AND NOT (n_pred = 0 AND m_pred = 0 AND (k + c) % 17 = 0 AND k % 13 = 1) AS has_gen,
     {CLASSES}[p % 6 + 1] AS gt_activity,
     CASE WHEN c % 23 = 0 OR k % 13 = 1 THEN 'unknown' WHEN c % 17 = 0 THEN 'break dancing'
       ELSE {CLASSES}[CASE WHEN c % 4 = 0 THEN (p + 1) % 6 ELSE p % 6 END + 1] END AS predicted_activity,
@@ -527,6 +528,19 @@ ORACLES = {
         SELECT conv_id, turn, round(CASE WHEN p + q = 0 THEN 0.0 ELSE 2 * p * q / (p + q) END, 6) AS rouge_l FROM pr""",
     "document_term_recall": f"""SELECT a.doc_id, round({_term_recall('a.text', 'b.text', WORDS)}, 6) AS sensor_term_recall
         FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang""",
+    "conditioned_term_recall": _on_relation(
+        """SELECT condition, count(*) AS n, round(avg(r), 6) AS sensor_term_recall
+        FROM recall, unnest(['all', CASE WHEN gt_activity = predicted_activity THEN 'correct' ELSE 'incorrect' END]) AS t(condition)
+        GROUP BY ALL""",
+        """ref_terms AS (SELECT DISTINCT sample_id, s FROM ref_obs WHERE s < 4),
+        gen_terms AS (SELECT DISTINCT sample_id, s FROM gen_obs WHERE s < 4),
+        recall AS (
+          SELECT n.sample_id, n.gt_activity, n.predicted_activity,
+            CASE WHEN count(r.s) > 0 THEN count(g.s) / count(r.s) END AS r
+          FROM n LEFT JOIN ref_terms r USING (sample_id)
+          LEFT JOIN gen_terms g ON g.sample_id = n.sample_id AND g.s = r.s WHERE has_ref GROUP BY ALL
+        )""",
+    ),
     "condition_counts": _on_relation(
         """SELECT count(*) AS n_total_cls, count(*) FILTER (has_ref) AS n_total_text_gt,
         count(*) FILTER (gt_activity = predicted_activity) AS n_correct_activity,
@@ -552,6 +566,13 @@ ORACLES = {
         UNION ALL SELECT sample_id, 'inference', i - 1, j - 1, true, NULL FROM inf_pair
         UNION ALL SELECT sample_id, 'synthesis', 0, 0, true, NULL FROM syn_pair""", MATCH,
     ),
+    "parsed_verdicts": "WITH RECURSIVE "
+    + (RELATION.strip() + ", " + MATCH.strip()).replace("c % 19 NOT IN (0, 1) AS has_ref", "true AS has_ref")
+    .replace("c % 23 <> 0 AND NOT", "true OR NOT")
+    .replace("live AS (SELECT * FROM reason WHERE skip_reason IS NULL)", "live AS (SELECT * FROM reason)")
+    + """SELECT sample_id, 'observation' AS kind, i - 1 AS i, j - 1 AS j, verdict FROM obs_pair WHERE verdict IS NOT NULL
+    UNION ALL SELECT sample_id, 'inference', i - 1, j - 1, verdict FROM inf_pair
+    UNION ALL SELECT sample_id, 'synthesis', 0, 0, verdict FROM syn_pair""",
     "unresolved_sensors": _on_relation(
         """SELECT 'heart_rate' AS raw, count(*) AS n FROM (
           SELECT o.s FROM ref_obs o JOIN n USING (sample_id) WHERE has_gen

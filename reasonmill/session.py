@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the reliable checkpoint folder, so that lost executors recompute nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application; ``--py-files`` does the same."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    base = str(Path(tempfile.mkdtemp(prefix="reasonmill-package-")) / "reasonmill_package")
+    sc.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
