@@ -18,6 +18,7 @@ from reasonmill.operators import (
     classification, corpus, graph, matching, ordering, reports, runlog, textquality,
 )
 from reasonmill.plans import evaluate, match
+from reasonmill.plans.stage import staged_once
 from reasonmill.session import ship_package
 from reasonmill.sources import derived, documents
 from reasonmill.sources.tables import table
@@ -46,13 +47,22 @@ def tidy(df: DataFrame) -> DataFrame:
 # ---- inputs ------------------------------------------------------------------------------------------------
 
 
+def _eval_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The table of reference and generated texts, as a user would have it: written once, then read."""
+    return staged_once(spark, d, "eval_rows", lambda: derived.eval_rows(spark, d))
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return staged_once(spark, d, "verdicts", lambda: derived.verdict_rows(spark, d))
+
+
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = derived.eval_rows(spark, d)
+    rows = _eval_rows(spark, d)
     return rows.withColumn("predicted_activity", text.predicted_activity("generated", SET.classes))
 
 
 def _graphs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.parse_eval_rows(derived.eval_rows(spark, d))
+    return graph.parse_eval_rows(_eval_rows(spark, d))
 
 
 def _referenced(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +74,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return match.scores(_rows(spark, d), SET, derived.verdict_rows(spark, d))
+    return match.scores(_rows(spark, d), SET, _verdicts(spark, d))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -237,7 +247,7 @@ def judge_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parsed_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return derived.verdict_rows(spark, d).select(
+    return _verdicts(spark, d).select(
         "sample_id", "kind", "i", "j", text.verdict_of("response").alias("verdict")
     )
 
@@ -409,7 +419,7 @@ def combined_report(spark: SparkSession, d: str) -> DataFrame:
 
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     index = documents.latest_per_sample(derived.attribution_rows(spark, d))
-    metrics = evaluate.evaluate(derived.eval_rows(spark, d), SET, index)
+    metrics = evaluate.evaluate(_eval_rows(spark, d), SET, index)
     return reports.sectioned_report(metrics, evaluate.SECTIONS)
 
 

@@ -9,40 +9,58 @@ from reasonmill.functions.expr import let
 from reasonmill.functions.text import BLANK, activity_line, drop_thinking, split_items, strip
 from reasonmill.schema import as_column
 
-# --- fixed values: shape of the blocks of a trace
+# --- fixed values: shape of the blocks of a trace. The bracket stands before the case flags, so that the search for
+# a block runs over plain characters.
 OBSERVATION_BLOCK = (
-    rf"(?iud)\[OBSERVATION{BLANK}*\|{BLANK}*id:{BLANK}*(O\p{{Nd}}+)\]{BLANK}*\n"
+    rf"\[(?iud)OBSERVATION{BLANK}*\|{BLANK}*id:{BLANK}*(O\p{{Nd}}+)\]{BLANK}*\n"
     rf"sensor:{BLANK}*(.+?)\ntemporal:{BLANK}*(.+?)\n"
     rf"pattern:{BLANK}*(.+?)\nconfidence:{BLANK}*(.+?)(?:\n|\z)"
 )
 INFERENCE_BLOCK = (
-    rf"(?iud)\[INFERENCE{BLANK}*\|{BLANK}*id:{BLANK}*(I\p{{Nd}}+)\]{BLANK}*\n"
+    rf"\[(?iud)INFERENCE{BLANK}*\|{BLANK}*id:{BLANK}*(I\p{{Nd}}+)\]{BLANK}*\n"
     rf"based_on:{BLANK}*(.+?)\ninference:{BLANK}*(.+?)\nconfidence:{BLANK}*(.+?)(?:\n|\z)"
 )
 SYNTHESIS_BLOCK = (
-    rf"(?iud)\[SYNTHESIS\]{BLANK}*\nbased_on:{BLANK}*(.+?)\n([\s\S]+?)(?=\[ACTIVITY\]|\z)"
+    rf"\[(?iud)SYNTHESIS\]{BLANK}*\nbased_on:{BLANK}*(.+?)\n([\s\S]+?)(?=(?-iu:\[)(?:ACTIVITY\])|\z)"
 )
 # --- end of fixed values
 
 
-def _blocks(text: Column, pattern: str, build) -> Column:
-    """One scan of the text for whole blocks; the fields are then cut from each short block."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda block: build(lambda group: strip(F.regexp_extract(block, pattern, group))),
-    )
+def _blocks(text: Column, pattern: str, fields: int, build) -> Column:
+    """One scan of the text for whole blocks; the fields are then cut from each short block.
+
+    A block without line breaks inside its values has exactly one line per field, and each value is what follows
+    the first colon of its line. Only other blocks pay for cutting with the pattern.
+    """
+
+    def cut(block: Column) -> Column:
+        return let(
+            F.split(F.rtrim(block, F.lit("\n")), "\n", -1),
+            lambda lines: F.when(
+                F.size(lines) == fields, build(lambda n: _line_value(lines, n))
+            ).otherwise(build(lambda n: strip(F.regexp_extract(block, pattern, n + 1)))),
+        )
+
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
+
+
+def _line_value(lines: Column, n: int) -> Column:
+    line = F.get(lines, F.lit(n))
+    value = strip(F.substr(line, F.instr(line, ":") + 1))
+    return F.rtrim(value, F.lit("]")) if n == 0 else value
 
 
 def observations(text: Column) -> Column:
     return _blocks(
         text,
         OBSERVATION_BLOCK,
+        5,
         lambda field: F.struct(
-            field(1).alias("id"),
-            F.lower(field(2)).alias("sensor"),
-            F.lower(field(3)).alias("temporal"),
-            field(4).alias("pattern"),
-            F.lower(field(5)).alias("confidence"),
+            field(0).alias("id"),
+            F.lower(field(1)).alias("sensor"),
+            F.lower(field(2)).alias("temporal"),
+            field(3).alias("pattern"),
+            F.lower(field(4)).alias("confidence"),
         ),
     )
 
@@ -51,21 +69,25 @@ def inferences(text: Column) -> Column:
     return _blocks(
         text,
         INFERENCE_BLOCK,
+        4,
         lambda field: F.struct(
-            field(1).alias("id"),
-            split_items(field(2)).alias("based_on"),
-            field(3).alias("inference"),
-            F.lower(field(4)).alias("confidence"),
+            field(0).alias("id"),
+            split_items(field(1)).alias("based_on"),
+            field(2).alias("inference"),
+            F.lower(field(3)).alias("confidence"),
         ),
     )
 
 
 def synthesis(text: Column) -> Column:
-    cited = F.regexp_extract(text, SYNTHESIS_BLOCK, 1)
-    body = F.regexp_replace(F.regexp_extract(text, SYNTHESIS_BLOCK, 2), rf"\n{BLANK}*\n", "\n")
-    return F.when(
-        cited != "", F.struct(split_items(cited).alias("based_on"), strip(body).alias("text"))
-    )
+    def cut(block: Column) -> Column:
+        body = F.regexp_replace(F.regexp_extract(block, SYNTHESIS_BLOCK, 2), rf"\n{BLANK}*\n", "\n")
+        cited = split_items(F.regexp_extract(block, SYNTHESIS_BLOCK, 1))
+        return F.when(
+            block != "", F.struct(cited.alias("based_on"), strip(body).alias("text"))
+        )
+
+    return let(F.regexp_extract(text, SYNTHESIS_BLOCK, 0), cut)
 
 
 def trace_graph(text: Column | str, *, keep_activity_case: bool = False) -> Column:

@@ -82,7 +82,7 @@ def normalise_label(c: Column | str) -> Column:
     return F.replace(F.lower(strip(c)), F.lit("_"), F.lit(" "))
 
 
-ACTIVITY_LINE = rf"(?iudm)\[ACTIVITY\]{BLANK}*:{BLANK}*(.+?)$"
+ACTIVITY_LINE = rf"\[(?iudm)ACTIVITY\]{BLANK}*:{BLANK}*(.+?)$"
 
 
 def activity_line(text: Column | str) -> Column:

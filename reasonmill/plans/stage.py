@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from reasonmill.session import ensure_checkpoint_dir
 
@@ -14,3 +15,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+_INPUTS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged_once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived input table, written the first time an application asks for it and read from then on."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _INPUTS:
+        _INPUTS[key] = staged(build(), name)
+    return _INPUTS[key]

@@ -7,6 +7,8 @@ rendered to trace text, and the operators only ever see that text.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,60 +89,57 @@ def orders_relation(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _pick(values: tuple[str, ...], index: Column) -> Column:
+def _pick(values: Sequence[str], index: Column) -> Column:
     return F.get(strings(values), index)
 
 
 def _inference_text(inf: Column, observations: Column) -> Column:
     """Four wordings: sensor name, sensor with blanks, axis letter only, nothing."""
     cited = F.filter(observations, lambda o: o["num"] == inf["a"])
-    sensor = F.coalesce(
-        F.lower(_pick(RAW_SENSORS, F.try_element_at(cited, F.lit(-1))["s"])), F.lit("nothing")
-    )
+    index = F.coalesce(F.try_element_at(cited, F.lit(-1))["s"], F.lit(len(RAW_SENSORS)))
+    names = [s.lower() for s in RAW_SENSORS] + ["nothing"]
     return (
-        F.when(inf["t"] == 0, F.concat(F.lit("the "), sensor, F.lit(" signal moves")))
-        .when(
-            inf["t"] == 1,
-            F.concat(F.lit("Motion in "), F.replace(sensor, F.lit("_"), F.lit(" ")), F.lit(" here")),
-        )
-        .when(inf["t"] == 2, F.lit("motion along z"))
-        .otherwise(F.lit("calm and still"))
+        F.when(inf["t"] == 0, _pick([f"the {s} signal moves" for s in names], index))
+        .when(inf["t"] == 1, _pick([f"Motion in {s.replace('_', ' ')} here" for s in names], index))
+        .when(inf["t"] == 2, "motion along z")
+        .otherwise("calm and still")
     )
 
 
 def _render(obs: str, inf: str, syn: str, syn_text: str, activity: Column) -> Column:
-    eol = F.when(F.col("k") % 5 == 0, "\r\n").otherwise("\n")
-    head = lambda word: F.when(F.col("k") % 3 == 0, word.lower()).otherwise(word)
+    """Trace text, with lower-case headers for some samples and carriage returns for others."""
+    head = lambda word: F.when(
+        F.col("k") % 3 == 0, f"[{word.lower()} | id: {word[0]}"
+    ).otherwise(f"[{word} | id: {word[0]}")
     o_text = F.transform(
         F.col(obs),
         lambda o: F.concat(
-            F.lit("["), head("OBSERVATION"), F.lit(" | id: O"), o["num"].cast("string"), F.lit("]"), eol,
-            F.lit("sensor: "), _pick(RAW_SENSORS, o["s"]), eol,
-            F.lit("temporal: "), _pick(WINDOWS, o["w"]), F.lit(" "), eol,
-            F.lit("pattern: "), _pick(PATTERNS, o["q"]), eol,
-            F.lit("confidence: "), o["conf"], eol, F.lit("\n"),
+            head("OBSERVATION"), o["num"].cast("string"),
+            _pick([f"]\nsensor: {s}\ntemporal: " for s in RAW_SENSORS], o["s"]),
+            _pick([f"{w} \npattern: " for w in WINDOWS], o["w"]),
+            _pick([f"{p}\nconfidence: " for p in PATTERNS], o["q"]), o["conf"], F.lit("\n\n"),
         ),
     )
     i_text = F.transform(
         F.col(inf),
         lambda n: F.concat(
-            F.lit("["), head("INFERENCE"), F.lit(" | id: I"), n["i"].cast("string"), F.lit("]"), eol,
-            F.lit("based_on: O"), n["a"].cast("string"), F.lit(", O"), n["b"].cast("string"),
-            F.when(n["lost"], ", O99").otherwise(""), eol,
-            F.lit("inference: "), _inference_text(n, F.col(obs)), eol,
-            F.lit("confidence: high"), eol, F.lit("\n"),
+            head("INFERENCE"), n["i"].cast("string"),
+            F.lit("]\nbased_on: O"), n["a"].cast("string"), F.lit(", O"), n["b"].cast("string"),
+            F.when(n["lost"], ", O99\ninference: ").otherwise("\ninference: "),
+            _inference_text(n, F.col(obs)), F.lit("\nconfidence: high\n\n"),
         ),
     )
     s_text = F.when(
         F.col(syn).isNotNull(),
         F.concat(
-            F.lit("[SYNTHESIS]"), eol, F.lit("based_on: I"), F.col(syn).cast("string"), eol,
-            _pick(SYNTHESES, F.col(syn_text)), eol, eol,
+            F.lit("[SYNTHESIS]\nbased_on: I"), F.col(syn).cast("string"),
+            _pick([f"\n{t}\n\n" for t in SYNTHESES], F.col(syn_text)),
         ),
     ).otherwise("")
-    return F.concat(
+    text = F.concat(
         F.array_join(o_text, ""), F.array_join(i_text, ""), s_text, F.coalesce(activity, F.lit(""))
     )
+    return F.replace(text, F.lit("\n"), F.when(F.col("k") % 5 == 0, "\r\n").otherwise("\n"))
 
 
 def eval_rows(spark: SparkSession, folder: str) -> DataFrame:
