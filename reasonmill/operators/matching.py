@@ -238,7 +238,7 @@ def with_verdict_table(
 
     Repeated verdicts of a pair collapse before the join (the greatest response counts), and the join keeps
     requested pairs only, so what is collected per sample is bounded by the sample's own nodes. ``prepared`` is
-    read twice: pass a staged table (``plans.stage``), or the traces are parsed twice.
+    read twice: pass a staged table ``without_text`` (``plans.stage``), or the traces are parsed twice.
     """
 
     def build(kind: str, i: Column, j: Column, a: Column, b: Column) -> Column:
@@ -264,14 +264,10 @@ def with_verdict_table(
         ).alias("p"),
     )
     collected = judged.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("pairs"))
-    slim = prepared.select(
-        *keys, "gt_activity", "predicted_activity", "skip_reason",
-        *[_without_text(side).alias(side) for side in ("gt", "pred")],
-    )
     none = F.from_json(
         F.lit("[]"), "array<struct<kind:string,i:int,j:int,same_window:int,verdict:string>>"
     )
-    joined = slim.join(collected, list(keys), "left")
+    joined = prepared.join(collected, list(keys), "left")
     return joined.withColumn(
         "pairs", F.when(F.col("skip_reason").isNull(), F.coalesce("pairs", none))
     )
@@ -290,7 +286,15 @@ def _without_text(side: str) -> Column:
             g["inf"],
             lambda n: F.struct(n["id"].alias("id"), n["based_on"].alias("based_on")),
         ).alias("inf"),
-        F.struct(g["syn"].isNotNull().alias("present")).alias("syn"),
+        F.when(g["syn"].isNotNull(), F.struct(F.lit(True).alias("present"))).alias("syn"),
+    )
+
+
+def without_text(prepared: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What matching needs once the requests are out: ids, sensors, windows and citations."""
+    return prepared.select(
+        *keys, "gt_activity", "predicted_activity", "skip_reason",
+        *[_without_text(side).alias(side) for side in ("gt", "pred")],
     )
 
 

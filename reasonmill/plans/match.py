@@ -30,6 +30,6 @@ def scores(
     if verdicts is None:
         return matching.score(matching.with_lexical_verdicts(prepared, tolerance=tolerance))
     judged = matching.with_verdict_table(
-        staged(prepared, "prepared"), verdicts, keys, relaxed, tolerance
+        staged(matching.without_text(prepared, keys), "prepared"), verdicts, keys, relaxed, tolerance
     )
     return matching.score(judged)

@@ -32,12 +32,19 @@ def read_json(spark: SparkSession, path: str | Sequence[str], ddl: str) -> DataF
     return _with_file(reader.json(path if isinstance(path, str) else list(path)))
 
 
+def _touch_data(documents: DataFrame) -> Column:
+    """Always true, but reads a data column: Spark refuses to scan for the corrupt record column alone."""
+    first = F.col(f"`{documents.columns[0]}`")
+    return first.isNull() | (F.length(F.to_json(F.struct(first))) >= 0)
+
+
 def readable(documents: DataFrame) -> DataFrame:
-    return documents.where(f"{CORRUPT} is null").drop(CORRUPT)
+    return documents.where(F.col(CORRUPT).isNull() & _touch_data(documents)).drop(CORRUPT)
 
 
 def broken_files(documents: DataFrame) -> DataFrame:
-    return documents.where(f"{CORRUPT} is not null").select("file_name", "file_path")
+    broken = documents.where(F.col(CORRUPT).isNotNull() & _touch_data(documents))
+    return broken.select("file_name", "file_path")
 
 
 def attribution_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
