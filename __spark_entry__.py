@@ -329,6 +329,40 @@ def oversized_prompts(spark: SparkSession, d: str) -> DataFrame:
     return corpus.split_oversized(docs, limit=1000)[1]
 
 
+def training_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as answers, wrapped in a think block and a code fence that have to go."""
+    wrapped = F.concat(F.lit("<think>hm</think>\n```text\n"), "text", F.lit("\n```\n"))
+    answers = table(spark, d, "documents").select(
+        F.col("source").alias("split"), F.col("doc_id").cast("string").alias("sample_id"),
+        F.col("lang").alias("activity"), (F.col("n_chars") % 100 / 100.0).alias("confidence"),
+        F.lit(None).cast("string").alias("mantis_embedding"), wrapped.alias("answer"),
+    )
+    examples = corpus.training_examples(corpus.reasoning_records(answers, "teacher"))
+    return examples.select(
+        "split", "sample_id", "input", F.md5("output").alias("output_md5"),
+        F.col("metadata.reasoning_graph.parse_failed").alias("parse_failed"),
+    )
+
+
+def smallest_sources(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").select(
+        F.concat(F.col("source"), F.lit("_s"), F.col("doc_id").cast("string")).alias("file_name"),
+        F.col("n_chars").alias("file_size"),
+    )
+    return corpus.smallest_first(files, 40)
+
+
+def merged_shards(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("event_id").alias("index"), "event_type", "value")
+    return documents.merged_shards([rows.where(F.col("event_type") == t) for t in ("view", "click", "error")])
+
+
+def frequent_unresolved_sensors(spark: SparkSession, d: str) -> DataFrame:
+    """With the sensors of another dataset, so that more names stay unresolved."""
+    sensors = registry.lookup("pamap2").sensors
+    return matching.unresolved_sensors(matching.prepare(_rows(spark, d), sensors, KEY), top=3)
+
+
 def remaining_sources(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d).where("has_id").select("split", "sample_id", "confidence")
     done = docs.where("confidence < 0.5")
@@ -434,7 +468,7 @@ ALL: Sequence[Query] = (
     class_quality, oversized_prompts, remaining_sources, source_counts, new_corpus_rows,
     train_validation_split, latest_references, attribution_index, rolling_quality, run_throughput,
     every_50th, qualitative_samples, window_distances, registry_sizes, run_statistics, combined_report,
-    evaluation_report,
+    evaluation_report, training_examples, smallest_sources, merged_shards, frequent_unresolved_sensors,
 )
 
 

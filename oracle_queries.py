@@ -3,6 +3,7 @@ of a trace: Spark renders and parses, this side only counts."""
 
 from __future__ import annotations
 
+from reasonmill.functions.text import BLANKS as text_blanks
 from reasonmill.operators.corpus import PROMPT
 from reasonmill.registry import UCIHAR_CLASSES, UCIHAR_SENSORS, UCIHAR_TERMS, dimension_rows
 from reasonmill.sources import derived
@@ -20,6 +21,7 @@ WINDOWS = _list(derived.WINDOWS)
 PATTERNS = _list(derived.PATTERNS)
 SYNTHESES = _list(derived.SYNTHESES)
 BLANKS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANK_CHARS = " || ".join(f"chr({ord(c)})" for c in text_blanks)
 VISIBLE = BLANKS.replace("[", "[^", 1)
 
 RELATION = f"""
@@ -331,6 +333,35 @@ COUNT_NAMES = (
 ).split()
 
 
+LEXICAL = (
+    SAMPLE_SCORES.replace(
+        "CASE WHEN g.q = p.q AND abs(g.w - p.w) <= 1 THEN 'YES' WHEN (7 * g.i + p.i + g.k) % 29 = 0 THEN 'ERROR'",
+        "CASE WHEN g.q = p.q AND (g.w = p.w OR g.w = 5 OR p.w = 5 OR (g.w < 5 AND p.w < 5 AND abs(g.w - p.w) <= 1)) THEN 'YES'",
+    )
+    .replace("WHEN (g.i + 2 * p.i + g.k) % 31 = 0 THEN NULL ELSE", "ELSE")
+    .replace(
+        """CASE WHEN g.t = p.t AND (g.k + g.i + p.i) % 3 <> 0 THEN 'YES' WHEN (g.i + p.i + g.k) % 7 = 0 THEN 'ERROR'
+      ELSE 'NO' END""",
+        """CASE WHEN len(list_intersect(g.words, p.words)) / len(list_distinct(list_concat(g.words, p.words))) >= 0.5
+      THEN 'YES' ELSE 'NO' END""",
+    )
+    .replace("CASE WHEN gt_syn_text = pred_syn_text THEN 'YES' WHEN k % 9 = 0 THEN 'ERROR' ELSE 'NO' END",
+             "CASE WHEN gt_syn_text = pred_syn_text THEN 'YES' ELSE 'NO' END")
+    .replace("gi AS (SELECT * FROM ref_inf", """ref_node AS (
+  SELECT sample_id, num, SENSORS[arg_max(s, i) + 1] AS sensor FROM ref_obs GROUP BY ALL
+), gi AS (SELECT r.*, WORDS AS words FROM ref_inf r LEFT JOIN ref_node o ON r.sample_id = o.sample_id AND r.a = o.num""")
+    .replace("pi AS (SELECT * FROM gen_inf_base", """pi AS (
+  SELECT r.*, WORDS AS words FROM gen_inf_base r LEFT JOIN gen_node o ON r.sample_id = o.sample_id AND r.a = o.num""")
+    .replace("SEMI JOIN live USING (sample_id)),\npi", "WHERE r.sample_id IN (SELECT sample_id FROM live)),\npi")
+    .replace("SEMI JOIN live USING (sample_id)),\ninf_pair", "WHERE r.sample_id IN (SELECT sample_id FROM live)),\ninf_pair")
+    .replace("SENSORS[", f"{SENSORS_LOWER}[")
+    .replace("WORDS AS", """list_distinct(list_filter(regexp_split_to_array(lower(CASE t
+      WHEN 0 THEN 'the ' || coalesce(o.sensor, 'nothing') || ' signal moves'
+      WHEN 1 THEN 'Motion in ' || replace(coalesce(o.sensor, 'nothing'), '_', ' ') || ' here'
+      WHEN 2 THEN 'motion along z' ELSE 'calm and still' END), '[^a-z0-9_]+'), lambda u: u <> '')) AS""")
+)
+
+
 def _rounded(names, source="{}") -> str:
     return ", ".join(f"round(CAST({source.format(n)} AS DOUBLE), 6) AS {n}" for n in names)
 
@@ -598,6 +629,13 @@ ORACLES = {
         FROM s2, unnest(CASE WHEN snm_skipped THEN ['all'] WHEN gt_activity = predicted_activity THEN ['all', 'correct']
           ELSE ['all', 'incorrect'] END) AS t(stratum) GROUP BY ALL""", SAMPLE_SCORES,
     ),
+    "lexical_match_summary": _on_relation(
+        f"""SELECT stratum, count(*) AS n_total, count(*) FILTER (NOT snm_skipped) AS n_scored,
+        count(*) FILTER (snm_skipped) AS n_skipped, count(*) FILTER (skip_reason = 'gt_parse_fail') AS n_gt_parse_fail,
+        count(*) FILTER (skip_reason = 'pred_parse_fail') AS n_pred_parse_fail, {_rounded(SCORE_NAMES, 'avg({})')}
+        FROM s2, unnest(CASE WHEN snm_skipped THEN ['all'] WHEN gt_activity = predicted_activity THEN ['all', 'correct']
+          ELSE ['all', 'incorrect'] END) AS t(stratum) GROUP BY ALL""", LEXICAL,
+    ),
     "file_identities": _on_relation(
         "SELECT file_name, split, file_id AS sample_id, has_id FROM docs", ATTRIBUTIONS
     ),
@@ -631,6 +669,21 @@ ORACLES = {
     "oversized_prompts": f"""SELECT lang AS split, CAST(doc_id AS VARCHAR) AS sample_id,
         CAST(len(regexp_extract_all(text, '{VISIBLE}+')) AS BIGINT) AS prompt_tokens FROM documents
         WHERE len(regexp_extract_all(text, '{VISIBLE}+')) > 1000""",
+    "training_examples": f"""SELECT source AS split, CAST(doc_id AS VARCHAR) AS sample_id,
+        'Activity Recognition Task:' || chr(10) || 'Analyze the following sensor data and predict the activity.' || chr(10) || chr(10)
+          || 'Sample ID: ' || doc_id || chr(10) || 'Model Confidence: ' || printf('%.4f', n_chars % 100 / 100.0::DOUBLE) || chr(10) AS input,
+        md5('Conclusion:' || chr(10) || trim(text, {BLANK_CHARS}) || chr(10) || chr(10) || 'Predicted Activity: ' || lang || chr(10)) AS output_md5,
+        true AS parse_failed FROM documents""",
+    "smallest_sources": """SELECT source || '_s' || doc_id AS file_name, n_chars AS file_size FROM documents
+        ORDER BY n_chars, source || '_s' || doc_id LIMIT 40""",
+    "merged_shards": """SELECT event_id AS index, event_type, round(value, 6) AS value FROM events
+        WHERE event_type IN ('view', 'click', 'error')""",
+    "frequent_unresolved_sensors": _on_relation(
+        f"""SELECT {SENSORS_LOWER}[s + 1] AS raw, count(*) AS n FROM (
+          SELECT o.s FROM ref_obs o JOIN n USING (sample_id) WHERE has_gen
+          UNION ALL SELECT o.s FROM gen_obs o JOIN n USING (sample_id) WHERE has_ref) WHERE s <> 4
+        GROUP BY ALL ORDER BY n DESC, raw LIMIT 3"""
+    ),
     "remaining_sources": _on_relation(
         "SELECT split, file_id AS sample_id FROM docs WHERE has_id AND p % 100 >= 50", ATTRIBUTIONS
     ),

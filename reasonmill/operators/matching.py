@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reasonmill.functions.assign import PAIR_BASE, assign_pairs
-from reasonmill.functions.expr import harmonic_mean, let, share
+from reasonmill.functions.expr import harmonic_mean, let, share, strings
 from reasonmill.functions.parse import trace_graph
 from reasonmill.functions.text import is_blank, verdict_of
 from reasonmill.functions.vocab import canonical_sensor, window_distance
+from reasonmill.schema import as_column
 
 OBS, INF, SYN = "observation", "inference", "synthesis"
 SCORES = (
@@ -83,15 +84,21 @@ def _if_scoreable(pairs: Column) -> Column:
     return F.when(F.col("skip_reason").isNull(), pairs)
 
 
-def unresolved_sensors(prepared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """How often each sensor string could not be resolved, over all rows that have both texts."""
+def unresolved_sensors(
+    prepared: DataFrame, by: Sequence[str] = (), top: int | None = None
+) -> DataFrame:
+    """How often each sensor string could not be resolved, over all rows that have both texts; on request only the
+    most frequent ones."""
     blank = F.coalesce(F.col("skip_reason").isin("no_gt_reasoning", "no_pred_text"), F.lit(False))
     raw = F.transform(
         F.filter(F.concat("gt.obs", "pred.obs"), lambda o: ~o["resolved"]), lambda o: o["raw_sensor"]
     )
-    return prepared.select(*by, F.explode(F.when(~blank, raw)).alias("raw")).groupBy(*by, "raw").agg(
-        F.count("*").alias("n")
+    counts = (
+        prepared.select(*by, F.explode(F.when(~blank, raw)).alias("raw"))
+        .groupBy(*by, "raw")
+        .agg(F.count("*").alias("n"))
     )
+    return counts if top is None else counts.orderBy(F.desc("n"), *by, "raw").limit(top)
 
 
 # ---- candidate pairs ---------------------------------------------------------------------------------------
@@ -227,6 +234,15 @@ def with_lexical_verdicts(
     return prepared.withColumn("pairs", _if_scoreable(_pairs(build)))
 
 
+_VERDICTS = ("ERROR", "NO", "YES")
+
+
+def _verdict_code(verdict: Column | str) -> Column:
+    """Rank of a verdict; of several for one pair the highest counts."""
+    ranks = strings(_VERDICTS)
+    return F.nullif(F.array_position(ranks, as_column(verdict)), F.lit(0)).cast("int") - 1
+
+
 def with_verdict_table(
     prepared: DataFrame,
     verdicts: DataFrame,
@@ -236,8 +252,8 @@ def with_verdict_table(
 ) -> DataFrame:
     """Joins verdict responses ``(keys, kind, i, j, response)`` to the pairs of each sample.
 
-    Repeated verdicts of a pair collapse before the join (the greatest response counts), and the join keeps
-    requested pairs only, so what is collected per sample is bounded by the sample's own nodes. ``prepared`` is
+    Repeated verdicts of a pair collapse before the shuffle (YES counts over NO, NO over an error), and only requested
+    pairs are kept, so what is collected per sample is bounded by the sample's own nodes. ``prepared`` is
     read twice: pass a staged table ``without_text`` (``plans.stage``), or the traces are parsed twice.
     """
 
@@ -247,21 +263,28 @@ def with_verdict_table(
             auto = F.when(window_distance(a["temporal"], b["temporal"]) > tolerance, "NO")
         return _pair_struct(kind, i, j, _same_window(kind, a, b), auto)
 
+    place = [*keys, "kind", "i", "j"]
     asked = prepared.select(*keys, F.explode(_if_scoreable(_pairs(build))).alias("p")).select(
-        *keys, "p.*"
-    )
-    answers = verdicts.groupBy(*keys, "kind", "i", "j").agg(F.max("response").alias("response"))
-    judged = asked.join(answers, [*keys, "kind", "i", "j"], "left").select(
-        *keys,
-        F.struct(
-            "kind",
-            "i",
-            "j",
-            "same_window",
-            F.coalesce(
-                "verdict", F.when(F.col("response").isNotNull(), verdict_of("response"))
-            ).alias("verdict"),
-        ).alias("p"),
+        *keys, "p.kind", "p.i", "p.j", "p.same_window", _verdict_code("p.verdict").alias("auto"),
+        F.lit(None).cast("int").alias("given"),
+    )
+    answers = verdicts.select(
+        *place, F.lit(None).cast("int").alias("same_window"), F.lit(None).cast("int").alias("auto"),
+        _verdict_code(verdict_of("response")).alias("given"),
+    )
+    # Requests and answers of a pair meet in one hash aggregate of integers; only requests know their window.
+    judged = (
+        asked.unionByName(answers)
+        .groupBy(*place)
+        .agg(*[F.max(c).alias(c) for c in ("same_window", "auto", "given")])
+        .where("same_window is not null")
+        .select(
+            *keys,
+            F.struct(
+                "kind", "i", "j", "same_window",
+                F.get(strings(_VERDICTS), F.coalesce("auto", "given")).alias("verdict"),
+            ).alias("p"),
+        )
     )
     collected = judged.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("pairs"))
     none = F.from_json(

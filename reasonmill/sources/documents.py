@@ -210,3 +210,8 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFr
         F.element_at(F.split("path", "/"), -1).alias("file_name"), "path", F.col("length").alias("file_size")
     )
 
+
+
+def merged_shards(shards: Sequence[DataFrame], index: str = "index") -> DataFrame:
+    """Results of several shards in the order of their original index; missing ones simply do not appear."""
+    return reduce(DataFrame.unionByName, shards).orderBy(index)
