@@ -5,7 +5,7 @@ import json
 import pytest
 
 from reasonmill import registry
-from reasonmill.operators import corpus, graph, reports
+from reasonmill.operators import graph, reports
 from reasonmill.plans import evaluate, prepare
 from reasonmill.sources import documents, sinks
 from reasonmill.streaming.ingest import ingest
@@ -152,4 +152,3 @@ def test_chain_and_duplicate_ids(spark):
     assert got["c"].rcv_structural is None
     rates = graph.node_rates(graphs, ["walking"], ["gyro_z"]).first()
     assert rates.inf_semantic_rate == 1.0 and rates.inf_structural_rate == 0.5 and rates.obs_coverage_rate == 2 / 3
-    assert corpus.KEY == ("split", "sample_id")

@@ -1,13 +1,12 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from reasonmill import registry
 from reasonmill.functions import parse, text, vocab
 from reasonmill.operators import corpus
 from reasonmill.sources import documents
 
-TRACE = """[OBSERVATION | id: O1]
+SAMPLE = """[OBSERVATION | id: O1]
 sensor: Total_Acc_Y
 temporal: Early
 pattern: sharp peak: then flat
@@ -37,7 +36,7 @@ def one(spark, value, column):
 
 
 def test_all_layers(spark):
-    g = one(spark, TRACE, parse.trace_graph("t"))
+    g = one(spark, SAMPLE, parse.trace_graph("t"))
     assert [(o.id, o.sensor, o.temporal, o.pattern, o.confidence) for o in g.observations] == [
         ("O1", "total_acc_y", "early", "sharp peak: then flat", "high"),
         ("O2", "gyro_z", "late", "near zero", "low"),
@@ -72,7 +71,7 @@ def test_corpus_graph_drops_thoughts_and_keeps_case(spark):
 
 def test_predicted_activity(spark):
     cases = {
-        TRACE: "walking upstairs",
+        SAMPLE: "walking upstairs",
         "[ACTIVITY]: Swimming": "swimming",
         "[ACTIVITY]: ": "unknown",
         "they were Walking_Downstairs": "walking downstairs",
@@ -141,4 +140,3 @@ def test_registry(spark):
     dim = registry.dimension(spark).groupBy("dataset").pivot("kind", ["class", "sensor", "term"]).count()
     sizes = {r["dataset"]: tuple(r)[1:] for r in dim.collect()}
     assert sizes["pamap2"] == (12, 52, 60) and sizes["opportunity"] == (17, 79, 82)
-    assert F is not None
