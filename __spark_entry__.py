@@ -77,6 +77,11 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return match.scores(_rows(spark, d), SET, _verdicts(spark, d))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents on all cores; a folder with enough splits is read as it is."""
+    return derived.spread(table(spark, d, "documents"))
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select(
         F.col("quality").cast("string").alias("gt_activity"),
@@ -299,7 +304,7 @@ def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_flags(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(
+    docs = _texts(spark, d).select(
         "doc_id",
         F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("I Cannot say. "), "text"))
         .otherwise(F.col("text"))
@@ -314,7 +319,7 @@ def turn_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def class_quality(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(
+    docs = _texts(spark, d).select(
         F.col("lang").alias("activity"), (F.col("n_chars") % 100 / 100.0).alias("confidence"),
         F.col("text").alias("answer"),
     )
@@ -322,7 +327,7 @@ def class_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def oversized_prompts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(
+    docs = _texts(spark, d).select(
         F.col("lang").alias("split"), F.col("doc_id").cast("string").alias("sample_id"),
         F.col("text").alias("prompt"),
     )
@@ -332,7 +337,7 @@ def oversized_prompts(spark: SparkSession, d: str) -> DataFrame:
 def training_examples(spark: SparkSession, d: str) -> DataFrame:
     """Documents as answers, wrapped in a think block and a code fence that have to go."""
     wrapped = F.concat(F.lit("<think>hm</think>\n```text\n"), "text", F.lit("\n```\n"))
-    answers = table(spark, d, "documents").select(
+    answers = _texts(spark, d).select(
         F.col("source").alias("split"), F.col("doc_id").cast("string").alias("sample_id"),
         F.col("lang").alias("activity"), (F.col("n_chars") % 100 / 100.0).alias("confidence"),
         F.lit(None).cast("string").alias("mantis_embedding"), wrapped.alias("answer"),
