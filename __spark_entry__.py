@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 from collections.abc import Callable, Sequence
 from pathlib import Path
@@ -23,6 +24,13 @@ from reasonmill.session import ship_package
 from reasonmill.sources import derived, documents
 from reasonmill.sources.tables import table
 
+# The subpackage for training data and its pipeline may be left out; nothing else needs them.
+_found = importlib.util.find_spec("reasonmill.llm")
+if _found is not None and _found.origin is not None:
+    from reasonmill.llm import queries as llm
+else:
+    llm = None
+
 SET = registry.lookup("ucihar")
 LABELS = classification.with_unknown(SET.classes)
 KEY = ("sample_id",)
@@ -493,8 +501,8 @@ def _tidied(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     out = {query.__name__: _tidied(query) for query in ALL}
     out["grounding_samples"] = _tidied(_grounding)
-    return out
+    return out | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(ORACLES) | (llm.oracle_sql() if llm else {})
