@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reasonmill.llm import licenses, line_dedup, packing
+from reasonmill.llm import licenses, line_dedup, packing, quality
 from reasonmill.llm.blocks import bound_batches
 from reasonmill.session import ship_package
 from reasonmill.sources.tables import table
@@ -19,6 +19,12 @@ def op1_license_scans(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan(table(spark, d, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that the classifier selects, with their expected grade and tail probability."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return quality.select(docs, table(spark, d, "labels")).drop("text")
+
+
 def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
@@ -28,7 +34,7 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
-ALL: tuple[Query, ...] = (op1_license_scans, op4_best_fit_packing, op10_line_dedup)
+ALL: tuple[Query, ...] = (op1_license_scans, op2_quality_classifier, op4_best_fit_packing, op10_line_dedup)
 
 
 def _ready(query: Query) -> Query:
