@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reasonmill.llm import licenses, line_dedup, packing, quality
+from reasonmill.llm import jaccard, licenses, line_dedup, packing, quality
 from reasonmill.llm.blocks import bound_batches
 from reasonmill.session import ship_package
 from reasonmill.sources.tables import table
@@ -29,12 +29,19 @@ def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.join(table(spark, d, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, d, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
-ALL: tuple[Query, ...] = (op1_license_scans, op2_quality_classifier, op4_best_fit_packing, op10_line_dedup)
+ALL: tuple[Query, ...] = (
+    op1_license_scans, op2_quality_classifier, op4_best_fit_packing, op8_ngram_jaccard_join,
+    op10_line_dedup,
+)
 
 
 def _ready(query: Query) -> Query:
