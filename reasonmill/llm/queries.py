@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reasonmill.llm import jaccard, licenses, line_dedup, packing, quality
+from reasonmill.llm import decontaminate, jaccard, licenses, line_dedup, oracles, packing, quality
 from reasonmill.llm.blocks import bound_batches
 from reasonmill.session import ship_package
 from reasonmill.sources.tables import table
@@ -29,6 +29,10 @@ def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.join(table(spark, d, "documents"))
 
@@ -39,8 +43,8 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALL: tuple[Query, ...] = (
-    op1_license_scans, op2_quality_classifier, op4_best_fit_packing, op8_ngram_jaccard_join,
-    op10_line_dedup,
+    op1_license_scans, op2_quality_classifier, op4_best_fit_packing, op7_benchmark_decontamination,
+    op8_ngram_jaccard_join, op10_line_dedup,
 )
 
 
@@ -54,10 +58,10 @@ def _ready(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: _ready(query) for query in ALL}
+    import corpus_pipeline
 
+    return {query.__name__: _ready(query) for query in ALL} | {"pipeline": corpus_pipeline.run}
 
-def oracle_sql() -> dict[str, str]:
-    from reasonmill.llm.oracles import ORACLES
 
-    return dict(ORACLES)
+def oracle_sql() -> dict[str, str]:
+    return dict(oracles.ORACLES)
