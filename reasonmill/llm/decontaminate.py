@@ -112,6 +112,8 @@ def matches(block: Block, items: Items, coverage: float) -> Iterator[tuple[int,
         return
     found = np.minimum(np.searchsorted(items.seeds, seeds), len(items.seeds) - 1)
     hit = np.flatnonzero(items.seeds[found] == seeds)
+    if not len(hit):
+        return
     found, at = found[hit], at[hit]
     per = items.first[found + 1] - items.first[found]
     text_at = np.repeat(at, per)
@@ -120,7 +122,7 @@ def matches(block: Block, items: Items, coverage: float) -> Iterator[tuple[int,
     item = np.searchsorted(items.bounds, item_at, side="right") - 1
     order = np.lexsort((item, text))
     text, item, text_at, item_at = text[order], item[order], text_at[order], item_at[order]
-    edge = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])))) if len(text) else []
+    edge = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]))))
     for a, b in zip(edge, [*edge[1:], len(text)], strict=True):
         size = items.bounds[item[a] + 1] - items.bounds[item[a]]
         # Tiles cannot cover more than the words below any seed, so few distinct seeds need no tiling.

@@ -149,27 +149,42 @@ def _linked(n: int, n_a: int, n_b: int, similarity: int) -> bool:
     return 100 * n >= similarity * (n_a + n_b - n)
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps leave room for a link."""
+    for batch in batches:
+        columns = [batch.column(n) for n in ("bitmap_a", "bitmap_b", "size_a", "size_b")]
+        room = []
+        for n in range(batch.num_rows):
+            n_a, n_b = columns[2][n].as_py(), columns[3][n].as_py()
+            most = bound(columns[0][n].as_buffer(), columns[1][n].as_buffer(), n_a, n_b)
+            room.append(_linked(most, n_a, n_b, similarity))
+        keep = pa.array(room, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+
 def _decide(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that link, by exact intersection."""
     for batch in batches:
-        columns = [batch.column(n) for n in ("bitmap_a", "bitmap_b", "shingles_a", "shingles_b")]
+        left, right = batch.column("shingles_a"), batch.column("shingles_b")
         links = []
         for n in range(batch.num_rows):
-            bitmap_a, bitmap_b, a, b = (c[n].as_buffer() for c in columns)
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            links.append(
-                _linked(bound(bitmap_a, bitmap_b, len(a), len(b)), len(a), len(b), similarity)
-                and _linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), similarity)
-            )
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a").filter(pa.array(links, pa.bool_())), batch.column("b").filter(pa.array(links, pa.bool_()))],
-            names=["a", "b"])
+            a, b = (np.frombuffer(c[n].as_buffer(), np.uint64) for c in (left, right))
+            links.append(_linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), similarity))
+        keep = pa.array(links, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of classes that link."""
-    side = lambda x: sets.select(
-        F.col("key").alias(x), F.col("bitmap").alias(f"bitmap_{x}"), F.col("shingles").alias(f"shingles_{x}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b")
+    """Pairs (a, b) of classes that link: bitmaps first, and the arrays only of pairs that are left."""
+    def side(x: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+    signed_pairs = pairs.join(side("a", "bitmap", "size"), "a").join(side("b", "bitmap", "size"), "b")
+    close = written(signed_pairs.mapInArrow(lambda batches: _bounded(batches, similarity), "a long, b long"), "close")
+    needed = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    few = sets.join(needed, "key", "left_semi").select("key", "shingles")
+    wide = close.join(few.withColumnsRenamed({"key": "a", "shingles": "shingles_a"}), "a").join(
+        few.withColumnsRenamed({"key": "b", "shingles": "shingles_b"}), "b")
     return wide.mapInArrow(lambda batches: _decide(batches, similarity), "a long, b long")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reasonmill.llm import decontaminate, jaccard, licenses, line_dedup, oracles, packing, quality
+from reasonmill.llm import decontaminate, jaccard, langid, licenses, line_dedup, oracles, packing, quality
 from reasonmill.llm.blocks import bound_batches
 from reasonmill.session import ship_package
 from reasonmill.sources.tables import table
@@ -25,6 +25,13 @@ def op2_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality.select(docs, table(spark, d, "labels")).drop("text")
 
 
+def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = langid.fit(docs)
+    texts = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.identify(texts, model).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted")
+
+
 def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
@@ -43,7 +50,8 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALL: tuple[Query, ...] = (
-    op1_license_scans, op2_quality_classifier, op4_best_fit_packing, op7_benchmark_decontamination,
+    op1_license_scans, op2_quality_classifier, op3_language_id, op4_best_fit_packing,
+    op7_benchmark_decontamination,
     op8_ngram_jaccard_join, op10_line_dedup,
 )
 
