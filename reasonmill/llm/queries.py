@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reasonmill.llm import decontaminate, jaccard, langid, licenses, line_dedup, oracles, packing, quality
+from reasonmill.llm import decontaminate, jaccard, langid, licenses, line_dedup, oracles, packing, quality, repeats
 from reasonmill.llm.blocks import bound_batches
 from reasonmill.session import ship_package
 from reasonmill.sources.tables import table
@@ -44,6 +44,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.join(table(spark, d, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, d, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, d, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_removed")
@@ -52,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 ALL: tuple[Query, ...] = (
     op1_license_scans, op2_quality_classifier, op3_language_id, op4_best_fit_packing,
     op7_benchmark_decontamination,
-    op8_ngram_jaccard_join, op10_line_dedup,
+    op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_line_dedup,
 )
 
 

@@ -47,3 +47,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
+
+
+BUCKETS = 1 << 18
+
+
+def only_near(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` may be among ``keys``: a semi join on hash buckets, of which there are at most BUCKETS, so
+    the broadcast is bounded. It only spares wide rows a shuffle; the exact join follows."""
+    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+    some = keys.select(bucket.alias("_bucket")).distinct()
+    return df.withColumn("_bucket", bucket).join(F.broadcast(some), "_bucket", "left_semi").drop("_bucket")
