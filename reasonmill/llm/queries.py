@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reasonmill.llm import decontaminate, jaccard, langid, licenses, line_dedup, oracles, packing, quality, repeats
+from reasonmill.llm import (
+    decontaminate, jaccard, langid, licenses, line_dedup, lm_score, neighbours, oracles, packing, quality, repeats,
+)
 from reasonmill.llm.blocks import bound_batches
 from reasonmill.session import ship_package
 from reasonmill.sources.tables import table
@@ -36,6 +38,15 @@ def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return lm_score.score(docs, lm_score.fit(docs, table(spark, d, "labels")))
+
+
+def op6_approximate_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.search(table(spark, d, "embeddings"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -55,7 +66,7 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 ALL: tuple[Query, ...] = (
     op1_license_scans, op2_quality_classifier, op3_language_id, op4_best_fit_packing,
-    op7_benchmark_decontamination,
+    op5_lm_scoring, op6_approximate_nearest_neighbours, op7_benchmark_decontamination,
     op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_line_dedup,
 )
 
