@@ -1,11 +1,12 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
-A rolling hash of ``TRIGGER`` bytes makes about every 32nd place of a text a trigger; triggers cut the text into phrases
+A rolling hash of ``TRIGGER`` bytes makes about every 64th place of a text a rare trigger, and every 32nd one that counts
+where no rare one is in reach; triggers cut the text into phrases
 that depend on the bytes alone, so repeated text is parsed alike wherever it stands. Every window of ``LENGTH`` bytes
 belongs to the first trigger in it, as the end of a phrase (a suffix of the dictionary) followed by what the parse says
 next. Windows of one trigger differ only in how much of the phrase they take.
 
-1. An occurrence of a trigger has a group (the ``RIGHT`` bytes from it on) and a context (all bytes of all its windows).
+1. An occurrence of a trigger has a group (the bytes that all its windows share) and a context (all bytes of them).
    Groups are counted; what occurs once holds no repeated window and goes. This leaves the phrases that repeat.
 2. Occurrences with equal contexts are one entry of the dictionary: if it has two, all its windows repeat.
 3. Only groups with several contexts are looked at window by window, one occurrence per context.
@@ -36,12 +37,18 @@ from reasonmill.llm.tables import only_near, written
 LENGTH = 200
 TRIGGER = 12
 RIGHT = 24
-_SHIFT = np.uint64(59)  # a trigger is where the five upper bits of the hash are zero
+_RARE, _OFTEN = np.uint64(58), np.uint64(59)  # a trigger is where the six, or five, upper bits of the hash are zero
 _REACH = LENGTH - RIGHT  # a trigger has windows that begin at most this far before it
+_NEAR = _REACH // 2  # and those that begin nearer than this are a band of their own
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 ROWS = "g long, c long, n int, k long, at long"
 
 
+def _group(prefix: np.ndarray, at: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Hash of the bytes that all windows of a trigger's band share."""
+    return span_hash(prefix, at - np.where(far, _NEAR, 0), at + np.where(far, RIGHT, LENGTH - _NEAR))
+
+
 class Parse:
     """Occurrences of triggers and bare windows of a block: text, place of the trigger, first and last window start."""
 
@@ -51,13 +58,26 @@ class Parse:
         places = max(len(data) - TRIGGER + 1, 0)
         _, down = powers(max(len(data), 1))
         hashes = (prefix[TRIGGER:TRIGGER + places] - prefix[:places]) * down[:places]
-        at = np.flatnonzero((hashes * MIX_2) >> _SHIFT == 0)
+        upper = hashes * MIX_2
+        at = np.flatnonzero(upper >> _OFTEN == 0)
         text = np.searchsorted(offsets, at, side="right") - 1
         inside = at + TRIGGER <= offsets[text + 1]
         at, text = at[inside], text[inside]
-        before = np.concatenate(([-1], at[:-1]))
-        low = np.maximum(np.maximum(before + 1, at - _REACH), offsets[text])
-        high = np.minimum(at, offsets[text + 1] - LENGTH)
+        rare = upper[at] >> _RARE == 0
+        # Windows belong to the first rare trigger they hold, without one to the first frequent one.
+        begin, end = offsets[text], offsets[text + 1]
+        none = len(data) + LENGTH
+        rare_at = np.where(rare, at, -1)
+        before = np.concatenate(([-1], np.maximum.accumulate(rare_at)[:-1])) if len(at) else at
+        after = np.minimum.accumulate(np.where(rare, at, none)[::-1])[::-1]
+        after = np.where(after < end, after, none)
+        previous = np.concatenate(([-1], at[:-1]))[:len(at)]
+        low = np.maximum(np.maximum(np.where(rare, before, previous) + 1, at - _REACH), begin)
+        high = np.minimum(np.where(rare, at, np.minimum(at, after - _REACH - 1)), end - LENGTH)
+        # Two bands by the distance of the trigger, so that the group key is long in both.
+        at, text = np.tile(at, 2), np.tile(text, 2)
+        low, high = np.concatenate([np.maximum(low, at[:len(low)] - _NEAR + 1), low]), np.concatenate(
+            [high, np.minimum(high, at[:len(high)] - _NEAR)])
         some = low <= high
         at, text, low, high = at[some], text[some], low[some], high[some]
         change = np.zeros(len(data) + 1, np.int64)
@@ -68,7 +88,7 @@ class Parse:
         np.add.at(starts, offsets[long], 1)
         np.add.at(starts, offsets[long + 1] - LENGTH + 1, -1)
         bare = np.flatnonzero((np.cumsum(starts) > 0) & (np.cumsum(change) == 0))
-        g = span_hash(prefix, at, at + RIGHT)
+        g = _group(prefix, at, at - high >= _NEAR)
         shape = ((at - low) << 8 | (high - low)).astype(np.uint64)
         c = mix(span_hash(prefix, low, high + LENGTH) + shape * MIX_1)
         half = LENGTH // 2
@@ -112,7 +132,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = np.repeat(np.arange(len(block)), np.diff(wanted.offsets.to_numpy()))
         low = (at >> 16) + block.offsets[text]
         count = (at & 255) + 1
-        group = span_hash(prefix, low + (at >> 8 & 255), low + (at >> 8 & 255) + RIGHT)
+        place, high = low + (at >> 8 & 255), low + (at & 255)
+        group = _group(prefix, place, place - high >= _NEAR)
         each = np.repeat(np.arange(len(at)), count)
         start = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
         yield pa.RecordBatch.from_arrays(
