@@ -34,6 +34,7 @@ else:
 SET = registry.lookup("ucihar")
 LABELS = classification.with_unknown(SET.classes)
 KEY = ("sample_id",)
+EVENT_TYPES = ("view", "click", "error", "signup", "purchase")
 WORDS = ("the", "and", "tion", "der", "une", "ing ", "zzz")
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,8 +87,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents on all cores; a folder with enough splits is read as it is."""
-    return derived.spread(table(spark, d, "documents"))
+    return table(spark, d, "documents")
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +223,7 @@ def turn_text_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_text_scores(spark: SparkSession, d: str) -> DataFrame:
-    pairs = derived.spread(derived.document_pairs(spark, d))
+    pairs = derived.document_pairs(spark, d)
     scores = textquality.text_scores(pairs, ["lang"], WORDS)
     return textquality.means(scores, by=["lang"])
 
@@ -322,8 +322,7 @@ def document_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turn_flags(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").where("role = 'assistant'")
-    return corpus.quality_flags(turns, "text").drop("text", "role")
+    return corpus.quality_flags(table(spark, d, "conversations"), "text").drop("text")
 
 
 def class_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -367,7 +366,9 @@ def smallest_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_shards(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.col("event_id").alias("index"), "event_type", "value")
-    return documents.merged_shards([rows.where(F.col("event_type") == t) for t in ("view", "click", "error")])
+    shards = [rows.where(F.col("event_type") == t) for t in EVENT_TYPES]
+    others = rows.where(F.col("event_type").isNull() | ~F.col("event_type").isin(*EVENT_TYPES))
+    return documents.merged_shards([*shards, others])
 
 
 def frequent_unresolved_sensors(spark: SparkSession, d: str) -> DataFrame:

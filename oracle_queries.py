@@ -661,7 +661,7 @@ ORACLES = {
     ),
     "document_flags": f"""SELECT {_FLAGGED} FROM (SELECT doc_id, {_flags('t')} FROM (
         SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'I Cannot say. ' || text ELSE text END AS t FROM documents))""",
-    "turn_flags": f"""SELECT {_FLAGGED} FROM (SELECT conv_id, turn, {_flags('text')} FROM conversations WHERE role = 'assistant')""",
+    "turn_flags": f"""SELECT {_FLAGGED} FROM (SELECT conv_id, turn, role, {_flags('text')} FROM conversations)""",
     "class_quality": f"""SELECT lang AS activity, round(avg(n_tokens), 6) AS avg_output_tokens,
         round(avg(confidence), 6) AS avg_confidence, round(avg(anomaly::INT), 6) AS anomaly_rate, count(*) AS sample_count
         FROM (SELECT {_FLAGGED} FROM (SELECT lang, CAST(nc % 100 AS DOUBLE) / 100 AS confidence, {_flags('text')}
@@ -676,8 +676,7 @@ ORACLES = {
         true AS parse_failed FROM documents""",
     "smallest_sources": """SELECT source || '_s' || doc_id AS file_name, n_chars AS file_size FROM documents
         ORDER BY n_chars, source || '_s' || doc_id LIMIT 40""",
-    "merged_shards": """SELECT event_id AS index, event_type, round(value, 6) AS value FROM events
-        WHERE event_type IN ('view', 'click', 'error')""",
+    "merged_shards": """SELECT event_id AS index, event_type, round(value, 6) AS value FROM events""",
     "frequent_unresolved_sensors": _on_relation(
         f"""SELECT {SENSORS_LOWER}[s + 1] AS raw, count(*) AS n FROM (
           SELECT o.s FROM ref_obs o JOIN n USING (sample_id) WHERE has_gen

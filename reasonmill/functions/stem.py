@@ -6,13 +6,9 @@ from functools import lru_cache
 
 # --- fixed values: irregular forms and the suffix tables of the published algorithm
 IRREGULAR = {
-    form: stem
-    for stem, forms in {
-        "sky": "sky skies", "die": "dying", "lie": "lying", "tie": "tying", "news": "news",
-        "inning": "innings inning", "outing": "outings outing", "canning": "cannings canning",
-        "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
-    }.items()
-    for form in forms.split()
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning",
+    "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning",
+    "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
 }
 STEP_2 = (
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
@@ -24,7 +20,8 @@ STEP_3 = (
     ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
 )
 STEP_4 = (
-    "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti",
+    "ous", "ive", "ize",
 )
 # --- end of fixed values
 

@@ -19,7 +19,8 @@ def requests(
     return corpus.split_oversized(prompts)
 
 
-def corpus_rows(answers: DataFrame, existing: DataFrame | None, model: str) -> DataFrame:
-    """Training examples of the answers whose key the corpus does not hold yet."""
-    examples = corpus.training_examples(corpus.reasoning_records(answers, model))
-    return corpus.new_rows(examples, existing, "input")
+def corpus_rows(answers: DataFrame, existing: DataFrame | None, model: str, order: str = "seq") -> DataFrame:
+    """Training examples of the answers whose key the corpus does not hold yet. Of several answers of a key the first
+    in run order counts; ``order`` names the column of ``answers`` that holds it, unique within a key."""
+    first = corpus.new_rows(answers, existing, order)
+    return corpus.training_examples(corpus.reasoning_records(first.drop(order), model))

@@ -42,20 +42,12 @@ _INFERENCE = """named_struct(
     'lost', (k + {j}) % 10 = 0, 't', cast((k + c + {j}) % 4 as int))"""
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A single small file is one task: deal its rows out to all cores. Inputs with enough splits stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def orders_relation(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order with the nodes of its reference and of its generated trace as arrays of integers."""
-    base = spread(
-        table(spark, folder, "orders").select(
-            F.col("o_orderkey").alias("k"),
-            F.col("o_custkey").alias("c"),
-            F.round(F.col("o_totalprice") * 100).cast("bigint").alias("p"),
-        )
+    base = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("k"),
+        F.col("o_custkey").alias("c"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("p"),
     )
     counted = base.selectExpr(
         "*",

@@ -43,18 +43,20 @@ def ingest(
 ) -> StreamingQuery:
     """Takes in all files that are there and stops. Run it again for what has come since.
 
-    Each micro-batch writes its own ``batch`` folder and replaces it when it is repeated, so a batch that failed
-    half-way leaves nothing twice. Keys of earlier batches are left out by an anti join; within a batch the first
-    file of a key counts.
+    Each micro-batch writes its own ``run`` and ``batch`` folder and replaces it when it is repeated, so a batch that
+    failed half-way leaves nothing twice. ``run`` is the query id that the checkpoint keeps: another checkpoint is
+    another run and never replaces what this one wrote. Keys of all other batches are left out by an anti join, so a key
+    keeps the row that came first; within a batch the first file of a key counts.
     """
 
     def write_batch(rows: DataFrame, batch: int) -> None:
-        folder = f"{target.rstrip('/')}/batch={batch}"
+        session = rows.sparkSession
+        run = session.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first().id
         earlier = None
         if path_exists(spark, target):
-            earlier = rows.sparkSession.read.schema(
-                "split string, sample_id string, batch bigint"
-            ).parquet(target).where(F.col("batch") != batch)
+            written = session.read.schema("split string, sample_id string, run string, batch bigint").parquet(target)
+            earlier = written.where((F.col("run") != run) | (F.col("batch") != batch))
+        folder = f"{target.rstrip('/')}/run={run}/batch={batch}"
         corpus.new_rows(rows, earlier, "file_name").write.mode("overwrite").parquet(folder)
 
     return (

@@ -88,8 +88,9 @@ def test_newest_run(spark):
 
 def test_corpus_written_read_and_resumed(spark, tmp_path):
     answers = spark.createDataFrame(
-        [("train", "1", "Standing", 0.12345, None, ANSWER), ("train", "1", "Standing", 0.5, None, "later")],
-        "split string, sample_id string, activity string, confidence double, mantis_embedding string, answer string",
+        [(2, "train", "1", "Standing", 0.12345, None, "later"), (1, "train", "1", "Standing", 0.5, None, ANSWER)],
+        "seq int, split string, sample_id string, activity string, confidence double, mantis_embedding string, "
+        "answer string",
     )
     rows = prepare.corpus_rows(answers, None, "m")
     path = str(tmp_path / "corpus")
@@ -97,7 +98,7 @@ def test_corpus_written_read_and_resumed(spark, tmp_path):
     (tmp_path / "corpus" / "split=train" / "bad.json").write_text("{broken\n")
     lines = documents.training_lines(spark, path).collect()
     assert len(lines) == 1 and lines[0].metadata.sample_id == "1"
-    assert "<think>" not in lines[0].output and "Model Confidence: 0.12" in lines[0].input
+    assert "<think>" not in lines[0].output and "Model Confidence: 0.5" in lines[0].input
     existing = documents.training_lines(spark, path).select("metadata.split", "metadata.sample_id")
     assert prepare.corpus_rows(answers, existing, "m").count() == 0
 
@@ -119,6 +120,18 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     assert row.reasoning_graph.n_observations == 1 and row.is_short and not row.leak
 
 
+def test_ingest_under_another_checkpoint_keeps_what_is_there(spark, tmp_path):
+    target = str(tmp_path / "out")
+    for n, names in enumerate((("train_a_s1", "train_a_s2"), ("train_b_s2", "train_b_s3"))):
+        source = tmp_path / f"in{n}"
+        source.mkdir()
+        for name in names:
+            put(source, f"{name}.json", {"activity": "Standing", "confidence": n / 2, "answer": ANSWER})
+        ingest(spark, str(source), target, str(tmp_path / f"state{n}")).awaitTermination()
+    rows = {r.sample_id: r.confidence for r in spark.read.parquet(target).collect()}
+    assert rows == {"s1": 0.0, "s2": 0.0, "s3": 0.5} or rows == {"1": 0.0, "2": 0.0, "3": 0.5}
+
+
 def test_evaluation_report(spark, tmp_path):
     text = ANSWER.replace("<think>x</think>", "")
     rows = spark.createDataFrame(
