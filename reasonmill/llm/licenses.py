@@ -143,7 +143,7 @@ def fit(docs: DataFrame, text_column: str = "text", background: int = BACKGROUND
     rows = training_rows(docs, text_column, background).distinct()
     data = _featured(rows).select(
         "label", "features", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held")
-    ).cache()
+    ).coalesce(4).cache()  # every step of the fit sends one gradient per partition
     classifier = LogisticRegression(
         family="multinomial", maxIter=30, regParam=1e-4, elasticNetParam=0.2, standardization=False
     ).fit(data.where("not held"))
