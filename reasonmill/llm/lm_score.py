@@ -5,9 +5,10 @@ words of all documents; any other word is one unknown word. The background count
 well (quality 1, toxic 0). The models are matched: same order, same bigrams, same smoothing, and background counts scaled
 to the target's number of tokens. p(w | h) = (c(h, w) + m p(w)) / (c(h) + m), with add-one unigrams below.
 
-Counts cover every text. They are added up within a task, then by shuffle. Of the bigrams the models keep those with at
-least one in ``2^20`` of all tokens' occurrences, so at most 2^20 are kept and broadcast whatever the corpus; the mass of
-the others stays with the unigrams, as c(h) is the sum of what is kept.
+Counts cover every text. They are added up within a task, then by shuffle, and all bigrams stay in the model, so it grows
+with the corpus. Only its head, the most frequent bigrams and at most ``2^20`` of them, is broadcast; every token whose
+bigram is not in the head is joined with the rest of the model by a shuffle. A bigram of the rest makes up about a
+millionth of all tokens at most, so no key of that join is hot. The size of the head changes no result.
 
 Defined results: a NULL text and one without words has no tokens and NULL losses; rows are scored each by itself; a
 rating without document and a document without rating are ignored by the target; without any target the target model is
@@ -17,19 +18,22 @@ uniform over the vocabulary; ties in frequency go to the smaller hash. Other col
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reasonmill.llm.blocks import Block, blocks, signed, unsigned
 from reasonmill.llm.tables import only_near, written
 
 VOCABULARY = 1 << 15
-KEPT_BITS = 20
+HEAD_BITS = 20
 SMOOTHING = 50.0
+# What the rest of the model adds to a loss is summed in whole steps of this size, so that the order of a sum is no matter.
+STEP = 2.0**-28
 _FLUSH = 1 << 20
 
 
@@ -98,40 +102,65 @@ class Model:
 
     words: np.ndarray
     keys: np.ndarray
-    pairs: np.ndarray  # log p of each kept bigram
+    pairs: np.ndarray  # log p of each bigram of the head
     singles: np.ndarray  # log p of each word
     rest: np.ndarray  # log of the share that the unigram gets after each word
+    tail: DataFrame | None = None  # (key, target, background): what other bigrams have above the unigram, in steps
 
-    def losses(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens, and the two mean losses (nats a token), of each text."""
+    def losses(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens and the two sums of losses (nats) of each text, with unigrams for bigrams that are not in the head;
+        the keys of those bigrams, and where the keys of each text begin."""
         now, before, bounds = bigrams(block, self.words)
-        out = np.full((len(block), 2), np.nan)
-        if len(now):
-            log = self.singles[now] + self.rest[before]
-            if len(self.keys):
-                key = (before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                log = np.where((self.keys[at] == key)[:, None], self.pairs[at], log)
-            sums = np.vstack([np.zeros((1, 2)), np.cumsum(log, axis=0)])
-            some = np.flatnonzero(np.diff(bounds))
-            out[some] = -(sums[bounds[some + 1]] - sums[bounds[some]]) / np.diff(bounds)[some][:, None]
-        return np.diff(bounds), out
-
-
-def build(words: np.ndarray, keys: np.ndarray, counts: np.ndarray, singles: np.ndarray, smoothing: float = SMOOTHING) -> Model:
-    """``counts``: kept bigrams' (target, background); ``singles``: all words' (target, background)."""
-    size = len(words) + 2
+        key = (before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)
+        log = self.singles[now] + self.rest[before]
+        known = np.zeros(len(key), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[at] == key
+            log[known] = self.pairs[at[known]]
+        sums = np.vstack([np.zeros((1, 2)), np.cumsum(log, axis=0)])
+        others = np.concatenate(([0], np.cumsum(~known)))
+        return np.diff(bounds), -(sums[bounds[1:]] - sums[bounds[:-1]]), key[~known], others[bounds]
+
+
+def build(words: np.ndarray, singles: np.ndarray, after: np.ndarray, smoothing: float = SMOOTHING) -> tuple[Model, np.ndarray]:
+    """Model without bigrams, and the scale of the counts. ``singles`` and ``after`` hold (target, background) counts of
+    every word and of the tokens after every word."""
     totals = singles.sum(axis=0)
     scale = np.array([1.0, totals[0] / totals[1] if totals[0] and totals[1] else 1.0])
-    single = (singles * scale + 1) / (totals * scale + size - 1)
+    single = (singles * scale + 1) / (totals * scale + len(words) + 1)
+    rest = np.log(smoothing / (after * scale + smoothing))
+    none = np.zeros(0, np.uint64)
+    return Model(words, none, np.zeros((0, 2)), np.log(single), rest), scale
+
+
+def pair_logs(model: Model, keys: np.ndarray, counts: np.ndarray, scale: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """log p of bigrams with the given (target, background) counts."""
     before, now = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    scaled = counts * scale
-    after = np.stack([np.bincount(before, scaled[:, n], size) for n in (0, 1)], axis=1)
-    pairs = (scaled + smoothing * single[now]) / (after[before] + smoothing)
-    return Model(words, keys, np.log(pairs), np.log(single), np.log(smoothing / (after + smoothing)))
+    return np.log(counts * scale / smoothing + np.exp(model.singles[now])) + model.rest[before]
+
+
+def _by_word(counts: DataFrame, word: Column, size: int) -> np.ndarray:
+    rows = counts.groupBy(word.alias("w")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
+    out = np.zeros((size, 2))  # a row a word of the vocabulary
+    out[rows.column("w").to_numpy()] = np.stack([rows.column(c).to_numpy() for c in "tb"], axis=1)
+    return out
+
 
+def _head(counts: DataFrame, bits: int) -> Column:
+    """Whether a bigram is of the head: the most frequent ones by eighths of powers of two, 2 ** bits at most."""
+    level = F.floor(F.log2("b") * 8)
+    least, total = None, 0
+    sizes = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}  # some hundred levels
+    for value in sorted(sizes, reverse=True):
+        total += sizes[value]
+        if total > 1 << bits:
+            break
+        least = value
+    return F.lit(False) if least is None else level >= least
 
-def fit(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, kept_bits: int = KEPT_BITS) -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, head_bits: int = HEAD_BITS) -> Model:
     docs = docs.select("doc_id", "text").where("text is not null")
     words = vocabulary(docs, size)
     good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
@@ -139,28 +168,55 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, kept_bits: i
     both = _bigram_counts(target, words).select("key", F.col("n").alias("t"), F.lit(0).cast("long").alias("b")).unionAll(
         _bigram_counts(docs, words).select("key", F.lit(0).cast("long"), F.col("n")))
     counts = written(both.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "bigrams")
-    single = counts.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w")).agg(
-        F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()  # a row a word of the vocabulary
-    singles = np.zeros((len(words) + 2, 2))
-    singles[single.column("w").to_numpy()] = np.stack([single.column(c).to_numpy() for c in "tb"], axis=1)
-    least = max(1, int(np.ceil(singles[:, 1].sum() / (1 << kept_bits))))
-    kept = counts.where(F.col("b") >= least).orderBy("key").toArrow()  # at most 2 ** kept_bits rows
-    keys = unsigned(kept.column("key").to_numpy())
-    return build(words, keys, np.stack([kept.column(c).to_numpy() for c in "tb"], axis=1).astype(float), singles)
+    singles = _by_word(counts, F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), len(words) + 2)
+    after = _by_word(counts, F.shiftright("key", 32), len(words) + 2)
+    model, scale = build(words, singles, after)
+
+    def logs(batch: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys = unsigned(batch.column("key").to_numpy())
+        return keys, pair_logs(model, keys, np.stack([batch.column(c).to_numpy() for c in "tb"], axis=1), scale)
+
+    def above_unigram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, log = logs(batch)
+            low = model.singles[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] + model.rest[(keys >> np.uint64(32)).astype(np.int64)]
+            steps = np.rint((log - low) / STEP).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(steps[:, 0]), pa.array(steps[:, 1])], names=["key", "target", "background"])
+
+    in_head = _head(counts, head_bits)
+    keys, pairs = logs(counts.where(in_head).orderBy("key").toArrow())  # at most 2 ** head_bits rows
+    tail = counts.where(~in_head).mapInArrow(above_unigram, "key long, target long, background long")
+    return replace(model, keys=keys, pairs=pairs, tail=tail)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score); score is the difference, lower is nearer the target."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, tail=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for block in blocks(batches):
-            tokens, losses = shared.value.losses(block)
-            none = tokens == 0
+            tokens, losses, keys, at = shared.value.losses(block)
             yield pa.RecordBatch.from_arrays(
-                [block.rows.column("doc_id"), pa.array(tokens.astype(np.int64)),
-                 *(pa.array(x, pa.float64(), mask=none) for x in (losses[:, 0], losses[:, 1], losses[:, 0] - losses[:, 1]))],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+                [block.rows.column("doc_id"), pa.array(row + np.arange(len(block))), pa.array(tokens.astype(np.int64)),
+                 pa.array(losses[:, 0]), pa.array(losses[:, 1]),
+                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(keys)))],
+                names=["doc_id", "row", "n_tokens", "target", "background", "others"])
+            row += len(block)
+
+    # Written once, so a row keeps its number whatever is computed again later.
+    known = written(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
+        run, "doc_id long, row long, n_tokens long, target double, background double, others array<long>"), "head-losses")
+    tail = model.tail.withColumnsRenamed({"target": "target_steps", "background": "background_steps"})
+    more = known.select("row", F.explode("others").alias("key")).join(tail, "key").groupBy("row").agg(
+        F.sum("target_steps").alias("target_steps"), F.sum("background_steps").alias("background_steps"))
+    joined = known.drop("others").join(more.hint("shuffle_hash"), "row", "left")
+
+    def loss(name: str) -> Column:
+        steps = F.coalesce(F.col(f"{name}_steps"), F.lit(0))
+        return F.when(F.col("n_tokens") > 0, (F.col(name) - steps * F.lit(STEP)) / F.col("n_tokens"))
+
+    return joined.select(
+        "doc_id", "n_tokens", loss("target").alias("target_loss"), loss("background").alias("background_loss"),
+        (loss("target") - loss("background")).alias("score"))

@@ -317,3 +317,52 @@ def test_matched_models_prefer_their_own_text(spark):
     at = np.searchsorted(model.keys, key)
     p = np.array([np.exp(model.pairs[a]) if a < len(model.keys) and model.keys[a] == k else s for a, k, s in zip(at, key, single, strict=True)])
     assert np.allclose(p.sum(axis=0), 1)
+
+
+def test_lm_scores_do_not_depend_on_the_broadcast_head(spark, docs):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    odd = docs.unionByName(docs.limit(20), allowMissingColumns=True)  # repeated rows are scored each
+    scores = []
+    for bits in (20, 10, 0):
+        model = lm_score.fit(odd, labels, size=500, head_bits=bits)
+        assert len(model.keys) <= 1 << bits
+        rows = lm_score.score(odd, model).collect()
+        scores.append(sorted((r.doc_id, r.n_tokens, r.target_loss or 0.0, r.background_loss or 0.0) for r in rows))
+    assert len(scores[0]) == odd.count() and model.tail.count() > 1000
+    assert np.allclose(scores[0], scores[1], atol=1e-7) and np.allclose(scores[0], scores[2], atol=1e-7)
+
+
+def test_lm_losses_equal_plain_counting(spark, docs):
+    import collections
+    import math
+
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    texts = {r.doc_id: re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode()))
+             for r in docs.collect()}
+    good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    count = collections.Counter(w for words in texts.values() for w in words)
+    names = {w: w for w in count}  # a vocabulary that holds every word
+    ids = [(d, words) for d, words in texts.items() if words]
+    sides = []
+    for some in ([w for d, w in ids if d in good], [w for _, w in ids]):
+        single = collections.Counter(names[w] for words in some for w in words)
+        pair = collections.Counter(p for words in some for p in zip([None, *words[:-1]], words, strict=True))
+        after = collections.Counter()
+        for (h, _), n in pair.items():
+            after[h] += n
+        sides.append((single, pair, after))
+    scale = [1.0, sum(sides[0][0].values()) / sum(sides[1][0].values())]
+    model = lm_score.fit(docs, labels, size=len(count), head_bits=8)
+    got = {r.doc_id: r for r in lm_score.score(docs, model).collect()}
+    m = lm_score.SMOOTHING
+    for d, words in ids[:60]:
+        want = []
+        for (single, pair, after), k in zip(sides, scale, strict=True):
+            total = sum(single.values()) * k
+            loss = 0.0
+            for h, w in zip([None, *words[:-1]], words, strict=True):
+                p = (single[w] * k + 1) / (total + len(count) + 1)
+                loss -= math.log((pair[h, w] * k + m * p) / (after[h] * k + m))
+            want.append(loss / len(words))
+        assert got[d].n_tokens == len(words)
+        assert math.isclose(got[d].target_loss, want[0], abs_tol=1e-6) and math.isclose(got[d].background_loss, want[1], abs_tol=1e-6)
