@@ -588,7 +588,8 @@ ORACLES = {
         ), r AS (SELECT sample_id, avg(m) AS x FROM (SELECT sample_id, ap, max(cs) AS m FROM s GROUP BY ALL) GROUP BY ALL),
         p AS (SELECT sample_id, avg(m) AS x FROM (SELECT sample_id, bp, max(cs) AS m FROM s GROUP BY ALL) GROUP BY ALL)
         SELECT sample_id, round(p.x, 6) AS vector_precision, round(r.x, 6) AS vector_recall,
-          round(2 * p.x * r.x / (p.x + r.x), 6) AS vector_f1 FROM p JOIN r USING (sample_id)""",
+          round(2 * p.x * r.x / (p.x + r.x), 6) AS vector_f1
+        FROM (SELECT DISTINCT sample_id FROM v) LEFT JOIN p USING (sample_id) LEFT JOIN r USING (sample_id)""",
     "judge_requests": _on_relation(
         """SELECT sample_id, 'observation' AS kind, i - 1 AS i, j - 1 AS j, d <= 1 AS asked,
           CASE WHEN d > 1 THEN 'NO' END AS auto_verdict

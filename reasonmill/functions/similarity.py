@@ -106,10 +106,11 @@ def meteor_score(reference: str, generated: str) -> float:
 @F.arrow_udf(T.DoubleType())
 def _meteor(reference: pa.Array, generated: pa.Array) -> pa.Array:
     pairs = zip(reference.to_pylist(), generated.to_pylist(), strict=True)
-    return pa.array([None if r is None or g is None else meteor_score(r, g) for r, g in pairs], pa.float64())
+    return pa.array([meteor_score(r or "", g or "") for r, g in pairs], pa.float64())
 
 
 def meteor(reference: Column | str, generated: Column | str) -> Column:
+    """0 when either text is NULL or blank, as for the other overlap scores."""
     return _meteor(as_column(reference), as_column(generated))
 
 
@@ -130,8 +131,9 @@ BEST_MATCHES = T.StructType(
 )
 
 
-def _unit_rows(vectors: list[list[float]]) -> np.ndarray:
-    matrix = np.asarray(vectors, dtype=np.float64)
+def _unit_rows(vectors: pa.ListArray) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = flat.reshape(len(vectors), -1)
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
@@ -140,8 +142,8 @@ def _unit_rows(vectors: list[list[float]]) -> np.ndarray:
 def best_cosines(left: pa.Array, right: pa.Array) -> pa.Array:
     """Two blocks of vectors: the greatest cosine of each vector with any vector of the other block."""
     out = []
-    for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
-        cosine = _unit_rows(a) @ _unit_rows(b).T
+    for a, b in zip(left, right, strict=True):
+        cosine = _unit_rows(a.values) @ _unit_rows(b.values).T
         out.append({"left": cosine.max(axis=1).tolist(), "right": cosine.max(axis=0).tolist()})
     return pa.array(
         out, pa.struct([("left", pa.list_(pa.float64())), ("right", pa.list_(pa.float64()))])

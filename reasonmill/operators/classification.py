@@ -34,6 +34,12 @@ def pair_counts(
 def _per_class(counts: DataFrame, labels: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Spread each pair over the label list: rows stay few, as the pair table is already aggregated."""
     label = F.col("label")
+    if not by:  # an empty input has its labels too
+        nothing = counts.sparkSession.range(1).select(
+            F.lit(None).cast("string").alias("gt"), F.lit(None).cast("string").alias("pred"),
+            F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_equal"),
+        )
+        counts = counts.unionByName(nothing)
     n_where = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     spread = counts.select(
         "*", F.posexplode(strings(labels)).alias("ordinal", "label")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reasonmill.functions.expr import share
+from reasonmill.functions.expr import defined, share
 from reasonmill.functions.parse import corpus_graph
 from reasonmill.functions.text import (
     ANSWER_TOKEN_LIMIT, PROMPT_TOKEN_LIMIT, SHORT_TOKENS, blank_token_count, clean_answer, is_blank,
@@ -186,7 +186,7 @@ def quality_flags(answers: DataFrame, text: str = "answer", tokens: Column | Non
 def class_summary(flagged: DataFrame, activity: str = "activity", by: Sequence[str] = ()) -> DataFrame:
     return flagged.groupBy(*by, F.col(activity).alias("activity")).agg(
         F.avg("n_tokens").alias("avg_output_tokens"),
-        F.avg("confidence").alias("avg_confidence"),
+        F.avg(defined("confidence")).alias("avg_confidence"),
         share(F.count(F.when(F.col("anomaly"), 1)), F.count("*")).alias("anomaly_rate"),
         F.count("*").alias("sample_count"),
     )

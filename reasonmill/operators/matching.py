@@ -604,14 +604,15 @@ def match_table(scored: DataFrame, keys: Sequence[str], kind: str = OBS) -> Data
 
 
 def summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Means over samples for all samples and, scored ones only, split by correctness of the class."""
+    """Means over samples for all samples and, scored ones only, split by correctness of the class. All three strata have
+    a row; one without samples has counts of 0 and NULL means."""
     correct = F.col("gt_activity").eqNullSafe(F.col("predicted_activity"))
     strata = F.when(F.col("snm_skipped"), F.array(F.lit("all"))).otherwise(
         F.array(F.lit("all"), F.when(correct, "correct").otherwise("incorrect"))
     )
     count_if = lambda c: F.count(F.when(c, 1))
     slim = scored.select(*by, "snm_skipped", "skip_reason", F.explode(strata).alias("stratum"), *SCORES)
-    return slim.groupBy(*by, "stratum").agg(
+    found = slim.groupBy(*by, "stratum").agg(
         F.count("*").alias("n_total"),
         count_if(~F.col("snm_skipped")).alias("n_scored"),
         count_if(F.col("snm_skipped")).alias("n_skipped"),
@@ -619,3 +620,11 @@ def summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         count_if(F.col("skip_reason") == "pred_parse_fail").alias("n_pred_parse_fail"),
         *[F.avg(c).alias(c) for c in SCORES],
     )
+    counts = ["n_total", "n_scored", "n_skipped", "n_gt_parse_fail", "n_pred_parse_fail"]
+    # At most three rows a group.
+    few = found.groupBy(*by).agg(F.collect_list(F.struct("stratum", *counts, *SCORES)).alias("rows"))
+    named = few.select(*by, "rows", F.explode(strings(["all", "correct", "incorrect"])).alias("stratum"))
+    row = F.get(F.filter("rows", lambda r: r["stratum"] == F.col("stratum")), F.lit(0))
+    return named.select(*by, "stratum", row.alias("row")).select(
+        *by, "stratum", *[F.coalesce(F.col(f"row.{c}"), F.lit(0)).alias(c) for c in counts], *[f"row.{c}" for c in SCORES],
+    )

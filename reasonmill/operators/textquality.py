@@ -81,7 +81,8 @@ def vector_f1(
 
     Vectors are packed into blocks of bounded size. Two blocks give one cosine matrix inside a task, of which only
     the maxima leave it: no pair of vectors is ever a row. The blocks of a very long sample are dealt out over
-    a grid of cells, so that their matrices are spread over many tasks.
+    a grid of cells, so that their matrices are spread over many tasks. A sample with vectors on one side only keeps its
+    row, with NULL scores.
     """
     per_cell = block_size * blocks_per_cell
     cells = lambda name: F.greatest(
@@ -123,6 +124,6 @@ def vector_f1(
         F.avg(F.when(F.col("side") == "r", F.col("score"))).alias("vector_precision"),
         F.avg(F.when(F.col("side") == "l", F.col("score"))).alias("vector_recall"),
     )
-    return scored.withColumn(
+    return grid.select("sample_id").join(scored, "sample_id", "left").withColumn(
         "vector_f1", harmonic_mean(F.col("vector_precision"), F.col("vector_recall"))
     )

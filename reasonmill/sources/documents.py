@@ -66,11 +66,21 @@ def latest_per_sample(documents: DataFrame) -> DataFrame:
     )
 
 
-def numeric_key(name: Column | str) -> Column:
-    """Last number in the stem of a file name, 0 without one."""
+def _last_number(name: Column | str) -> Column:
     stem = F.regexp_replace(as_column(name), r"(?<=.)\.[^.]*\z", "")
     numbers = F.regexp_extract_all(stem, F.lit(r"\p{Nd}+"), F.lit(0))
-    return F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.lit("0")).cast("decimal(38,0)")
+    return F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.lit("0"))
+
+
+def numeric_key(name: Column | str) -> Column:
+    """Last number in the stem of a file name, 0 without one; NULL beyond 38 digits."""
+    return _last_number(name).try_cast("decimal(38,0)")
+
+
+def numeric_order(name: Column | str) -> Column:
+    """Sorts file names by their last number, which may have any length."""
+    digits = F.regexp_replace(_last_number(name), "^0+", "")
+    return F.struct(F.length(digits).alias("length"), digits.alias("digits"))
 
 
 def reference_texts(
@@ -91,7 +101,7 @@ def reference_texts(
 def latest_reference(texts: DataFrame) -> DataFrame:
     usable = texts.where("sample_id <> '' and reference <> ''")
     return usable.groupBy("sample_id").agg(
-        F.max_by("reference", F.struct(numeric_key("file_name"), F.col("file_name"))).alias("reference")
+        F.max_by("reference", F.struct(numeric_order("file_name"), F.col("file_name"))).alias("reference")
     )
 
 
@@ -115,7 +125,7 @@ def sensor_embeddings(
         F.coalesce(F.col(f"`{text_key}`"), F.lit("")).alias("ground_truth_reasoning"),
         "file_name",
     )
-    return first_rows(rows, limit, numeric_key("file_name"), "file_name")
+    return first_rows(rows, limit, numeric_order("file_name"), "file_name")
 
 
 def embedding_widths(rows: DataFrame) -> DataFrame:
