@@ -1,14 +1,18 @@
 """Cross-entropy difference: how much better a target model predicts a text than a background model does.
 
-Both are bigram models over words (as in the shingle operators) with one vocabulary: the ``vocabulary`` most frequent
-words of all documents; any other word is one unknown word. The background counts all documents, the target those rated
-well (quality 1, toxic 0). The models are matched: same order, same bigrams, same smoothing, and background counts scaled
-to the target's number of tokens. p(w | h) = (c(h, w) + m p(w)) / (c(h) + m), with add-one unigrams below.
+Both are bigram models over words (as in the shingle operators) with one vocabulary: every word of all documents, and one
+unknown word for what no document holds. The background counts all documents, the target those rated well (quality 1,
+toxic 0). The models are matched: same order, same bigrams, same smoothing, and background counts scaled to the target's
+number of tokens. p(w | h) = (c(h, w) + m p(w)) / (c(h) + m), with add-one unigrams below.
 
-Counts cover every text. They are added up within a task, then by shuffle, and all bigrams stay in the model, so it grows
-with the corpus. Only its head, the most frequent bigrams and at most ``2^20`` of them, is broadcast; every token whose
-bigram is not in the head is joined with the rest of the model by a shuffle. A bigram of the rest makes up about a
-millionth of all tokens at most, so no key of that join is hot. The size of the head changes no result.
+Counts cover every text. They are added up within a task, then by shuffle, and all words and bigrams stay in the model, so
+it grows with the corpus. Only its head is broadcast: the ``size`` most frequent words, and the most frequent bigrams of
+these, at most ``2^20``. Every token whose word or bigram is not in the head is joined with the rest of the model by a
+shuffle. What is not in the head is a small share of all tokens each, so no key of that join is hot. The sizes of the head
+change no result.
+
+Words are known by 61 bits of a hash, bigrams outside the head words by 63 bits. Keys, as signed numbers: from 0 a bigram
+of head words (their places), from 2^62 a word outside the head (odd: at the end of a text), below 0 any other bigram.
 
 Defined results: a NULL text and one without words has no tokens and NULL losses; rows are scored each by itself; a
 rating without document and a document without rating are ignored by the target; without any target the target model is
@@ -23,34 +27,37 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reasonmill.llm.blocks import Block, blocks, signed, unsigned
+from reasonmill.llm.blocks import WORD_BASE, Block, blocks, mix, signed, unsigned
 from reasonmill.llm.tables import only_near, written
 
-VOCABULARY = 1 << 15
+VOCABULARY = 1 << 15  # words of the head
 HEAD_BITS = 20
 SMOOTHING = 50.0
 # What the rest of the model adds to a loss is summed in whole steps of this size, so that the order of a sum is no matter.
 STEP = 2.0**-28
 _FLUSH = 1 << 20
+_WORD = 1 << 62
 
 
 class Counts:
     """Counts of keys within a task, handed on whenever there are many."""
 
     def __init__(self) -> None:
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.counts, self.others = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, keys: np.ndarray) -> None:
-        some, n = np.unique(keys, return_counts=True)
-        merged, back = np.unique(np.concatenate([self.keys, some]), return_inverse=True)
-        self.counts = np.bincount(back, np.concatenate([self.counts, n]), len(merged)).astype(np.int64)
-        self.keys = merged
+    def add(self, keys: np.ndarray, others: np.ndarray) -> None:
+        """``others`` depends on the key alone."""
+        some, first, n = np.unique(keys, return_index=True, return_counts=True)
+        self.keys, at, back = np.unique(np.concatenate([self.keys, some]), return_index=True, return_inverse=True)
+        self.others = np.concatenate([self.others, others[first]])[at]
+        self.counts = np.bincount(back, np.concatenate([self.counts, n]), len(self.keys)).astype(np.int64)
 
     def flush(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(signed(self.keys)), pa.array(self.counts)], names=["key", "n"])
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(signed(self.keys)), pa.array(self.others), pa.array(self.counts)], names=["key", "other", "n"])
         self.__init__()
         return out
 
@@ -58,97 +65,117 @@ class Counts:
 def _counted(batches: Iterator[pa.RecordBatch], keys) -> Iterator[pa.RecordBatch]:
     counts = Counts()
     for block in blocks(batches):
-        counts.add(keys(block))
+        counts.add(*keys(block))
         if len(counts.keys) > _FLUSH:
             yield counts.flush()
     yield counts.flush()
 
 
+def word_ids(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """61 bits of the hash of every word, as an even number from 2^62, and where texts begin."""
+    hashes, bounds = block.word_hashes()
+    return ((hashes >> np.uint64(3)) << np.uint64(1)) | np.uint64(_WORD), bounds
+
+
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the most frequent words, sorted."""
-    words = docs.select("text").mapInArrow(
-        lambda batches: _counted(batches, lambda b: b.word_hashes()[0]), "key long, n long")
+    """Ids of the most frequent words, sorted."""
+    def keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        ids, _ = word_ids(block)
+        return ids, np.zeros(len(ids), np.int64)
+
+    words = docs.select("text").mapInArrow(lambda batches: _counted(batches, keys), "key long, other long, n long")
     top = words.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size).select("key")
     return np.sort(unsigned(top.toArrow().column("key").to_numpy()))
 
 
-def bigrams(block: Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of each word (0: unknown) and of the one before it (first: len + 1), and where texts begin."""
-    hashes, bounds = block.word_hashes()
+@dataclass
+class Bigrams:
+    """The bigrams of some texts. ``now`` and ``before`` are places of head words (0: not of the head; before the first
+    word: len + 1); ``bounds`` says where texts begin."""
+
+    ids: np.ndarray
+    now: np.ndarray
+    before: np.ndarray
+    keys: np.ndarray
+    last: np.ndarray  # whether a word ends its text
+    bounds: np.ndarray
+
+
+def bigrams(block: Block, words: np.ndarray) -> Bigrams:
+    ids, bounds = word_ids(block)
     if len(words):
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        now = np.where(words[at] == hashes, at + 1, 0)
+        at = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+        now = np.where(words[at] == ids, at + 1, 0)
     else:
-        now = np.zeros(len(hashes), np.int64)
+        now = np.zeros(len(ids), np.int64)
     before = np.concatenate(([0], now[:-1]))[:len(now)]
-    starts = bounds[:-1][np.diff(bounds) > 0]
+    id_before = np.concatenate((np.zeros(1, np.uint64), ids[:-1]))[:len(ids)]
+    some = np.diff(bounds) > 0
+    starts = bounds[:-1][some]
     before[starts] = len(words) + 1
-    return now, before, bounds
+    id_before[starts] = 1  # no word has it
+    last = np.zeros(len(ids), bool)
+    last[bounds[1:][some] - 1] = True
+    mixed = mix(mix(id_before) * WORD_BASE + ids) | np.uint64(1 << 63)
+    head = (before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)
+    return Bigrams(ids, now, before, np.where((now > 0) & (before > 0), head, mixed), last, bounds)
 
 
 def _bigram_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """(key, word, n) of every bigram; ends of texts are bigrams with a last "word" len + 1. ``word`` is the place of the
+    second word, or its id if that is not of the head."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def keys(block: Block) -> np.ndarray:
-        now, before, _ = bigrams(block, shared.value)
-        return (before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)
+    def keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        b = bigrams(block, shared.value)
+        end = np.uint64(len(shared.value) + 1)
+        final = np.where(b.now > 0, (b.now.astype(np.uint64) << np.uint64(32)) | end, b.ids | np.uint64(1))[b.last]
+        word = np.where(b.now > 0, b.now, signed(b.ids))
+        at_end = np.where(b.now > 0, np.int64(end), signed(b.ids))[b.last]
+        return np.concatenate([b.keys, final]), np.concatenate([word, at_end])
 
-    return docs.select("text").mapInArrow(lambda batches: _counted(batches, keys), "key long, n long")
+    return docs.select("text").mapInArrow(
+        lambda batches: _counted(batches, keys), "key long, other long, n long").withColumnRenamed("other", "word")
 
 
 @dataclass
 class Model:
     """Shared vocabulary and bigrams; a column of log probabilities each for target (0) and background (1)."""
 
-    words: np.ndarray
+    words: np.ndarray  # ids of the head words
     keys: np.ndarray
     pairs: np.ndarray  # log p of each bigram of the head
-    singles: np.ndarray  # log p of each word
-    rest: np.ndarray  # log of the share that the unigram gets after each word
-    tail: DataFrame | None = None  # (key, target, background): what other bigrams have above the unigram, in steps
+    singles: np.ndarray  # log p of each head word; first that of an unknown word
+    rest: np.ndarray  # log of the share that the unigram gets after each head word; first that after an unknown word
+    tail: DataFrame | None = None  # (key, target, background): what other bigrams and words add, in steps
 
     def losses(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens and the two sums of losses (nats) of each text, with unigrams for bigrams that are not in the head;
-        the keys of those bigrams, and where the keys of each text begin."""
-        now, before, bounds = bigrams(block, self.words)
-        key = (before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)
-        log = self.singles[now] + self.rest[before]
-        known = np.zeros(len(key), bool)
+        """Tokens and the two sums of losses (nats) of each text, with unigrams for bigrams that are not in the head and
+        the unknown word for words that are not; the keys of those, and where the keys of each text begin."""
+        b = bigrams(block, self.words)
+        log = self.singles[b.now] + self.rest[b.before]
+        known = np.zeros(len(b.keys), bool)
         if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
+            at = np.minimum(np.searchsorted(self.keys, b.keys), len(self.keys) - 1)
+            known = self.keys[at] == b.keys
             log[known] = self.pairs[at[known]]
         sums = np.vstack([np.zeros((1, 2)), np.cumsum(log, axis=0)])
-        others = np.concatenate(([0], np.cumsum(~known)))
-        return np.diff(bounds), -(sums[bounds[1:]] - sums[bounds[:-1]]), key[~known], others[bounds]
+        wanted = np.stack([~known, b.now == 0], axis=1)
+        others = np.concatenate(([0], np.cumsum(wanted.sum(axis=1))))
+        keys = np.stack([b.keys, b.ids | b.last.astype(np.uint64)], axis=1)[wanted]
+        return np.diff(b.bounds), -(sums[b.bounds[1:]] - sums[b.bounds[:-1]]), keys, others[b.bounds]
 
 
-def build(words: np.ndarray, singles: np.ndarray, after: np.ndarray, smoothing: float = SMOOTHING) -> tuple[Model, np.ndarray]:
-    """Model without bigrams, and the scale of the counts. ``singles`` and ``after`` hold (target, background) counts of
-    every word and of the tokens after every word."""
-    totals = singles.sum(axis=0)
-    scale = np.array([1.0, totals[0] / totals[1] if totals[0] and totals[1] else 1.0])
-    single = (singles * scale + 1) / (totals * scale + len(words) + 1)
-    rest = np.log(smoothing / (after * scale + smoothing))
-    none = np.zeros(0, np.uint64)
-    return Model(words, none, np.zeros((0, 2)), np.log(single), rest), scale
-
-
-def pair_logs(model: Model, keys: np.ndarray, counts: np.ndarray, scale: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log p of bigrams with the given (target, background) counts."""
-    before, now = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return np.log(counts * scale / smoothing + np.exp(model.singles[now])) + model.rest[before]
-
-
-def _by_word(counts: DataFrame, word: Column, size: int) -> np.ndarray:
-    rows = counts.groupBy(word.alias("w")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    out = np.zeros((size, 2))  # a row a word of the vocabulary
+def _by_number(counts: DataFrame, number: Column, size: int) -> np.ndarray:
+    rows = counts.groupBy(number.alias("w")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
+    out = np.zeros((size, 2))  # a row a word of the head
     out[rows.column("w").to_numpy()] = np.stack([rows.column(c).to_numpy() for c in "tb"], axis=1)
     return out
 
 
 def _head(counts: DataFrame, bits: int) -> Column:
-    """Whether a bigram is of the head: the most frequent ones by eighths of powers of two, 2 ** bits at most."""
+    """Whether a bigram of head words is of the head: the most frequent ones by eighths of powers of two, 2 ** bits at
+    most."""
     level = F.floor(F.log2("b") * 8)
     least, total = None, 0
     sizes = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}  # some hundred levels
@@ -160,34 +187,83 @@ def _head(counts: DataFrame, bits: int) -> Column:
     return F.lit(False) if least is None else level >= least
 
 
-def fit(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, head_bits: int = HEAD_BITS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, head_bits: int = HEAD_BITS,
+        smoothing: float = SMOOTHING) -> Model:
     docs = docs.select("doc_id", "text").where("text is not null")
     words = vocabulary(docs, size)
+    end = len(words) + 1
     good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
     target = only_near(docs, good, "doc_id").join(good, "doc_id")
-    both = _bigram_counts(target, words).select("key", F.col("n").alias("t"), F.lit(0).cast("long").alias("b")).unionAll(
-        _bigram_counts(docs, words).select("key", F.lit(0).cast("long"), F.col("n")))
-    counts = written(both.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "bigrams")
-    singles = _by_word(counts, F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), len(words) + 2)
-    after = _by_word(counts, F.shiftright("key", 32), len(words) + 2)
-    model, scale = build(words, singles, after)
+    none = F.lit(0).cast("long")
+    both = _bigram_counts(target, words).select("key", "word", F.col("n").alias("t"), none.alias("b")).unionAll(
+        _bigram_counts(docs, words).select("key", "word", none, F.col("n")))
+    # Bigrams that end with the same word outside the head lie together, so its own count is known without a join.
+    place = F.when(F.col("word") >= _WORD, F.col("word")).otherwise(F.col("key"))
+    added = both.withColumn("place", place).repartition("place").groupBy("place", "key", "word").agg(
+        F.sum("t").alias("t"), F.sum("b").alias("b"))
+    same = Window.partitionBy("place")
+    inside = F.col("key") < _WORD  # not the end of a text
+    counts = written(added.select(
+        "key", "word", "t", "b", *[F.when(F.col("word") >= _WORD, F.sum(F.when(inside, F.col(c)).otherwise(none)).over(same))
+                                   .alias(f"word_{c}") for c in "tb"]), "bigrams")
+    outside = counts.where(F.col("word") >= _WORD)
+    rare = outside.groupBy("word").agg(
+        F.max("word_t").alias("t"), F.max("word_b").alias("b"),
+        *[F.sum(F.when(~inside, F.col(c)).otherwise(none)).alias(f"last_{c}") for c in "tb"])
+    rare = written(rare, "words")
+    sums = rare.agg(F.count("*"), *[F.coalesce(F.sum(c), none) for c in ("t", "b", "last_t", "last_b")]).first()
+    numbered = _by_number(counts.where(F.col("word") < _WORD), F.col("word"), end + 1)
+    ends = _by_number(counts.where(F.col("word") == end), F.shiftright("key", 32), end + 1)
+    n_words = len(words) + sums[0]
+    singles = numbered.copy()
+    singles[end] = 0
+    after = singles - ends
+    after[end] = numbered[end] + np.array(sums[3:5])  # before the first word of each text
+    totals = singles.sum(axis=0) + np.array(sums[1:3])
+    scale = np.array([1.0, totals[0] / totals[1] if totals[0] and totals[1] else 1.0])
+
+    def single(count: np.ndarray) -> np.ndarray:
+        return np.log((count * scale + 1) / (totals * scale + n_words + 1))
 
-    def logs(batch: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        keys = unsigned(batch.column("key").to_numpy())
-        return keys, pair_logs(model, keys, np.stack([batch.column(c).to_numpy() for c in "tb"], axis=1), scale)
+    def rest(count: np.ndarray) -> np.ndarray:
+        return np.log(smoothing / (count * scale + smoothing))
+
+    none_yet = np.zeros(0, np.uint64)
+    model = Model(words, none_yet, np.zeros((0, 2)), single(singles), rest(after))
+
+    def two(batch: pa.Table | pa.RecordBatch, name: str = "") -> np.ndarray:
+        return np.stack([batch.column(f"{name}{c}").to_numpy() for c in "tb"], axis=1)
+
+    def steps(key: pa.Array, log: np.ndarray) -> pa.RecordBatch:
+        n = np.rint(log / STEP).astype(np.int64)
+        return pa.RecordBatch.from_arrays([key, pa.array(n[:, 0]), pa.array(n[:, 1])], names=["key", "target", "background"])
 
     def above_unigram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, log = logs(batch)
-            low = model.singles[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] + model.rest[(keys >> np.uint64(32)).astype(np.int64)]
-            steps = np.rint((log - low) / STEP).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(steps[:, 0]), pa.array(steps[:, 1])], names=["key", "target", "background"])
+            word = batch.column("word").to_numpy()
+            head = word < _WORD
+            low = np.where(head[:, None], model.singles[np.where(head, word, 0)], single(two(batch, "word_")))
+            yield steps(batch.column("key"), np.log(two(batch) * scale / smoothing + np.exp(low)) - low)
 
-    in_head = _head(counts, head_bits)
-    keys, pairs = logs(counts.where(in_head).orderBy("key").toArrow())  # at most 2 ** head_bits rows
-    tail = counts.where(~in_head).mapInArrow(above_unigram, "key long, target long, background long")
-    return replace(model, keys=keys, pairs=pairs, tail=tail)
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A word outside the head above the unknown word, and what it leaves to the unigram of a word after it."""
+        for batch in batches:
+            word, count = batch.column("word").to_numpy(), two(batch)
+            log = single(count) - model.singles[0]
+            yield steps(pa.array(word), log + rest(count - two(batch, "last_")))
+            yield steps(pa.array(word | 1), log)
+
+    pairs = counts.where((F.col("word") != end) & inside)
+    frequent = pairs.where("key >= 0")
+    in_head = (F.col("key") >= 0) & _head(frequent, head_bits)
+    top = frequent.where(in_head).orderBy("key").toArrow()  # at most 2 ** head_bits rows
+    keys = unsigned(top.column("key").to_numpy())
+    now, before = top.column("word").to_numpy(), (keys >> np.uint64(32)).astype(np.int64)
+    logs = np.log(two(top) * scale / smoothing + np.exp(model.singles[now])) + model.rest[before]
+    kind = "key long, target long, background long"
+    filled = pairs.where(~in_head).fillna(0, ["word_t", "word_b"])
+    tail = filled.mapInArrow(above_unigram, kind).unionAll(rare.mapInArrow(of_words, kind))
+    return replace(model, keys=keys, pairs=logs, tail=tail)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

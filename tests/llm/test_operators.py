@@ -366,3 +366,17 @@ def test_lm_losses_equal_plain_counting(spark, docs):
             want.append(loss / len(words))
         assert got[d].n_tokens == len(words)
         assert math.isclose(got[d].target_loss, want[0], abs_tol=1e-6) and math.isclose(got[d].background_loss, want[1], abs_tol=1e-6)
+
+
+def test_lm_scores_know_every_word(spark, docs):
+    """Words outside the broadcast head keep their own counts, also in texts that the model has not seen."""
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    more = docs.select("doc_id", "text").unionByName(frame(spark, [
+        (10**6, "zzyzx quux zzyzx"), (10**6 + 1, " ".join(r.text or "" for r in docs.orderBy("doc_id").limit(3).collect())[::3])]))
+    scores = []
+    for size in (1 << 20, 500, 0):
+        model = lm_score.fit(docs, labels, size=size, head_bits=12)
+        rows = lm_score.score(more, model).collect()
+        scores.append(sorted((r.doc_id, r.n_tokens, r.target_loss or 0.0, r.background_loss or 0.0) for r in rows))
+    assert len(scores[0]) == more.count()
+    assert np.allclose(scores[0], scores[1], atol=1e-6) and np.allclose(scores[0], scores[2], atol=1e-6)
