@@ -269,6 +269,31 @@ def test_licences_are_named_and_prose_is_unknown(spark, docs):
         (1, 1, "mit"), (2, 0, "apache-2.0"), (2, 0, "apache-2.0")]
 
 
+def test_wrapped_licences_and_headings_are_found(spark, docs):
+    mit = """# Copyright (c) 2020 Somebody
+#
+# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights
+# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+    gpl = """/* prose about the program stands before it
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ */"""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    long = "\n".join(["many other words of prose stand here"] * 30)
+    rows = [(1, mit), (2, gpl.format(3)), (3, gpl.format(2)), (4, bsd), (5, f"{long}\n{bsd}\n{long}"),
+            (6, "MIT License\n\nmore"), (7, "BSD 3-Clause License"), (8, "GNU General Public License, version 2."),
+            (9, "This library is licensed under the GNU Lesser General Public License, version 3."),
+            (10, "He asked why the MIT License was read aloud in class."), (11, f"{bsd}\n{long}\n{bsd}")]
+    found = licenses.scan(frame(spark, rows), licenses.fit(docs, background=100)).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in found) == [
+        (1, 2, "mit"), (2, 1, "gpl-3.0"), (3, 1, "gpl-2.0"), (4, 0, "bsd-3-clause"), (5, 30, "bsd-3-clause"), (6, 0, "mit"),
+        (7, 0, "bsd-3-clause"), (8, 0, "gpl-2.0"), (11, 0, "bsd-3-clause"), (11, 32, "bsd-3-clause")]
+
+
 def test_quality_separates_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
