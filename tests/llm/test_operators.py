@@ -308,6 +308,25 @@ def test_quality_separates_held_out_documents(spark):
     assert all(0 <= r.p_top <= r.expected_grade <= 2 for r in scored)
 
 
+def test_quality_threshold_rejects_toxic_and_poor_and_minds_no_outlier(spark):
+    rng = np.random.default_rng(3)
+    # A few wrongly rated good texts do not pull the threshold down to the bad ones.
+    p = np.concatenate([rng.uniform(0.7, 1, 980), rng.uniform(0, 0.01, 20), rng.uniform(0, 0.3, 300), rng.uniform(0, 0.4, 300)])
+    grade = np.repeat([2, 2, 0, 1], [980, 20, 300, 300])
+    assert 0.39 < quality.threshold(p, grade) <= 0.71
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.hash("doc_id"), F.lit(3)) == 0
+    model = quality.fit(docs, labels.where(~held))
+    scored = quality.score(docs.select("doc_id", "text"), model).join(labels.where(held), "doc_id").select("p_top", "quality", "toxic").collect()
+    parts = {"good": [], "toxic": [], "poor": []}
+    for r in scored:
+        parts["toxic" if r.toxic else "good" if r.quality else "poor"].append(r.p_top >= model.least)
+    share = {k: float(np.mean(v)) for k, v in parts.items()}
+    print("shares selected", model.least, share, {k: len(v) for k, v in parts.items()})
+    assert share["toxic"] < 0.2 and share["poor"] < 0.2 and share["good"] > 0.9
+
+
 def test_quality_without_labels_selects_everything(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.select(docs.select("doc_id", "text"), none).count() == docs.count()
