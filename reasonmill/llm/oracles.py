@@ -24,4 +24,30 @@ select d.doc_id, case when d.text is null then null else coalesce(rest, '') end
 from documents d left join kept on d.doc_id = kept.doc_id and d.text = kept.text
 """
 
-ORACLES = {"op10_line_dedup": OP10}
+OP11 = """
+with digests as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as d from documents
+), drawn as (
+  select doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as u,
+         ('0x' || d[1:8])::bigint as h1, ('0x' || d[9:16])::bigint as h2,
+         ('0x' || d[17:24])::bigint as h3, ('0x' || d[25:32])::bigint as h4
+  from digests
+), cut as (
+  select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a,
+         greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90
+              then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn
+), pieces as (
+  select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s
+  from cut
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars,
+       case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+              else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(text) as restored_sha256
+from pieces
+"""
+
+ORACLES = {"op10_line_dedup": OP10, "op11_fill_in_middle": OP11}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonmill.llm import (
-    decontaminate, jaccard, langid, licenses, line_dedup, lm_score, neighbours, oracles, packing, quality, repeats,
+    decontaminate, fim, jaccard, langid, licenses, line_dedup, lm_score, neighbours, oracles, packing, quality, repeats,
 )
 from reasonmill.llm.blocks import bound_batches
 from reasonmill.session import ship_package
@@ -64,10 +64,15 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, d, "documents")))
+
+
 ALL: tuple[Query, ...] = (
     op1_license_scans, op2_quality_classifier, op3_language_id, op4_best_fit_packing,
     op5_lm_scoring, op6_approximate_nearest_neighbours, op7_benchmark_decontamination,
     op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_line_dedup,
+    op11_fill_in_middle,
 )
 
 
