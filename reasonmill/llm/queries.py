@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonmill.llm import (
-    decontaminate, fim, jaccard, langid, licenses, line_dedup, lm_score, neighbours, oracles, packing, quality, repeats,
+    conversations, decontaminate, fim, jaccard, langid, licenses, line_dedup, lm_score, neighbours, oracles, packing, quality, repeats,
 )
 from reasonmill.llm.blocks import bound_batches
+from reasonmill.llm.tables import written
 from reasonmill.session import ship_package
 from reasonmill.sources.tables import table
 
@@ -68,11 +69,17 @@ def op11_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
     return fim.digests(fim.transform(table(spark, d, "documents")))
 
 
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations")
+    rows = conversations.damaged(turns)
+    return conversations.audited(turns, rows, written(conversations.plan(rows), "repairs"))
+
+
 ALL: tuple[Query, ...] = (
     op1_license_scans, op2_quality_classifier, op3_language_id, op4_best_fit_packing,
     op5_lm_scoring, op6_approximate_nearest_neighbours, op7_benchmark_decontamination,
     op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_line_dedup,
-    op11_fill_in_middle,
+    op11_fill_in_middle, op13_conversation_repair,
 )
 
 
