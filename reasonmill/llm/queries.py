@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonmill.llm import (
-    conversations, decontaminate, fim, jaccard, langid, licenses, line_dedup, lm_score, neighbours, oracles, packing, quality, repeats,
+    conversations, decontaminate, fim, jaccard, langid, licenses, line_dedup, lm_score, neighbours, oracles, packing, pii,
+    quality, repeats,
 )
 from reasonmill.llm.blocks import bound_batches
 from reasonmill.llm.tables import written
@@ -69,6 +70,10 @@ def op11_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
     return fim.digests(fim.transform(table(spark, d, "documents")))
 
 
+def op12_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    return pii.digests(pii.detect(table(spark, d, "documents")))
+
+
 def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations")
     rows = conversations.damaged(turns)
@@ -79,7 +84,7 @@ ALL: tuple[Query, ...] = (
     op1_license_scans, op2_quality_classifier, op3_language_id, op4_best_fit_packing,
     op5_lm_scoring, op6_approximate_nearest_neighbours, op7_benchmark_decontamination,
     op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_line_dedup,
-    op11_fill_in_middle, op13_conversation_repair,
+    op11_fill_in_middle, op12_personal_data, op13_conversation_repair,
 )
 
 
