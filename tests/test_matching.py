@@ -85,7 +85,7 @@ def test_scores_of_one_sample(spark):
     matches = matching.match_table(scored, ["sample_id"]).collect()
     assert {(m.gt_id, m.judge_verdict) for m in matches} == {("O1", "YES"), ("O2", "YES"), ("O3", "NO_PRED_COVERAGE")}
     total = {r.stratum: (r.n_total, r.n_scored) for r in matching.summary(scored).collect()}
-    assert total == {"all": (5, 1), "correct": (1, 1)}
+    assert total == {"all": (5, 1), "correct": (1, 1), "incorrect": (0, 0)}
 
 
 def test_requests_and_relaxed_mode(spark):
