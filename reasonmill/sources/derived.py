@@ -49,6 +49,9 @@ def orders_relation(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").alias("c"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("p"),
     )
+    # A small file is one partition, and adaptive execution would keep three numbers a row together: deal them out by
+    # number before they become texts.
+    base = base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     counted = base.selectExpr(
         "*",
         "cast((p + k) % 9 as int) as n_gt",
@@ -275,18 +278,20 @@ def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
     after = turns.select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generated")
     )
-    return turns.join(after, ["conv_id", "turn"]).select(
+    pairs = turns.join(after, ["conv_id", "turn"]).select(
         "conv_id", "turn", "role", F.col("text").alias("ground_truth_reasoning"), "generated"
     )
+    return pairs.hint("rebalance")
 
 
 def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each document and the next one, if they share the language; texts are whole."""
     docs = table(spark, folder, "documents")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("text").alias("generated"))
-    return docs.join(after, ["doc_id", "lang"]).select(
+    pairs = docs.join(after, ["doc_id", "lang"]).select(
         "doc_id", "lang", F.col("text").alias("ground_truth_reasoning"), "generated"
     )
+    return pairs.hint("rebalance")  # comparing two texts costs far more than moving them
 
 
 def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
