@@ -7,7 +7,7 @@ import sys
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -19,7 +19,7 @@ from reasonmill.operators import (
     classification, corpus, graph, matching, ordering, reports, runlog, textquality,
 )
 from reasonmill.plans import evaluate, match
-from reasonmill.plans.stage import staged_once
+from reasonmill.plans.stage import stage_folder, staged_once
 from reasonmill.session import ship_package
 from reasonmill.sources import derived, documents
 from reasonmill.sources.tables import table
@@ -471,6 +471,32 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.sectioned_report(metrics, evaluate.SECTIONS)
 
 
+def _file_folder(spark: SparkSession, d: str) -> str:
+    """Evaluation files of all shapes, written to the shared folder."""
+    target = stage_folder(spark, "files")
+    derived.write_evaluation_files(spark, d, target)
+    return target
+
+
+def _file_number() -> Column:
+    return F.regexp_extract("source_file", r"file=(\d+)", 1).cast("bigint").alias("file")
+
+
+def evaluation_file_report(spark: SparkSession, d: str) -> DataFrame:
+    files = documents.evaluation_files(spark, _file_folder(spark, d), glob="*.txt")
+    return documents.file_report(files).select(
+        _file_number(), "shape", "reason", "run", "n_runs", F.col("config.model").alias("model"), "n_rows", "n_bad"
+    )
+
+
+def evaluation_file_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = documents.evaluation_rows(spark, [("ucihar", _file_folder(spark, d))], glob="*.txt")
+    return rows.select(
+        "dataset", _file_number(), "pos", "sample_id", "gt_activity", "predicted_activity",
+        F.md5("ground_truth_reasoning").alias("text_md5"), "prefix_active",
+    )
+
+
 ALL: Sequence[Query] = (
     trace_observations, trace_inferences, trace_citations, trace_conclusions, parse_success,
     node_rates_by_class, chain_validity_samples, chain_validity, coverage_by_class, coverage, grounding,
@@ -483,6 +509,7 @@ ALL: Sequence[Query] = (
     train_validation_split, latest_references, attribution_index, rolling_quality, run_throughput,
     every_50th, qualitative_samples, window_distances, registry_sizes, run_statistics, combined_report,
     evaluation_report, training_examples, smallest_sources, merged_shards, frequent_unresolved_sensors,
+    evaluation_file_report, evaluation_file_rows,
 )
 
 

@@ -740,4 +740,15 @@ ORACLES = {
         SELECT metric, max(s) FILTER (run = 1) AS run_1, max(s) FILTER (run = 2) AS run_2, max(s) FILTER (run = 3) AS run_3,
           coalesce(printf('%.4f', avg(value) FILTER (NOT is_count)), 'N/A') AS mean,
           printf('%.4f', coalesce(stddev_samp(value) FILTER (NOT is_count), 0.0)) AS std FROM shown GROUP BY ALL""",
+    "evaluation_file_report": f"""SELECT file, CASE file % 4 WHEN 0 THEN 'array' WHEN 1 THEN 'object' END AS shape,
+          CASE file % 4 WHEN 2 THEN 'neither an array of rows nor an object with them' WHEN 3 THEN 'not JSON' END AS reason,
+          CASE WHEN file % 4 IN (1, 2) THEN file END AS run, CASE WHEN file % 4 IN (1, 2) THEN 3 END AS n_runs,
+          CASE WHEN file % 4 IN (1, 2) THEN 'm' || file END AS model,
+          CASE WHEN file % 4 < 2 THEN n ELSE 0 END AS n_rows, CASE WHEN file % 8 = 0 THEN 1 ELSE 0 END AS n_bad
+        FROM (SELECT doc_id // {derived.FILE_ROWS} AS file, count(*) AS n FROM documents GROUP BY ALL)""",
+    "evaluation_file_rows": f"""SELECT 'ucihar' AS dataset, file, pos, coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id END, pos)::VARCHAR AS sample_id,
+          lang AS gt_activity, source AS predicted_activity, md5(text) AS text_md5, doc_id % 2 = 0 AS prefix_active
+        FROM (SELECT *, doc_id // {derived.FILE_ROWS} AS file,
+              row_number() OVER (PARTITION BY doc_id // {derived.FILE_ROWS} ORDER BY doc_id) - 1 AS pos FROM documents)
+        WHERE file % 4 < 2""",
 }

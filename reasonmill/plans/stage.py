@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from reasonmill.session import ensure_checkpoint_dir
 
 
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own below the shared one."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back: parsed once, pruned by column later, and safe when executors are lost."""
-    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
+    folder = stage_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

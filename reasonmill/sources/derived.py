@@ -322,3 +322,32 @@ def run_log(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("user_id") % 4).cast("double").alias("n_inf"),
         ((F.col("user_id") % 7 + 1) / 10.0).alias("seconds"),
     )
+
+
+FILE_ROWS = 16
+
+
+def write_evaluation_files(spark: SparkSession, folder: str, target: str) -> None:
+    """Documents as evaluation files of sixteen rows each: arrays (some with an entry that is no row), objects, objects
+    without rows, and broken ones."""
+    number = F.expr(f"doc_id div {FILE_ROWS}")
+    row = F.struct(
+        "doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("sample_id"),
+        F.col("lang").alias("gt_activity"), F.col("source").alias("predicted_activity"),
+        F.col("text").alias("ground_truth_reasoning"), F.col("source").alias("generated"),
+        (F.col("doc_id") % 2 == 0).alias("prefix_active"),
+    )
+    rows = table(spark, folder, "documents").where("doc_id is not null")
+    files = rows.groupBy(number.alias("file")).agg(F.sort_array(F.collect_list(row)).alias("rows"))  # at most 16 each
+    plain = F.transform("rows", lambda r: r.dropFields("doc_id"))
+    array = F.concat(F.lit("["), F.array_join(F.transform(plain, lambda r: F.to_json(r)), ",\n"), F.when(F.col("file") % 8 == 0, ", 7]").otherwise("]"))
+    whole = F.to_json(F.struct(
+        F.col("file").alias("run"), F.lit(3).alias("n_runs"),
+        F.create_map(F.lit("model"), F.concat(F.lit("m"), F.col("file").cast("string"))).alias("config"),
+        plain.alias("per_sample"),
+    ))
+    kind = F.col("file") % 4
+    text = F.when(kind == 0, array).when(kind == 1, whole).when(kind == 2, F.replace(whole, F.lit("per_sample"), F.lit("rows")))
+    files.select("file", text.otherwise(F.substr(array, F.lit(1), F.length(array) - 1)).alias("value")).write.partitionBy(
+        "file"
+    ).option("maxRecordsPerFile", 1).text(target)

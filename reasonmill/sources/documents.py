@@ -154,40 +154,108 @@ def first_rows(rows: DataFrame, limit: int | None, *order: str | Column) -> Data
 
 
 def inference_results(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Inference results: each file an array of evaluation rows."""
-    return readable(read_json(spark, path, schema.EVAL_ROWS))
+    """Rows of inference results, without the files' names; files of any other shape than an array give none."""
+    files = evaluation_files(spark, path).where("shape = 'array'")
+    large = _large_rows(spark, path).where("per_sample is null")
+    return _file_rows(files).select(*_FIELDS).unionByName(large.select(*_FIELDS))
+
+
+#: Files up to this size are read as variants; a variant has an upper limit of its own.
+VARIANT_BYTES = 64 << 20
+NOT_JSON, NO_ROWS = "not JSON", "neither an array of rows nor an object with them"
+_FIELDS = [f.split(" ")[0] for f in schema.EVAL_ROWS.split(", ")]
+
+
+def evaluation_files(
+    spark: SparkSession, path: str | Sequence[str], glob: str = "*.json", limit: int = VARIANT_BYTES
+) -> DataFrame:
+    """One row per file of at most ``limit`` bytes: ``(source_file, shape, reason, run, n_runs, config, samples)``.
+
+    Every file is read once, as a variant, whatever it holds. ``shape`` is ``array`` or ``object`` (rows under
+    ``per_sample``); other files have no shape but a reason; Spark skips
+    files without a byte. ``samples`` are the rows, still as variants.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    files = files.load(path if isinstance(path, str) else list(path)).where(F.col("length") <= limit)
+    read = files.select("path", F.try_parse_json(F.col("content").cast("string")).alias("v"))
+    rows = lambda at: F.try_variant_get("v", at, "array<variant>")
+    told = read.select("path", "v", rows("$").alias("whole"), rows("$.per_sample").alias("inner"))
+    shape = F.when(F.col("whole").isNotNull(), "array").when(F.col("inner").isNotNull(), "object")
+    return told.select(
+        F.col("path").alias("source_file"),
+        shape.alias("shape"),
+        F.when(F.col("v").isNull(), NOT_JSON).when(shape.isNull(), NO_ROWS).alias("reason"),
+        F.try_variant_get("v", "$.run", "int").alias("run"),
+        F.try_variant_get("v", "$.n_runs", "int").alias("n_runs"),
+        F.try_variant_get("v", "$.config", "map<string,string>").alias("config"),
+        F.coalesce("whole", "inner").alias("samples"),
+    )
+
+
+def _is_row(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def file_report(files: DataFrame) -> DataFrame:
+    """What each file is, how many rows it has, and how many of its entries are no rows."""
+    bad = F.size(F.filter("samples", lambda v: ~_is_row(v)))
+    return files.select(
+        "source_file", "shape", "reason", "run", "n_runs", "config",
+        (F.coalesce(F.size("samples"), F.lit(0)) - F.coalesce(bad, F.lit(0))).alias("n_rows"),
+        F.coalesce(bad, F.lit(0)).alias("n_bad"),
+    )
+
+
+def _file_rows(files: DataFrame) -> DataFrame:
+    """``(source_file, pos, fields…)``: the position is the place in the file, counted over all its entries."""
+    rows = files.select("source_file", F.posexplode("samples").alias("pos", "v")).where(_is_row(F.col("v")))
+    typed = [f.split(" ") for f in schema.EVAL_ROWS.split(", ")]
+    fields = [F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in typed]
+    return rows.select("source_file", F.col("pos").cast("bigint").alias("pos"), *fields)
 
 
 def evaluation_rows(
-    spark: SparkSession, files: Mapping[str, str] | Sequence[tuple[str, str]]
+    spark: SparkSession, files: Mapping[str, str] | Sequence[tuple[str, str]], glob: str = "*.json",
+    limit: int = VARIANT_BYTES,
 ) -> DataFrame:
     """Evaluation files of one or several datasets, tagged with dataset and file.
 
-    A file holds an array of rows, or an object with them under ``per_sample``; both shapes read in one pass. A row
-    without sample id is known by its position.
+    A file holds an array of rows, or an object with them under ``per_sample``; files of another shape give no rows, and
+    ``file_report`` says why. A row without sample id is known by its position. Files beyond ``limit`` bytes are streamed.
     """
     by_dataset: dict[str, list[str]] = {}
     for dataset, path in files.items() if isinstance(files, Mapping) else files:
         by_dataset.setdefault(dataset, []).append(path)
-    tagged = [_evaluation_rows(spark, paths, dataset) for dataset, paths in by_dataset.items()]
-    return reduce(DataFrame.unionByName, tagged)
+    tagged = []
+    for dataset, paths in by_dataset.items():
+        small = _file_rows(evaluation_files(spark, paths, glob, limit))
+        rows = small.unionByName(_streamed_rows(spark, paths, glob, limit))
+        tagged.append(rows.select(F.lit(dataset).alias("dataset"), "*"))
+    return reduce(DataFrame.unionByName, tagged).withColumn(
+        "sample_id", F.coalesce("sample_id", F.col("pos").cast("string"))
+    )
+
+
+def _large_rows(
+    spark: SparkSession, path: str | Sequence[str], glob: str = "*.json", limit: int = VARIANT_BYTES
+) -> DataFrame:
+    """Rows of the files beyond the limit by the streaming reader; Spark skips the other files by their size."""
+    ddl = f"{schema.EVAL_ROWS}, config map<string,string>, per_sample array<{schema.EVAL_ROW}>, {CORRUPT} string"
+    reader = spark.read.schema(ddl).options(multiLine=True, pathGlobFilter=glob, columnNameOfCorruptRecord=CORRUPT)
+    raw = reader.json(path if isinstance(path, str) else list(path)).where(F.col("_metadata.file_size") > limit)
+    return readable(_with_file(raw))
 
 
-def _evaluation_rows(spark: SparkSession, paths: list[str], dataset: str) -> DataFrame:
-    ddl = f"{schema.EVAL_ROWS}, config map<string,string>, per_sample array<{schema.EVAL_ROW}>"
+def _streamed_rows(spark: SparkSession, paths: list[str], glob: str, limit: int) -> DataFrame:
     # A multi-line file is read by one task in order, so the running id counts its rows.
-    rows = readable(read_json(spark, paths, ddl)).withColumn("_n", F.monotonically_increasing_id())
+    rows = _large_rows(spark, paths, glob, limit).withColumn("_n", F.monotonically_increasing_id())
     firsts = rows.groupBy("file_path").agg(F.min("_n").alias("_first"))
-    whole = F.array(F.struct(*[f.split(" ")[0] for f in schema.EVAL_ROWS.split(", ")]))
     exploded = rows.join(firsts, "file_path").select(
-        F.lit(dataset).alias("dataset"),
         F.col("file_path").alias("source_file"),
         (F.col("_n") - F.col("_first")).alias("_row_pos"),
-        F.posexplode(F.coalesce("per_sample", whole)).alias("_pos", "_row"),
+        F.posexplode(F.coalesce("per_sample", F.array(F.struct(*_FIELDS)))).alias("_pos", "_row"),
     )
-    return exploded.select(
-        "dataset", "source_file", (F.col("_row_pos") + F.col("_pos")).alias("pos"), "_row.*"
-    ).withColumn("sample_id", F.coalesce("sample_id", F.col("pos").cast("string")))
+    return exploded.select("source_file", (F.col("_row_pos") + F.col("_pos")).alias("pos"), "_row.*")
 
 
 def pair_datasets(datasets: Sequence[str], paths: Sequence[str]) -> list[tuple[str, str]]:

@@ -79,6 +79,35 @@ def test_evaluation_files_in_both_shapes(spark, tmp_path):
         documents.pair_datasets(["a", "b"], ["x", "y", "z"])
 
 
+def test_files_of_other_shapes_are_told_apart(spark, tmp_path):
+    texts = {
+        "a": '[{"sample_id": 1, "generated": "x\\ny"}, 5, {"generated": "z"}]', "b": '{"run": 2, "per_sample": [{"gt_activity": "w"}]}',
+        "c": '{"rows": []}', "d": '[{"sample_id": 1}', "e": "", "f": "7", "g": "[]", "h": '{"per_sample": null}',
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    report = documents.file_report(documents.evaluation_files(spark, str(tmp_path))).collect()
+    got = {r.source_file[-6]: (r.shape, r.reason, r.n_rows, r.n_bad, r.run) for r in report}
+    assert got == {
+        "a": ("array", None, 2, 1, None), "b": ("object", None, 1, 0, 2), "c": (None, documents.NO_ROWS, 0, 0, None),
+        "d": (None, documents.NOT_JSON, 0, 0, None),
+        "f": (None, documents.NO_ROWS, 0, 0, None), "g": ("array", None, 0, 0, None), "h": (None, documents.NO_ROWS, 0, 0, None),
+    }
+    rows = documents.evaluation_rows(spark, [("ucihar", str(tmp_path))]).collect()
+    assert sorted((r.source_file[-6], r.pos, r.sample_id, r.generated) for r in rows) == [("a", 0, "1", "x\ny"), ("a", 2, "2", "z"), ("b", 0, "0", None)]
+    assert documents.inference_results(spark, str(tmp_path)).count() == 2
+
+
+def test_large_files_are_streamed_to_the_same_rows(spark, tmp_path):
+    for n in range(3):
+        rows = [{"sample_id": f"{n}-{k}", "gt_activity": "x", "generated": "t" * k} for k in range(40 * n + 3)]
+        put(tmp_path, f"{n}.json", rows if n != 1 else {"run": 1, "per_sample": rows})
+    files = [("ucihar", str(tmp_path))]
+    read = lambda limit: sorted(tuple(r) for r in documents.evaluation_rows(spark, files, limit=limit).drop("source_file").collect())
+    whole = read(documents.VARIANT_BYTES)
+    assert len(whole) == 129 and read(0) == whole and read(1000) == whole
+
+
 def test_newest_run(spark):
     names = ["r_inference_1.json", "r_inference_3_partial.json", "r_inference_2.json", "q_inference_9.json"]
     files = spark.createDataFrame([(n,) for n in names], "file_name string")
