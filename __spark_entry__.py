@@ -16,7 +16,7 @@ from oracle_queries import ORACLES
 from reasonmill import registry
 from reasonmill.functions import similarity, text, vocab
 from reasonmill.operators import (
-    classification, corpus, graph, matching, ordering, reports, runlog, textquality,
+    classification, corpus, graph, matching, ordering, reports, runlog, textquality, vocabulary,
 )
 from reasonmill.plans import evaluate, match
 from reasonmill.plans.stage import stage_folder, staged_once
@@ -497,6 +497,30 @@ def evaluation_file_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _tagged(rows: DataFrame) -> DataFrame:
+    """Rows of three datasets in one table, one of them not in the registry."""
+    k = F.col("sample_id").cast("bigint")
+    return rows.withColumn("dataset", F.when(k % 3 == 0, "PAMAP2").when(k % 7 == 1, "elsewhere").otherwise("ucihar"))
+
+
+def dataset_match_summary(spark: SparkSession, d: str) -> DataFrame:
+    verdicts = _tagged(_verdicts(spark, d))
+    scored = match.scores_of_datasets(_tagged(_eval_rows(spark, d)), verdicts)
+    return matching.summary(scored, ["dataset"])
+
+
+def dataset_node_rates(spark: SparkSession, d: str) -> DataFrame:
+    rows = vocabulary.with_vocabulary(_tagged(_eval_rows(spark, d)))
+    graphs = graph.with_reference(graph.parse_eval_rows(rows))
+    return graph.node_rates(graphs, vocabulary.field("classes"), vocabulary.field("sensors"), ["dataset"])
+
+
+def dataset_unresolved_sensors(spark: SparkSession, d: str) -> DataFrame:
+    rows = vocabulary.with_vocabulary(_tagged(_rows(spark, d)))
+    prepared = matching.prepare(rows, vocabulary.field("names"), ["dataset", "sample_id"])
+    return matching.unresolved_sensors(prepared, ["dataset"])
+
+
 ALL: Sequence[Query] = (
     trace_observations, trace_inferences, trace_citations, trace_conclusions, parse_success,
     node_rates_by_class, chain_validity_samples, chain_validity, coverage_by_class, coverage, grounding,
@@ -509,7 +533,8 @@ ALL: Sequence[Query] = (
     train_validation_split, latest_references, attribution_index, rolling_quality, run_throughput,
     every_50th, qualitative_samples, window_distances, registry_sizes, run_statistics, combined_report,
     evaluation_report, training_examples, smallest_sources, merged_shards, frequent_unresolved_sensors,
-    evaluation_file_report, evaluation_file_rows,
+    evaluation_file_report, evaluation_file_rows, dataset_match_summary, dataset_node_rates,
+    dataset_unresolved_sensors,
 )
 
 

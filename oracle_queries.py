@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from reasonmill.functions.text import BLANKS as text_blanks
 from reasonmill.operators.corpus import PROMPT
+from reasonmill import registry
 from reasonmill.registry import UCIHAR_CLASSES, UCIHAR_SENSORS, UCIHAR_TERMS, dimension_rows
 from reasonmill.sources import derived
 
@@ -470,6 +471,44 @@ def _values(rows) -> str:
     return ", ".join(f"('{a}', '{b}')" for a, b, _, _ in rows)
 
 
+def _rates(classes: str) -> str:
+    return f"""        round(sum(ok::INT) / count(*), 6) AS obs_parse_rate, round(sum(ok_sensor) / sum(obs), 6) AS obs_sensor_valid_rate,
+        CAST(1.0 AS DOUBLE) AS obs_temporal_rate, round(sum(ok_conf) / sum(obs), 6) AS obs_confidence_rate,
+        round(sum((ok AND inf > 0)::INT) / sum(ok::INT), 6) AS obs_coverage_rate,
+        round(sum((ok AND inf > 0)::INT) / sum(ok::INT), 6) AS inf_present_rate,
+        round(sum(CASE WHEN ok THEN st END) / sum(CASE WHEN ok THEN inf END), 6) AS inf_structural_rate,
+        round(sum(CASE WHEN ok THEN sem END) / sum(CASE WHEN ok THEN inf END), 6) AS inf_semantic_rate,
+        round(sum(CASE WHEN ok AND inf > 0 THEN cited END) / sum(CASE WHEN ok AND inf > 0 THEN ids END), 6) AS inf_obs_coverage,
+        round(sum((ok AND pred_syn IS NOT NULL)::INT) / sum(ok::INT), 6) AS syn_present_rate,
+        round(sum((ok AND pred_syn IS NOT NULL AND pred_syn <= m_pred)::INT) / sum((ok AND pred_syn IS NOT NULL)::INT), 6) AS syn_ref_rate,
+        round(sum(coalesce(list_contains({classes}, gen_activity), false)::INT) / count(*), 6) AS syn_activity_valid_rate,
+        count(*) AS n_total, CAST(sum(ok::INT) AS BIGINT) AS n_parsed"""
+
+
+def _dataset(k: str) -> str:
+    return f"CASE WHEN {k} % 3 = 0 THEN 'PAMAP2' WHEN {k} % 7 = 1 THEN 'elsewhere' ELSE 'ucihar' END"
+
+
+def _by_dataset(kind: str, k: str | None = None, order=list) -> str:
+    """The list of a row's dataset: by its column, or computed from the order's key."""
+    name = "dataset" if k is None else _dataset(k)
+    lists = [f"WHEN '{n}' THEN {_list(order(getattr(registry.lookup(n), kind)))}" for n in ("ucihar", "PAMAP2", "elsewhere")]
+    return f"CASE {name} {' '.join(lists)} END"
+
+
+def _longest(classes) -> list[str]:
+    return sorted(classes, key=lambda c: -len(c))
+
+
+_NAMED = f"""
+named AS (
+  SELECT s2.* EXCLUDE (predicted_activity), {_dataset('CAST(s2.sample_id AS BIGINT)')} AS dataset,
+    coalesce(list_filter({_by_dataset('classes', 'CAST(s2.sample_id AS BIGINT)', _longest)}, lambda c: contains(n.gen_activity, c))[1],
+      n.gen_activity, 'unknown') AS predicted_activity
+  FROM s2 JOIN n USING (sample_id)
+)"""
+
+
 ORACLES = {
     "trace_observations": _on_relation(_node("reference", "ref_obs") + " UNION ALL " + _node("generated", "gen_obs")),
     "trace_inferences": _on_relation(
@@ -494,20 +533,11 @@ ORACLES = {
         """SELECT gt_activity, count(*) AS n, round(avg((gen_n > 0)::INT), 6) AS psr,
         round(avg((ref_n > 0)::INT), 6) AS ref_psr FROM sized WHERE has_ref GROUP BY ALL"""
     ),
-    "node_rates_by_class": _on_relation(
-        f"""SELECT gt_activity,
-        round(sum(ok::INT) / count(*), 6) AS obs_parse_rate, round(sum(ok_sensor) / sum(obs), 6) AS obs_sensor_valid_rate,
-        CAST(1.0 AS DOUBLE) AS obs_temporal_rate, round(sum(ok_conf) / sum(obs), 6) AS obs_confidence_rate,
-        round(sum((ok AND inf > 0)::INT) / sum(ok::INT), 6) AS obs_coverage_rate,
-        round(sum((ok AND inf > 0)::INT) / sum(ok::INT), 6) AS inf_present_rate,
-        round(sum(CASE WHEN ok THEN st END) / sum(CASE WHEN ok THEN inf END), 6) AS inf_structural_rate,
-        round(sum(CASE WHEN ok THEN sem END) / sum(CASE WHEN ok THEN inf END), 6) AS inf_semantic_rate,
-        round(sum(CASE WHEN ok AND inf > 0 THEN cited END) / sum(CASE WHEN ok AND inf > 0 THEN ids END), 6) AS inf_obs_coverage,
-        round(sum((ok AND pred_syn IS NOT NULL)::INT) / sum(ok::INT), 6) AS syn_present_rate,
-        round(sum((ok AND pred_syn IS NOT NULL AND pred_syn <= m_pred)::INT) / sum((ok AND pred_syn IS NOT NULL)::INT), 6) AS syn_ref_rate,
-        round(sum(coalesce(list_contains({CLASSES}, gen_activity), false)::INT) / count(*), 6) AS syn_activity_valid_rate,
-        count(*) AS n_total, CAST(sum(ok::INT) AS BIGINT) AS n_parsed FROM counts GROUP BY ALL""",
-        NODES,
+    "node_rates_by_class": _on_relation(f"SELECT gt_activity, {_rates(CLASSES)} FROM counts GROUP BY ALL", NODES),
+    "dataset_node_rates": _on_relation(
+        f"SELECT dataset, {_rates(_by_dataset('classes'))} FROM tagged GROUP BY ALL",
+        NODES.replace("s IN (0, 1, 2)", f"list_contains({_by_dataset('sensors', 'k')}, {SENSORS_LOWER}[s + 1])")
+        + f", tagged AS (SELECT *, {_dataset('k')} AS dataset FROM counts)",
     ),
     "chain_validity_samples": _on_relation(
         """SELECT sample_id, round(s, 6) AS rcv_structural, round(m, 6) AS rcv_semantic,
@@ -751,4 +781,20 @@ ORACLES = {
         FROM (SELECT *, doc_id // {derived.FILE_ROWS} AS file,
               row_number() OVER (PARTITION BY doc_id // {derived.FILE_ROWS} ORDER BY doc_id) - 1 AS pos FROM documents)
         WHERE file % 4 < 2""",
+    "dataset_match_summary": _on_relation(
+        f"""SELECT dataset, stratum, count(x.sample_id) AS n_total, count(x.sample_id) FILTER (NOT snm_skipped) AS n_scored,
+        count(x.sample_id) FILTER (snm_skipped) AS n_skipped, count(x.sample_id) FILTER (skip_reason = 'gt_parse_fail') AS n_gt_parse_fail,
+        count(x.sample_id) FILTER (skip_reason = 'pred_parse_fail') AS n_pred_parse_fail, {_rounded(SCORE_NAMES, 'avg({})')}
+        FROM (SELECT DISTINCT dataset FROM named) CROSS JOIN unnest(['all', 'correct', 'incorrect']) AS t(stratum)
+        LEFT JOIN (SELECT *, CASE WHEN snm_skipped THEN ['all'] WHEN gt_activity = predicted_activity THEN ['all', 'correct']
+          ELSE ['all', 'incorrect'] END AS strata FROM named) x USING (dataset)
+        WHERE list_contains(strata, stratum) GROUP BY ALL""", SAMPLE_SCORES + ", " + _NAMED.strip(),
+    ),
+    "dataset_unresolved_sensors": _on_relation(
+        f"""SELECT dataset, {SENSORS_LOWER}[s + 1] AS raw, count(*) AS n FROM (
+          SELECT {_dataset('k')} AS dataset, s FROM (
+            SELECT o.k, o.s FROM ref_obs o JOIN n USING (sample_id) WHERE has_gen
+            UNION ALL SELECT o.k, o.s FROM gen_obs o JOIN n USING (sample_id) WHERE has_ref))
+        WHERE NOT list_contains({_by_dataset('sensors')}, {CANONICAL}[s + 1]) GROUP BY ALL"""
+    ),
 }

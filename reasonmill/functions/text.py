@@ -91,13 +91,18 @@ def activity_line(text: Column | str) -> Column:
     return let(line, lambda found: F.when(found != "", strip(found)))
 
 
-def predicted_activity(text: Column | str, classes: Sequence[str]) -> Column:
+def longest_first(classes: Sequence[str]) -> list[str]:
+    return sorted(classes, key=lambda c: -len(c))
+
+
+def predicted_activity(text: Column | str, classes: Sequence[str] | Column) -> Column:
     """Class named by an answer.
 
     The longest class equal to, or contained in, the activity line; else that line itself. Without a line the
-    longest class contained in the whole text; else ``unknown``. Classes of equal length keep their order.
+    longest class contained in the whole text; else ``unknown``. Classes of equal length keep their order. A column of
+    classes, one list per row, has them longest first.
     """
-    ordered = strings(sorted(classes, key=lambda c: -len(c)))
+    ordered = classes if isinstance(classes, Column) else strings(longest_first(classes))
 
     def first_in(haystack: Column) -> Column:
         return F.get(F.filter(ordered, lambda c: F.contains(haystack, c)), F.lit(0))

@@ -95,13 +95,21 @@ def _joined(key: Column) -> Column:
     return key
 
 
-def canonical_sensor(raw: Column | str, sensors: Sequence[str]) -> Column:
+def sensor_maps(sensors: Sequence[str]) -> tuple[dict[str, str], dict[str, str]]:
+    """Valid sensors by lower-cased name and by key."""
+    return {s.lower(): s for s in sensors}, {_plain_key(s): s for s in sensors}
+
+
+def canonical_sensor(raw: Column | str, sensors: Sequence[str] | Column) -> Column:
     """``struct<name, resolved>``: the valid sensor with the same key, else the key itself, unresolved.
 
-    Most names are spelled as in the registry, so those are looked up before any key is built.
+    Most names are spelled as in the registry, so those are looked up before any key is built. ``sensors`` are the same
+    for all rows, or a column with the two maps of ``sensor_maps`` as ``exact`` and ``known``.
     """
-    exact = literal_map({s.lower(): s for s in sensors})
-    known = literal_map({_plain_key(s): s for s in sensors})
+    if isinstance(sensors, Column):
+        exact, known = sensors["exact"], sensors["known"]
+    else:
+        exact, known = map(literal_map, sensor_maps(sensors))
     found = lambda name: F.struct(name.alias("name"), F.lit(True).alias("resolved"))
     lower = F.lower(as_column(raw))
     return F.when(F.map_contains_key(exact, lower), found(F.try_element_at(exact, lower))).otherwise(

@@ -272,14 +272,16 @@ def grounding(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def node_counts(
     graphs: DataFrame,
-    classes: Sequence[str],
-    sensors: Sequence[str],
+    classes: Sequence[str] | Column,
+    sensors: Sequence[str] | Column,
     by: Sequence[str] = (),
     confidences: Sequence[str] = CONFIDENCES,
 ) -> DataFrame:
-    """Countable facts of every graph, as one narrow row of integers per trace."""
+    """Countable facts of every graph, as one narrow row of integers per trace. Classes and sensors are the same for all
+    rows, or columns with a list per row."""
     g = F.col("gen")
-    vocabulary = [c.lower().strip() for c in classes]
+    vocabulary = classes if isinstance(classes, Column) else [c.lower().strip() for c in classes]
+    listed = lambda x, values: F.array_contains(values, x) if isinstance(values, Column) else x.isin(*values)
 
     def facts(checks: Column) -> Column:
         obs, syn = g["observations"], g["synthesis"]
@@ -287,7 +289,7 @@ def node_counts(
         cited = F.flatten(g["inferences"]["based_on"])
         return F.struct(
             F.size(obs).alias("obs"),
-            _count(obs, lambda o: o["sensor"].isin(*sensors)).alias("obs_sensor"),
+            _count(obs, lambda o: listed(o["sensor"], sensors)).alias("obs_sensor"),
             _count(obs, lambda o: o["temporal"] != "").alias("obs_temporal"),
             _count(obs, lambda o: o["confidence"].isin(*confidences)).alias("obs_confidence"),
             F.size(checks).alias("inf"),
@@ -304,7 +306,7 @@ def node_counts(
     return graphs.select(
         *by,
         (~g["parse_failed"]).cast("int").alias("parsed"),
-        F.coalesce(normalise_label(g["activity"]).isin(*vocabulary), F.lit(False))
+        F.coalesce(listed(normalise_label(g["activity"]), vocabulary), F.lit(False))
         .cast("int")
         .alias("activity_listed"),
         F.when(~g["parse_failed"], let(inference_checks(g), facts)).alias("f"),
@@ -313,8 +315,8 @@ def node_counts(
 
 def node_rates(
     graphs: DataFrame,
-    classes: Sequence[str],
-    sensors: Sequence[str],
+    classes: Sequence[str] | Column,
+    sensors: Sequence[str] | Column,
     by: Sequence[str] = (),
     confidences: Sequence[str] = CONFIDENCES,
 ) -> DataFrame:

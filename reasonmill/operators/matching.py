@@ -31,7 +31,7 @@ SCORES = (
 # ---- preparation -------------------------------------------------------------------------------------------
 
 
-def _match_graph(text: str, sensors: Sequence[str]) -> Column:
+def _match_graph(text: str, sensors: Sequence[str] | Column) -> Column:
     """Graph whose observations carry the canonical sensor next to the raw one."""
 
     def build(g: Column) -> Column:
@@ -56,7 +56,7 @@ def _match_graph(text: str, sensors: Sequence[str]) -> Column:
     return let(trace_graph(text), build)
 
 
-def prepare(rows: DataFrame, sensors: Sequence[str], keys: Sequence[str]) -> DataFrame:
+def prepare(rows: DataFrame, sensors: Sequence[str] | Column, keys: Sequence[str]) -> DataFrame:
     """Parses both sides and says why a sample cannot be scored (``skip_reason``, NULL if it can).
 
     ``keys`` must identify a row: where sample ids repeat, add the file and the position in it.

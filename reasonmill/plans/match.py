@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from reasonmill.operators import matching
+from reasonmill.functions.text import predicted_activity
+from reasonmill.operators import matching, vocabulary
 from reasonmill.plans.stage import staged
 from reasonmill.registry import Dataset
 
@@ -33,3 +34,17 @@ def scores(
         staged(matching.without_text(prepared, keys), "prepared"), verdicts, keys, relaxed, tolerance
     )
     return matching.score(judged)
+
+
+def scores_of_datasets(
+    rows: DataFrame, verdicts: DataFrame | None = None, keys: Sequence[str] = ("dataset", "sample_id"),
+    datasets: Sequence[Dataset] | None = None, relaxed: bool = False, tolerance: int = 1,
+) -> DataFrame:
+    """``scores`` for rows of several datasets at once, each with the classes and sensors of its own ``dataset``."""
+    tagged = vocabulary.with_vocabulary(rows, datasets)
+    labelled = tagged.withColumn("predicted_activity", predicted_activity("generated", vocabulary.field("longest")))
+    prepared = matching.prepare(labelled, vocabulary.field("names"), keys)
+    if verdicts is None:
+        return matching.score(matching.with_lexical_verdicts(prepared, tolerance=tolerance))
+    slim = staged(matching.without_text(prepared, keys), "prepared")
+    return matching.score(matching.with_verdict_table(slim, verdicts, keys, relaxed, tolerance))
