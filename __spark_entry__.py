@@ -23,6 +23,7 @@ from reasonmill.plans.stage import stage_folder, staged_once
 from reasonmill.session import ship_package
 from reasonmill.sources import derived, documents
 from reasonmill.sources.tables import table
+from reasonmill.streaming import ingest
 
 # The subpackage for training data and its pipeline may be left out; nothing else needs them.
 _found = importlib.util.find_spec("reasonmill.llm")
@@ -497,6 +498,25 @@ def evaluation_file_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def ingested_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as answers, four to a key, that arrive in two waves: even ones first. The second wave is taken in by a
+    query that starts anew, in smaller batches."""
+    folder = stage_folder(spark, "answers")
+    docs = _texts(spark, d).select(
+        F.col("lang").alias("split"), F.expr("cast(doc_id div 4 as string)").alias("sample_id"), F.lit(True).alias("has_id"),
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("file_name"), F.lit("x").alias("activity"),
+        F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("mantis_embedding"), F.col("text").alias("answer"),
+        (F.col("doc_id") % 2).alias("wave"),
+    )
+    for wave, per_batch in ((0, 100), (1, 2)):
+        # A key's rows of one wave share a file, so they come in one batch.
+        rows = docs.where(F.col("wave") == wave).drop("wave").repartition(5, "split", "sample_id")
+        rows.write.mode("append").json(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).json(f"{folder}/in")
+        ingest.ingest_rows(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("split", "sample_id", "file_name", "n_tokens", "leak", "is_short")
+
+
 def _tagged(rows: DataFrame) -> DataFrame:
     """Rows of three datasets in one table, one of them not in the registry."""
     k = F.col("sample_id").cast("bigint")
@@ -534,7 +554,7 @@ ALL: Sequence[Query] = (
     every_50th, qualitative_samples, window_distances, registry_sizes, run_statistics, combined_report,
     evaluation_report, training_examples, smallest_sources, merged_shards, frequent_unresolved_sensors,
     evaluation_file_report, evaluation_file_rows, dataset_match_summary, dataset_node_rates,
-    dataset_unresolved_sensors,
+    dataset_unresolved_sensors, ingested_corpus,
 )
 
 

@@ -797,4 +797,8 @@ ORACLES = {
             UNION ALL SELECT o.k, o.s FROM gen_obs o JOIN n USING (sample_id) WHERE has_ref))
         WHERE NOT list_contains({_by_dataset('sensors')}, {CANONICAL}[s + 1]) GROUP BY ALL"""
     ),
+    "ingested_corpus": f"""SELECT lang AS split, CAST(doc_id // 4 AS VARCHAR) AS sample_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS file_name,
+          n_tokens, leak, is_short
+        FROM (SELECT {_FLAGGED} FROM (SELECT doc_id, lang, {_flags('text')} FROM documents))
+        QUALIFY row_number() OVER (PARTITION BY lang, doc_id // 4 ORDER BY doc_id % 2, doc_id) = 1""",
 }

@@ -8,7 +8,7 @@ from reasonmill import registry
 from reasonmill.operators import graph, reports
 from reasonmill.plans import evaluate, prepare
 from reasonmill.sources import documents, sinks
-from reasonmill.streaming.ingest import ingest
+from reasonmill.streaming.ingest import ingest, ingest_rows
 
 DOC = {
     "sample_idx": "7", "activity": "Standing", "confidence": 0.5, "mantis_embedding": {"a": [1, 2]},
@@ -149,6 +149,25 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     assert row.reasoning_graph.n_observations == 1 and row.is_short and not row.leak
 
 
+def test_ingest_gives_the_same_keys_for_all_batch_sizes_and_restarts(spark, tmp_path):
+    answers = [("train", str(n % 40), f"{n:04d}", f"text {n}") for n in range(100)]
+    got = []
+    for size, waves in ((1, 1), (3, 2), (1000, 4)):
+        folder = tmp_path / f"size{size}"
+        for wave in range(waves):
+            part = answers[wave * len(answers) // waves:(wave + 1) * len(answers) // waves]
+            rows = spark.createDataFrame(
+                [(s, k, True, f, "x", 0.5, None, t) for s, k, f, t in part], "split string, sample_id string, has_id boolean, "
+                "file_name string, activity string, confidence double, mantis_embedding string, answer string",
+            ).repartition(4, "sample_id")
+            rows.write.mode("append").json(str(folder / "in"))
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", size).json(str(folder / "in"))
+            ingest_rows(stream, str(folder / "out"), str(folder / "state")).awaitTermination()
+        rows = spark.read.parquet(str(folder / "out")).collect()
+        got.append(sorted((r.sample_id, r.file_name) for r in rows))
+    assert got[0] == got[1] == got[2] == sorted((k, f) for _, k, f, _ in answers[:40])
+
+
 def test_ingest_under_another_checkpoint_keeps_what_is_there(spark, tmp_path):
     target = str(tmp_path / "out")
     for n, names in enumerate((("train_a_s1", "train_a_s2"), ("train_b_s2", "train_b_s3"))):
