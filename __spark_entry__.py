@@ -21,7 +21,7 @@ from reasonmill.operators import (
 from reasonmill.plans import evaluate, match
 from reasonmill.plans.stage import stage_folder, staged_once
 from reasonmill.session import ship_package
-from reasonmill.sources import derived, documents
+from reasonmill.sources import committed, derived, documents
 from reasonmill.sources.tables import table
 from reasonmill.streaming import ingest
 
@@ -517,6 +517,40 @@ def ingested_corpus(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("split", "sample_id", "file_name", "n_tokens", "leak", "is_short")
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as answers of a teacher, two to a key."""
+    return _texts(spark, d).select(
+        F.col("doc_id").alias("seq"), F.expr("if((doc_id div 2) % 5 = 0, 'test', 'train')").alias("split"),
+        F.expr("cast(doc_id div 2 as string)").alias("sample_id"),
+        F.col("lang").alias("activity"), (F.col("n_chars") % 100 / 100.0).alias("confidence"),
+        F.lit(None).cast("string").alias("mantis_embedding"), F.col("text").alias("answer"),
+    )
+
+
+def committed_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Two committed runs with common keys, and between them one that writes its rows and is not committed."""
+    path, answers = stage_folder(spark, "corpus"), _answers(spark, d)
+    committed.append_answers(answers.where("seq % 3 = 0"), path, "first", "teacher")
+    lost = corpus.training_examples(corpus.reasoning_records(answers.drop("seq"), "teacher")).drop("sample_id")
+    committed.write_attempt(lost, path, "second")
+    committed.append_answers(answers, path, "second", "teacher")
+    return committed.committed(spark, path).select(
+        "run", "split", F.col("metadata.sample_id").alias("sample_id"), F.col("metadata.predicted_activity").alias("activity"),
+        F.md5("output").alias("output_md5"),
+    )
+
+
+def committed_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records per split, counted by the manifests and by what is read back."""
+    path, answers = stage_folder(spark, "records"), _answers(spark, d)
+    for part in (0, 1):
+        records = corpus.reasoning_records(answers.where(F.col("seq") % 2 == part).drop("seq"), "teacher")
+        committed.append_records(records, path, f"part{part}")
+    rows = committed.committed(spark, path, "sample_id string, confidence double, split string", "parquet")
+    per_split = rows.groupBy("run", "split").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"))
+    return per_split.join(committed.manifests(spark, path).select("run", F.col("n_rows").alias("n_run")), "run")
+
+
 def _tagged(rows: DataFrame) -> DataFrame:
     """Rows of three datasets in one table, one of them not in the registry."""
     k = F.col("sample_id").cast("bigint")
@@ -554,7 +588,7 @@ ALL: Sequence[Query] = (
     every_50th, qualitative_samples, window_distances, registry_sizes, run_statistics, combined_report,
     evaluation_report, training_examples, smallest_sources, merged_shards, frequent_unresolved_sensors,
     evaluation_file_report, evaluation_file_rows, dataset_match_summary, dataset_node_rates,
-    dataset_unresolved_sensors, ingested_corpus,
+    dataset_unresolved_sensors, ingested_corpus, committed_corpus, committed_records,
 )
 
 

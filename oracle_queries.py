@@ -801,4 +801,12 @@ ORACLES = {
           n_tokens, leak, is_short
         FROM (SELECT {_FLAGGED} FROM (SELECT doc_id, lang, {_flags('text')} FROM documents))
         QUALIFY row_number() OVER (PARTITION BY lang, doc_id // 4 ORDER BY doc_id % 2, doc_id) = 1""",
+    "committed_corpus": f"""SELECT run, CASE WHEN doc_id // 2 % 5 = 0 THEN 'test' ELSE 'train' END AS split, sample_id, lang AS activity,
+        md5('Conclusion:' || chr(10) || trim(text, {BLANK_CHARS}) || chr(10) || chr(10) || 'Predicted Activity: ' || lang || chr(10)) AS output_md5
+        FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'first' ELSE 'second' END AS run, CAST(doc_id // 2 AS VARCHAR) AS sample_id FROM documents)
+        QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY run, doc_id) = 1""",
+    "committed_records": """WITH r AS (SELECT 'part' || doc_id % 2 AS run, CASE WHEN doc_id // 2 % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+          n_chars % 100 / 100.0::DOUBLE AS confidence FROM documents)
+        SELECT run, split, count(*) AS n, round(sum(confidence), 6) AS confidence, any_value(n_run) AS n_run
+        FROM r JOIN (SELECT run, count(*) AS n_run FROM r GROUP BY ALL) USING (run) GROUP BY ALL""",
 }
