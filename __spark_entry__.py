@@ -16,10 +16,10 @@ from oracle_queries import ORACLES
 from reasonmill import registry
 from reasonmill.functions import similarity, text, vocab
 from reasonmill.operators import (
-    classification, corpus, graph, matching, ordering, reports, runlog, textquality, vocabulary,
+    classification, corpus, graph, matching, ordering, reports, runlog, textquality, verdicts, vocabulary,
 )
 from reasonmill.plans import evaluate, match
-from reasonmill.plans.stage import stage_folder, staged_once
+from reasonmill.plans.stage import stage_folder, staged, staged_once
 from reasonmill.session import ship_package
 from reasonmill.sources import committed, derived, documents
 from reasonmill.sources.tables import table
@@ -517,6 +517,38 @@ def ingested_corpus(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("split", "sample_id", "file_name", "n_tokens", "leak", "is_short")
 
 
+def _requests(spark: SparkSession, d: str, relaxed: bool) -> DataFrame:
+    return match.requests(_rows(spark, d), SET, relaxed=relaxed)
+
+
+def strict_request_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _requests(spark, d, relaxed=False).select("sample_id", "kind", "i", "j", F.md5("request").alias("request_md5"))
+
+
+def relaxed_request_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _requests(spark, d, relaxed=True).select(
+        "sample_id", "kind", "i", "j", F.md5("request").alias("request_md5"), "auto_verdict"
+    )
+
+
+def _first_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of every other batch of a first call, as a judge leaves them that was stopped."""
+    asked = verdicts.batches(_requests(spark, d, relaxed=True), size=64)
+    return staged(asked.where("batch % 2 = 0").select(
+        "request_id", F.when(F.col("request_id") < "8", "YES").otherwise("NO, not the same").alias("response")
+    ), "answers")
+
+
+def resumed_request_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The second call: what the first left open, in new batches."""
+    again = verdicts.batches(_requests(spark, d, relaxed=True), _first_answers(spark, d), size=64)
+    return again.select("batch", "request_id", "kind", F.length("request").alias("n_chars"), "n_pairs")
+
+
+def answered_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return verdicts.responses(_requests(spark, d, relaxed=True), _first_answers(spark, d), KEY)
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Documents as answers of a teacher, two to a key."""
     return _texts(spark, d).select(
@@ -589,6 +621,7 @@ ALL: Sequence[Query] = (
     evaluation_report, training_examples, smallest_sources, merged_shards, frequent_unresolved_sensors,
     evaluation_file_report, evaluation_file_rows, dataset_match_summary, dataset_node_rates,
     dataset_unresolved_sensors, ingested_corpus, committed_corpus, committed_records,
+    strict_request_texts, relaxed_request_texts, resumed_request_batches, answered_pairs,
 )
 
 

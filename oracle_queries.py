@@ -4,6 +4,7 @@ of a trace: Spark renders and parses, this side only counts."""
 from __future__ import annotations
 
 from reasonmill.functions.text import BLANKS as text_blanks
+from reasonmill.operators import matching
 from reasonmill.operators.corpus import PROMPT
 from reasonmill import registry
 from reasonmill.registry import UCIHAR_CLASSES, UCIHAR_SENSORS, UCIHAR_TERMS, dimension_rows
@@ -500,6 +501,44 @@ def _longest(classes) -> list[str]:
     return sorted(classes, key=lambda c: -len(c))
 
 
+def _question(kind: str, relaxed: bool) -> str:
+    return ("\n" + matching._QUESTIONS[kind, relaxed] + matching._ANSWER_FORM).replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+def _asked(relaxed: bool) -> str:
+    """All pairs with the text of their request, from the relation."""
+    side = lambda name, w, q: f"'{name}" + (": ' ||" if relaxed else f" (' || {WINDOWS}[{w} + 1] || '): ' ||") + f" {PATTERNS}[{q} + 1]"
+    far = "CASE WHEN d > 1 THEN 'NO' END" if relaxed else "NULL"
+    text = f"'Sensor: ' || grp || chr(10) || {side('Reference', 'gw', 'gq')} || chr(10) || {side('Generated', 'pw', 'pq')} || '{_question('observation', relaxed)}'"
+    return f"""
+ref_node AS (SELECT sample_id, num, {SENSORS_LOWER}[arg_max(s, i) + 1] AS sensor FROM ref_obs GROUP BY ALL),
+ref_txt AS (
+  SELECT x.*, CASE t WHEN 0 THEN 'the ' || coalesce(o.sensor, 'nothing') || ' signal moves'
+      WHEN 1 THEN 'Motion in ' || replace(coalesce(o.sensor, 'nothing'), '_', ' ') || ' here'
+      WHEN 2 THEN 'motion along z' ELSE 'calm and still' END AS text
+  FROM ref_inf x LEFT JOIN ref_node o ON x.sample_id = o.sample_id AND x.a = o.num
+), seen AS (
+  SELECT x.*, g.q AS gq, p.q AS pq, CASE WHEN gw = pw OR gw = 5 OR pw = 5 THEN 0 WHEN gw = 6 OR pw = 6 THEN 999
+    ELSE abs(gw - pw) END AS d
+  FROM obs_pair x JOIN ref_obs g ON g.sample_id = x.sample_id AND g.i = x.i JOIN gen_obs p ON p.sample_id = x.sample_id AND p.i = x.j
+), asked AS (
+  SELECT sample_id, 'observation' AS kind, i - 1 AS i, j - 1 AS j, CASE WHEN {far} IS NULL THEN {text} END AS request, {far} AS auto_verdict
+  FROM seen
+  UNION ALL SELECT x.sample_id, 'inference', x.i - 1, x.j - 1,
+    'Reference: ' || g.text || chr(10) || 'Generated: ' || p.text || '{_question('inference', relaxed)}', NULL
+  FROM inf_pair x JOIN ref_txt g ON g.sample_id = x.sample_id AND g.i = x.i JOIN gen_inf p ON p.sample_id = x.sample_id AND p.i = x.j
+  UNION ALL SELECT sample_id, 'synthesis', 0, 0,
+    'Reference: ' || {SYNTHESES}[gt_syn_text + 1] || chr(10) || 'Generated: ' || {SYNTHESES}[pred_syn_text + 1] || '{_question('synthesis', relaxed)}', NULL
+  FROM syn_pair JOIN live USING (sample_id)
+)"""
+
+
+_CALLS = """, each AS (
+  SELECT sha256(kind || chr(10) || request) AS request_id, kind, request, count(*) AS n_pairs
+  FROM asked WHERE request IS NOT NULL GROUP BY ALL
+), first AS (SELECT request_id FROM (SELECT request_id, (row_number() OVER (ORDER BY request_id) - 1) // 64 AS b FROM each) WHERE b % 2 = 0)"""
+
+
 _NAMED = f"""
 named AS (
   SELECT s2.* EXCLUDE (predicted_activity), {_dataset('CAST(s2.sample_id AS BIGINT)')} AS dataset,
@@ -809,4 +848,19 @@ ORACLES = {
           n_chars % 100 / 100.0::DOUBLE AS confidence FROM documents)
         SELECT run, split, count(*) AS n, round(sum(confidence), 6) AS confidence, any_value(n_run) AS n_run
         FROM r JOIN (SELECT run, count(*) AS n_run FROM r GROUP BY ALL) USING (run) GROUP BY ALL""",
+    "strict_request_texts": _on_relation(
+        "SELECT sample_id, kind, i, j, md5(request) AS request_md5 FROM asked", MATCH + ", " + _asked(False).strip()
+    ),
+    "relaxed_request_texts": _on_relation(
+        "SELECT sample_id, kind, i, j, md5(request) AS request_md5, auto_verdict FROM asked", MATCH + ", " + _asked(True).strip()
+    ),
+    "resumed_request_batches": _on_relation(
+        """SELECT (row_number() OVER (ORDER BY request_id) - 1) // 64 AS batch, request_id, kind, length(request) AS n_chars, n_pairs
+        FROM each ANTI JOIN first USING (request_id)""", MATCH + ", " + _asked(True).strip() + _CALLS,
+    ),
+    "answered_pairs": _on_relation(
+        """SELECT sample_id, kind, i, j, CASE WHEN request_id < '8' THEN 'YES' ELSE 'NO, not the same' END AS response
+        FROM (SELECT *, sha256(kind || chr(10) || request) AS request_id FROM asked) SEMI JOIN first USING (request_id)""",
+        MATCH + ", " + _asked(True).strip() + _CALLS,
+    ),
 }
