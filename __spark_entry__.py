@@ -21,7 +21,7 @@ from reasonmill.operators import (
 from reasonmill.plans import evaluate, match
 from reasonmill.plans.stage import stage_folder, staged, staged_once
 from reasonmill.session import ship_package
-from reasonmill.sources import committed, derived, documents
+from reasonmill.sources import committed, derived, documents, sinks
 from reasonmill.sources.tables import table
 from reasonmill.streaming import ingest
 
@@ -517,6 +517,79 @@ def ingested_corpus(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("split", "sample_id", "file_name", "n_tokens", "leak", "is_short")
 
 
+def scoped_term_recall(spark: SparkSession, d: str) -> DataFrame:
+    rows = graph.with_reference(_rows(spark, d).withColumn("has_reference", ~text.is_blank("ground_truth_reasoning")))
+    scores = textquality.text_scores(rows, ["gt_activity", "predicted_activity"], SET.terms, columns=["sensor_term_recall"])
+    return textquality.scoped_means(scores, ["sensor_term_recall"])
+
+
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report, with the one text score that SQL can repeat."""
+    index = documents.latest_per_sample(derived.attribution_rows(spark, d))
+    config = {"dataset": "ucihar", "model_id": "m", "n_tokens": "8"}
+    lines = evaluate.report(_eval_rows(spark, d), SET, config, index, scores=["sensor_term_recall"])
+    return lines.select("section_ordinal", "section", "ordinal", F.array_join("cells", "|").alias("line"))
+
+
+def evaluation_samples(spark: SparkSession, d: str) -> DataFrame:
+    rows = _eval_rows(spark, d).withColumn("n", F.col("sample_id").cast("bigint"))
+    return evaluate.qualitative_table(rows, SET, ["n"]).drop("snippet")
+
+
+def shard_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Shards that miss some events and hold others twice; five more were expected than there are."""
+    events = table(spark, d, "events").select(F.col("event_id").alias("index"))
+    kept, again = events.where("index % 10 not in (3, 4)"), events.where("index % 25 in (5, 6, 7, 13)")
+    return ordering.index_report(kept.unionAll(again), "index", expected=events.count() + 5)
+
+
+def match_document(spark: SparkSession, d: str) -> DataFrame:
+    """The result document of the matching, written as text and parsed back."""
+    prepared = matching.prepare(_rows(spark, d), registry.lookup("pamap2").sensors, KEY)
+    strata, unresolved = matching.summary(_scored(spark, d)), matching.unresolved_sensors(prepared)
+    calls = match.requests(_rows(spark, d), SET, relaxed=True).where("request is not null")
+    path = stage_folder(spark, "document")
+    matching.result_document(strata, unresolved, calls, {"dataset": "ucihar", "mode": "relaxed"}).write.text(path)
+    scores = ", ".join(f"{c}: double" for c in matching.SCORES)
+    ddl = (
+        "struct<config: map<string,string>, n_judge_calls: bigint, strata: map<string,struct<n_total: bigint, n_scored: bigint, "
+        f"n_skipped: bigint, {scores}>>, unresolved_sensors: array<struct<raw: string, n: bigint>>>"
+    )
+    read = spark.read.text(path, wholetext=False).select(F.from_json("value", ddl).alias("doc"))
+    listed = F.transform("doc.unresolved_sensors", lambda x: F.concat_ws(":", x["raw"], x["n"].cast("string")))
+    return read.select(
+        F.col("doc.config")["dataset"].alias("dataset"), F.col("doc.n_judge_calls").alias("n_judge_calls"),
+        F.array_join(listed, ",").alias("unresolved"), F.explode("doc.strata").alias("stratum", "row"),
+    ).select("dataset", "n_judge_calls", "unresolved", "stratum", "row.*")
+
+
+def tolerant_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Training lines with broken ones among them, written as text and read back."""
+    path = stage_folder(spark, "lines")
+    meta = F.struct(F.col("doc_id").cast("string").alias("sample_id"), F.col("source").alias("split"))
+    line = F.to_json(F.struct(F.col("lang").alias("input"), F.col("text").alias("output"), meta.alias("metadata")))
+    broken = F.when(F.col("doc_id") % 7 == 3, F.substr(line, F.lit(1), F.length(line) - 2)).otherwise(line)
+    _texts(spark, d).select(broken.alias("value")).write.text(path)
+    return documents.training_lines(spark, path).select("metadata.sample_id", "metadata.split", "input", F.md5("output").alias("output_md5"))
+
+
+def first_inference_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first rows of inference results in their original order: files by number, rows by place."""
+    rows = documents.evaluation_rows(spark, [("ucihar", _file_folder(spark, d))], glob="*.txt").withColumn("file", _file_number())
+    return documents.first_rows(rows, 75, "file", "pos").select("file", "pos", "sample_id")
+
+
+def written_results(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows as they stand in the file: private and listed columns gone, undefined values there as null."""
+    path = stage_folder(spark, "results")
+    rows = _texts(spark, d).select(
+        "doc_id", F.col("lang").alias("_gen_graph"), F.col("source").alias("embedding"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).alias("score"),
+    )
+    sinks.write_results(rows, path, drop=["embedding"])
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def _requests(spark: SparkSession, d: str, relaxed: bool) -> DataFrame:
     return match.requests(_rows(spark, d), SET, relaxed=relaxed)
 
@@ -622,6 +695,8 @@ ALL: Sequence[Query] = (
     evaluation_file_report, evaluation_file_rows, dataset_match_summary, dataset_node_rates,
     dataset_unresolved_sensors, ingested_corpus, committed_corpus, committed_records,
     strict_request_texts, relaxed_request_texts, resumed_request_batches, answered_pairs,
+    scoped_term_recall, report_lines, evaluation_samples, shard_gaps, match_document, tolerant_lines,
+    first_inference_rows, written_results,
 )
 
 

@@ -501,6 +501,17 @@ def _longest(classes) -> list[str]:
     return sorted(classes, key=lambda c: -len(c))
 
 
+_RECALL = """
+ref_terms AS (SELECT DISTINCT sample_id, s FROM ref_obs WHERE s < 4),
+        gen_terms AS (SELECT DISTINCT sample_id, s FROM gen_obs WHERE s < 4),
+        recall AS (
+          SELECT n.sample_id, n.gt_activity, n.predicted_activity,
+            CASE WHEN count(r.s) > 0 THEN count(g.s) / count(r.s) END AS r
+          FROM n LEFT JOIN ref_terms r USING (sample_id)
+          LEFT JOIN gen_terms g ON g.sample_id = n.sample_id AND g.s = r.s WHERE has_ref GROUP BY ALL
+        )"""
+
+
 def _question(kind: str, relaxed: bool) -> str:
     return ("\n" + matching._QUESTIONS[kind, relaxed] + matching._ANSWER_FORM).replace("'", "''").replace("\n", "' || chr(10) || '")
 
@@ -632,14 +643,7 @@ ORACLES = {
         """SELECT condition, count(*) AS n, round(avg(r), 6) AS sensor_term_recall
         FROM recall, unnest(['all', CASE WHEN gt_activity = predicted_activity THEN 'correct' ELSE 'incorrect' END]) AS t(condition)
         GROUP BY ALL""",
-        """ref_terms AS (SELECT DISTINCT sample_id, s FROM ref_obs WHERE s < 4),
-        gen_terms AS (SELECT DISTINCT sample_id, s FROM gen_obs WHERE s < 4),
-        recall AS (
-          SELECT n.sample_id, n.gt_activity, n.predicted_activity,
-            CASE WHEN count(r.s) > 0 THEN count(g.s) / count(r.s) END AS r
-          FROM n LEFT JOIN ref_terms r USING (sample_id)
-          LEFT JOIN gen_terms g ON g.sample_id = n.sample_id AND g.s = r.s WHERE has_ref GROUP BY ALL
-        )""",
+        _RECALL,
     ),
     "condition_counts": _on_relation(
         """SELECT count(*) AS n_total_cls, count(*) FILTER (has_ref) AS n_total_text_gt,
@@ -863,4 +867,75 @@ ORACLES = {
         FROM (SELECT *, sha256(kind || chr(10) || request) AS request_id FROM asked) SEMI JOIN first USING (request_id)""",
         MATCH + ", " + _asked(True).strip() + _CALLS,
     ),
+    "scoped_term_recall": _on_relation(
+        """SELECT CASE WHEN grouping(c) = 0 THEN 'condition' WHEN grouping(gt_activity) = 0 THEN 'class' ELSE 'all' END AS scope,
+          coalesce(c, gt_activity, 'all') AS value, count(*) AS n, round(avg(r), 6) AS sensor_term_recall
+        FROM (SELECT *, CASE WHEN gt_activity = predicted_activity THEN 'correct' ELSE 'incorrect' END AS c FROM recall)
+        GROUP BY GROUPING SETS ((), (c), (gt_activity))""", _RECALL,
+    ),
+    "evaluation_samples": _on_relation(
+        """SELECT pos, sample_id, gt_activity, predicted_activity, CASE WHEN gt_activity = predicted_activity THEN 'Y' ELSE 'N' END AS ok,
+          gen_n AS n_obs, gen_m AS n_inf, CASE WHEN gen_n > 0 THEN 'Y' ELSE 'N' END AS parsed
+        FROM (SELECT *, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS total FROM sized)
+        WHERE pos % 50 = 0 OR pos = total - 1"""
+    ),
+    "report_lines": _on_relation(
+        """, shown AS (
+          SELECT 'config' AS section, 0 AS ordinal, 'dataset|ucihar' AS line UNION ALL SELECT 'config', 1, 'model_id|m'
+          UNION ALL SELECT 'config', 2, 'n_tokens|8'
+          UNION ALL SELECT 'config', 3, 'n_cls_samples|' || count(*) FROM n
+          UNION ALL SELECT 'config', 4, 'n_text_samples|' || count(*) FILTER (has_ref) FROM n
+          UNION ALL SELECT 'classification', 0, 'accuracy|' || (SELECT printf('%.4f', avg((gt = pred)::INT)) FROM guess)
+          UNION ALL SELECT 'classification', 1, 'macro_precision|' || printf('%.4f', avg(precision)) FROM rep WHERE label <> 'unknown'
+          UNION ALL SELECT 'classification', 2, 'macro_recall|' || printf('%.4f', avg(recall)) FROM rep WHERE label <> 'unknown'
+          UNION ALL SELECT 'classification', 3, 'macro_f1|' || printf('%.4f', avg(f1)) FROM rep WHERE label <> 'unknown'
+          UNION ALL SELECT 'text', 0, 'sensor_term_recall|' || printf('%.4f', avg(r)) FROM recall
+          UNION ALL SELECT 'conditioned', CASE WHEN c THEN 0 ELSE 1 END, CASE WHEN c THEN 'correct|' ELSE 'incorrect|' END || count(*)
+              || '|' || printf('%.4f', avg(r)) FROM (SELECT r, gt_activity = predicted_activity AS c FROM recall) GROUP BY c
+          UNION ALL SELECT 'graph', 0, 'ref_psr|' || printf('%.4f', avg((ref_n > 0)::INT)) FROM sized WHERE has_ref
+          UNION ALL SELECT 'graph', 100, 'gs_f1|' || printf('%.4f', avg(gs_f1)) FROM gsf
+          UNION ALL SELECT 'graph', 101, 'gs_precision|' || printf('%.4f', avg(gs_precision)) FROM gsf
+          UNION ALL SELECT 'graph', 102, 'gs_recall|' || printf('%.4f', avg(gs_recall)) FROM gsf
+          UNION ALL SELECT 'graph', 103, 'gs_n_scored|' || count(gs_f1) FROM gsf
+          UNION ALL SELECT 'graph', 200, 'rcv_structural|' || printf('%.4f', avg(s)) FROM chain
+          UNION ALL SELECT 'graph', 201, 'rcv_semantic|' || printf('%.4f', avg(m)) FROM chain
+          UNION ALL SELECT 'graph', 202, 'rcv_combined|' || printf('%.4f', avg(m)) FROM chain
+          UNION ALL SELECT 'graph', 300, 'gc_mean|' || printf('%.4f', avg(gc)) FROM gc
+          UNION ALL SELECT 'classes', ordinal, label || '|' || printf('%.4f', precision) || '|' || printf('%.4f', recall) || '|'
+              || printf('%.4f', f1) || '|' || support FROM rep
+        )
+        SELECT list_position(['config', 'classification', 'text', 'conditioned', 'graph', 'classes'], section) AS section_ordinal,
+          section, CAST(ordinal AS BIGINT) AS ordinal, line FROM shown""",
+        ", ".join([_GUESS, _report("guess", LABELS), _RECALL.strip(), GROUNDING.strip(), CHAIN.strip(), COVERAGE.strip()]),
+    ),
+    "shard_gaps": """WITH c AS (
+          SELECT i, count(*) AS n FROM (
+            SELECT event_id AS i FROM events WHERE event_id % 10 NOT IN (3, 4)
+            UNION ALL SELECT event_id FROM events WHERE event_id % 25 IN (5, 6, 7, 13)) GROUP BY ALL
+        ), wanted AS (SELECT unnest(range(0, (SELECT count(*) FROM events) + 5)) AS i),
+        gone AS (SELECT i, i - row_number() OVER (ORDER BY i) AS g FROM wanted ANTI JOIN c USING (i)),
+        many AS (SELECT i, n, i - row_number() OVER (ORDER BY i) AS g FROM c WHERE n > 1)
+        SELECT 'missing' AS kind, min(i) AS first, max(i) AS last, 0 AS n FROM gone GROUP BY g
+        UNION ALL SELECT 'doubled', min(i), max(i), CAST(sum(n) AS BIGINT) FROM many GROUP BY g""",
+    "match_document": _on_relation(
+        f"""SELECT 'ucihar' AS dataset,
+          (SELECT count(*) FROM (SELECT CASE WHEN gw = pw OR gw = 5 OR pw = 5 THEN 0 WHEN gw = 6 OR pw = 6 THEN 999
+            ELSE abs(gw - pw) END AS d FROM obs_pair) WHERE d <= 1) + (SELECT count(*) FROM inf_pair) + (SELECT count(*) FROM syn_pair) AS n_judge_calls,
+          (SELECT string_agg(raw || ':' || m, ',' ORDER BY m DESC, raw) FROM (
+            SELECT {SENSORS_LOWER}[s + 1] AS raw, count(*) AS m FROM (
+              SELECT o.s FROM ref_obs o JOIN n USING (sample_id) WHERE has_gen
+              UNION ALL SELECT o.s FROM gen_obs o JOIN n USING (sample_id) WHERE has_ref) WHERE s <> 4 GROUP BY ALL)) AS unresolved,
+          stratum, count(*) AS n_total, count(*) FILTER (NOT snm_skipped) AS n_scored, count(*) FILTER (snm_skipped) AS n_skipped,
+          {_rounded(SCORE_NAMES, 'avg({})')}
+        FROM s2, unnest(CASE WHEN snm_skipped THEN ['all'] WHEN gt_activity = predicted_activity THEN ['all', 'correct']
+          ELSE ['all', 'incorrect'] END) AS t(stratum) GROUP BY ALL""", SAMPLE_SCORES,
+    ),
+    "tolerant_lines": """SELECT CAST(doc_id AS VARCHAR) AS sample_id, source AS split, lang AS input, md5(text) AS output_md5
+        FROM documents WHERE doc_id % 7 <> 3""",
+    "first_inference_rows": f"""SELECT file, pos, coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id END, pos)::VARCHAR AS sample_id
+        FROM (SELECT doc_id, doc_id // {derived.FILE_ROWS} AS file,
+              row_number() OVER (PARTITION BY doc_id // {derived.FILE_ROWS} ORDER BY doc_id) - 1 AS pos FROM documents)
+        WHERE file % 4 < 2 ORDER BY file, pos LIMIT 75""",
+    "written_results": """SELECT '{"doc_id":' || doc_id || ',"score":' || coalesce(CASE WHEN doc_id % 3 = 0 THEN n_chars END::VARCHAR, 'null') || '}' AS line
+        FROM documents""",
 }

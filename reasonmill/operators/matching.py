@@ -7,7 +7,7 @@ never text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -607,12 +607,11 @@ def summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Means over samples for all samples and, scored ones only, split by correctness of the class. All three strata have
     a row; one without samples has counts of 0 and NULL means."""
     correct = F.col("gt_activity").eqNullSafe(F.col("predicted_activity"))
-    strata = F.when(F.col("snm_skipped"), F.array(F.lit("all"))).otherwise(
-        F.array(F.lit("all"), F.when(correct, "correct").otherwise("incorrect"))
-    )
+    stratum = F.when(~F.col("snm_skipped"), F.when(correct, "correct").otherwise("incorrect"))
     count_if = lambda c: F.count(F.when(c, 1))
-    slim = scored.select(*by, "snm_skipped", "skip_reason", F.explode(strata).alias("stratum"), *SCORES)
-    found = slim.groupBy(*by, "stratum").agg(
+    slim = scored.select(*by, "snm_skipped", "skip_reason", stratum.alias("_stratum"), *SCORES)
+    grouped = slim.groupingSets([[*by], [*by, "_stratum"]], *by, "_stratum").agg(
+        F.grouping("_stratum").alias("_whole"),
         F.count("*").alias("n_total"),
         count_if(~F.col("snm_skipped")).alias("n_scored"),
         count_if(F.col("snm_skipped")).alias("n_skipped"),
@@ -620,6 +619,8 @@ def summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         count_if(F.col("skip_reason") == "pred_parse_fail").alias("n_pred_parse_fail"),
         *[F.avg(c).alias(c) for c in SCORES],
     )
+    named = F.when(F.col("_whole") == 1, "all").otherwise(F.col("_stratum"))
+    found = grouped.withColumn("stratum", named).where("stratum is not null")  # skipped samples are in no stratum of their own
     counts = ["n_total", "n_scored", "n_skipped", "n_gt_parse_fail", "n_pred_parse_fail"]
     # At most three rows a group.
     few = found.groupBy(*by).agg(F.collect_list(F.struct("stratum", *counts, *SCORES)).alias("rows"))
@@ -628,3 +629,29 @@ def summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return named.select(*by, "stratum", row.alias("row")).select(
         *by, "stratum", *[F.coalesce(F.col(f"row.{c}"), F.lit(0)).alias(c) for c in counts], *[f"row.{c}" for c in SCORES],
     )
+
+
+def finite(c: Column) -> Column:
+    """NULL for what JSON has no number for."""
+    return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def result_document(strata: DataFrame, unresolved: DataFrame, calls: DataFrame, config: Mapping[str, str], top: int = 30) -> DataFrame:
+    """One row, ``document``: configuration, number of judge calls (rows of ``calls``), the strata of ``summary`` by name, and
+    the ``top`` sensor names that stayed unresolved. Undefined, infinite and NaN values are null. What is gathered here are
+    three strata and ``top`` names, whatever the number of samples."""
+    fields = [c for c in strata.columns if c != "stratum"]
+    kinds = dict(strata.dtypes)
+    row = F.struct(*[(finite(F.col(c)) if kinds[c] == "double" else F.col(c)).alias(c) for c in fields])
+    named = strata.agg(F.map_from_entries(F.collect_list(F.struct("stratum", row.alias("row")))).alias("strata"))
+    frequent = unresolved.orderBy(F.desc("n"), "raw").limit(top).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "raw"))).alias("names")
+    )
+    asked = calls.agg(F.count("*").alias("n_judge_calls"))
+    whole = asked.join(named).join(frequent)  # one row each
+    document = F.struct(
+        F.create_map(*[F.lit(x) for pair in config.items() for x in pair]).alias("config") if config else F.lit(None).cast("map<string,string>").alias("config"),
+        F.col("n_judge_calls"), F.col("strata"),
+        F.transform("names", lambda x: F.struct(x["raw"].alias("raw"), (-x["less"]).alias("n"))).alias("unresolved_sensors"),
+    )
+    return whole.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))

@@ -130,3 +130,41 @@ def running_totals(
         {name: F.col(f"_off_{name}") + F.sum(c).over(inside) for name, c in columns.items()}
     ).drop("_block", *[f"_off_{n}" for n in columns])
 
+
+
+def runs(rows: DataFrame, index: str) -> DataFrame:
+    """(first, last) of every unbroken range of the values of ``index``, which are whole numbers without repeats.
+
+    A value less its position is the same for a whole run, so runs are an aggregate with partial sums: a run of any
+    length, over any number of partitions, ends as one row.
+    """
+    placed = with_position(rows.select(index), [index], "_pos")
+    return placed.groupBy((F.col(index) - F.col("_pos")).alias("_run")).agg(
+        F.min(index).alias("first"), F.max(index).alias("last")
+    ).drop("_run")
+
+
+def index_report(rows: DataFrame, index: str, expected: int | None = None) -> DataFrame:
+    """(kind, first, last, n) of the ranges of whole numbers from 0 that are missing, or there more than once (``n`` rows).
+
+    With ``expected`` the numbers below it are wanted, else those up to the greatest. Rows without index are left out.
+    """
+    counted = rows.where(F.col(index).isNotNull()).groupBy(index).agg(F.count("*").alias("_n"))
+    # The borders stand for what comes before and after all rows.
+    present = runs(counted, index)
+    placed = with_position(present, ["first"], "_pos", "_total")
+    before = placed.select((F.col("_pos") + 1).alias("_pos"), (F.col("last") + 1).alias("_from"))
+    inner = placed.join(before, "_pos", "left").select(F.coalesce("_from", F.lit(0)).alias("first"), (F.col("first") - 1).alias("last"))
+    gaps = inner
+    if expected is not None:
+        ends = present.agg(F.coalesce(F.max("last") + 1, F.lit(0)).alias("first")).select("first", F.lit(expected - 1).alias("last"))
+        gaps = inner.unionByName(ends)
+    missing = gaps.where("first <= last").select(
+        F.lit("missing").alias("kind"), F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"),
+        F.lit(0).cast("bigint").alias("n"),
+    )
+    many = counted.where("_n > 1")
+    doubled = with_position(many, [index], "_pos").groupBy((F.col(index) - F.col("_pos")).alias("_run")).agg(
+        F.min(index).cast("bigint").alias("first"), F.max(index).cast("bigint").alias("last"), F.sum("_n").alias("n")
+    )
+    return missing.unionByName(doubled.select(F.lit("doubled").alias("kind"), "first", "last", "n"))

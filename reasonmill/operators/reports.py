@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reasonmill.functions.expr import fixed4, strings
 
 UNDEFINED = "N/A"
-SUMMARY_METRICS = (
-    "accuracy", "macro_f1", "rouge_l", "vector_f1", "gs_f1", "gs_recall", "gs_precision", "psr",
-)
 
 
 def long_metrics(
@@ -81,9 +78,25 @@ def sectioned_report(metrics: DataFrame, sections: Sequence[str]) -> DataFrame:
 
 
 def class_lines(report: DataFrame) -> DataFrame:
-    """Per-class lines in label order, so ``unknown`` comes last."""
-    return report.select(
-        "ordinal", "label", fixed4(F.col("precision")).alias("precision"),
-        fixed4(F.col("recall")).alias("recall"), fixed4(F.col("f1")).alias("f1"),
-        F.col("support").cast("string").alias("support"),
-    )
+    """Per-class lines in label order, so ``unknown`` comes last: (ordinal, cells)."""
+    numbers = [fixed4(F.col(c)) for c in ("precision", "recall", "f1")]
+    return report.select("ordinal", F.array("label", *numbers, F.col("support").cast("string")).alias("cells"))
+
+
+def value_lines(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(ordinal, cells) of name and value for columns of a one-row table; counts are whole numbers."""
+    kinds = dict(wide.dtypes)
+    shown = lambda c: fixed4(F.col(c)) if kinds[c] == "double" else F.coalesce(F.col(c).cast("string"), F.lit(UNDEFINED))
+    lines = F.array(*[F.array(F.lit(c), shown(c)) for c in names])
+    return wide.select(F.posexplode(lines).alias("ordinal", "cells"))
+
+
+def condition_lines(scoped: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(ordinal, cells) of the means of correct and incorrect samples; both have a line, whether or not there are any."""
+    rows = scoped.where("scope = 'condition'").agg(F.collect_list(F.struct("value", "n", *columns)).alias("rows"))  # two at most
+
+    def line(name: str) -> Column:
+        row = F.get(F.filter("rows", lambda r: r["value"] == name), F.lit(0))
+        return F.array(F.lit(name), F.coalesce(row["n"], F.lit(0)).cast("string"), *[fixed4(row[c]) for c in columns])
+
+    return rows.select(F.posexplode(F.array(line("correct"), line("incorrect"))).alias("ordinal", "cells"))

@@ -22,14 +22,15 @@ def text_scores(
     reference: str = "ground_truth_reasoning",
     generated: str = "generated",
     stem: bool = True,
+    columns: Sequence[str] = SCORES,
 ) -> DataFrame:
-    """Scores of every row with a reference text; texts are compared whole."""
-    return rows.select(
-        *keys,
-        similarity.rouge_l(reference, generated, stem).alias("rouge_l"),
-        similarity.meteor(reference, generated).alias("meteor"),
-        similarity.term_recall(reference, generated, terms).alias("sensor_term_recall"),
-    )
+    """The wanted scores of every row with a reference text; texts are compared whole."""
+    scores = {
+        "rouge_l": lambda: similarity.rouge_l(reference, generated, stem),
+        "meteor": lambda: similarity.meteor(reference, generated),
+        "sensor_term_recall": lambda: similarity.term_recall(reference, generated, terms),
+    }
+    return rows.select(*keys, *[scores[c]().alias(c) for c in columns])
 
 
 def means(scores: DataFrame, columns: Sequence[str] = SCORES, by: Sequence[str] = ()) -> DataFrame:
@@ -41,6 +42,32 @@ def is_correct(gt: str = "gt_activity", pred: str = "predicted_activity") -> Col
     return F.col(gt).eqNullSafe(F.col(pred))
 
 
+def scoped_means(
+    scores: DataFrame,
+    columns: Sequence[str] = SCORES,
+    gt: str = "gt_activity",
+    pred: str = "predicted_activity",
+    by: Sequence[str] = (),
+    classes: bool = True,
+) -> DataFrame:
+    """``(by…, scope, value, n, columns…)``: means over all samples, by correctness and, on request, by true class.
+
+    One aggregate over grouping sets: every row is read and scored once, and each scope has its own partial sums.
+    """
+    tagged = scores.select(
+        *by, F.when(is_correct(gt, pred), "correct").otherwise("incorrect").alias("_condition"),
+        F.col(gt).alias("_class"), *columns,
+    )
+    sets = [[*by], [*by, "_condition"], *([[*by, "_class"]] if classes else [])]
+    grouped = tagged.groupingSets(sets, *by, "_condition", "_class").agg(
+        F.grouping("_condition").alias("_no_condition"), F.grouping("_class").alias("_no_class"),
+        F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns],
+    )
+    scope = F.when(F.col("_no_condition") == 0, "condition").when(F.col("_no_class") == 0, "class").otherwise("all")
+    value = F.when(scope == "all", "all").otherwise(F.coalesce("_condition", "_class"))
+    return grouped.select(*by, scope.alias("scope"), value.alias("value"), "n", *columns)
+
+
 def conditioned_means(
     scores: DataFrame,
     columns: Sequence[str] = SCORES,
@@ -49,11 +76,9 @@ def conditioned_means(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Means for all, correct and incorrect samples in one pass."""
-    condition = F.when(is_correct(gt, pred), "correct").otherwise("incorrect")
-    tagged = scores.select(
-        *by, F.explode(F.array(F.lit("all"), condition)).alias("condition"), *columns
+    return scoped_means(scores, columns, gt, pred, by, classes=False).select(
+        *by, F.col("value").alias("condition"), "n", *columns
     )
-    return means(tagged, columns, [*by, "condition"])
 
 
 def condition_counts(rows: DataFrame, reference_flag: str = "has_reference") -> DataFrame:

@@ -37,3 +37,13 @@ def write_report(lines: DataFrame, path: str, order: Sequence[str]) -> None:
     shown = [c for c in lines.columns if c not in order or c not in ("ordinal", "section_ordinal")]
     ordered = lines.orderBy(*order).select(*[F.col(c) for c in shown])
     ordered.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_lines(report: DataFrame, path: str, width: int = 8) -> None:
+    """The few lines of a sectioned report as one CSV file, cell by cell, each section under its name."""
+    heads = report.select("section_ordinal", "section").distinct().select(
+        "section_ordinal", F.lit(-1).alias("ordinal"), F.array(F.concat(F.lit("## "), F.upper("section"))).alias("cells")
+    )
+    lines = heads.unionByName(report.select("section_ordinal", "ordinal", "cells")).orderBy("section_ordinal", "ordinal")
+    cells = [F.coalesce(F.get("cells", F.lit(n)), F.lit("")).alias(f"c{n}") for n in range(width)]
+    lines.select(*cells).coalesce(1).write.mode("overwrite").option("emptyValue", "").csv(path)

@@ -198,6 +198,25 @@ def test_evaluation_report(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == lines.count()
 
 
+def test_whole_report_is_written_in_sections(spark, tmp_path):
+    text = ANSWER.replace("<think>x</think>", "")
+    ddl = "sample_id string, gt_activity string, ground_truth_reasoning string, generated string"
+    rows = spark.createDataFrame([("a", "standing", text, text), ("b", "sitting", text, "none"), ("c", "standing", "", text)], ddl)
+    lines = evaluate.report(rows, registry.lookup("ucihar"), {"dataset": "ucihar"}).persist()
+    got = {r.cells[0]: r.cells[1:] for r in lines.where("section <> 'classes'").collect()}
+    assert got["n_cls_samples"] == ["3"] and got["n_text_samples"] == ["2"] and got["accuracy"] == ["0.6667"]
+    assert got["correct"] == ["1", "1.0000", got["correct"][2], "1.0000"] and got["incorrect"][:2] == ["1", "0.0000"]
+    assert got["rouge_l"] == ["0.5000"] and got["ref_psr"] == ["1.0000"]
+    classes = [r.cells[0] for r in lines.where("section = 'classes'").orderBy("ordinal").collect()]
+    assert classes[-1] == "unknown" and len(classes) == 7
+    sinks.write_lines(lines, str(tmp_path / "report"))
+    written = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert written[0].startswith("## CONFIG") and sum(line.startswith("## ") for line in written) == len(evaluate.REPORT)
+    assert len(written) == lines.count() + len(evaluate.REPORT)
+    bare = {r.cells[0]: r.cells[1:] for r in evaluate.report(rows.where("sample_id = 'c'"), registry.lookup("ucihar"), {}).collect()}
+    assert bare["rouge_l"] == ["N/A"] and bare["correct"] == ["0", "N/A", "N/A", "N/A"] and bare["gc_mean"] == ["N/A"]
+
+
 def test_chain_and_duplicate_ids(spark):
     base = "[OBSERVATION | id: O1]\nsensor: {}\ntemporal: mid\npattern: p\nconfidence: low\n"
     inf = "[INFERENCE | id: I1]\nbased_on: O1{}\ninference: {}\nconfidence: low\n"
