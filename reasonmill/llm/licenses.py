@@ -259,7 +259,8 @@ def _agreeing(found: Column) -> Column:
     """(agreement, negative class) of the template that agrees best; the first class of several. NULL if none does."""
     def one(t: Column) -> Column:
         both = F.size(F.array_intersect(t["grams"], found))
-        forth, back = both / F.size(t["grams"]), both / F.size(F.array_distinct(found))
+        # A window without a token agrees with nothing.
+        forth, back = both / F.size(t["grams"]), F.coalesce(F.try_divide(both, F.size(F.array_distinct(found))), F.lit(0.0))
         share = F.when(t["heading"], F.when(F.least(forth, back) >= HEADING, F.least(forth, back))).otherwise(
             F.when(forth >= AGREEMENT, forth))
         named = F.size(F.array_except(t["must"], found)) == 0

@@ -6,7 +6,7 @@ the first by (doc_id, hash of the text, position) stays; the lines of all later
 
 Defined results: a NULL text and a text of fewer lines have no window and stay as they are; rows equal in doc_id and
 text are one document, and each of them gets its result; a NULL doc_id comes first; blank lines count like others. A
-text whose lines all went is ''. Input columns named like an output column are replaced.
+text whose lines all went is ''. Input columns named like an output column are replaced; other names never clash.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reasonmill.llm.tables import written
+from reasonmill.llm.tables import unused, written
 
 WINDOW = 3
 _SEED = 7919
@@ -51,11 +51,12 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     spans = later_windows(docs, id_column, text_column).groupBy("_id", "_text").agg(
         F.sort_array(F.array_distinct(covered)).alias("_gone")  # positions of one text: bounded by its own lines
     )
+    id_, text, gone_ = unused(docs, "_id", "_text", "_gone")
     joined = docs.join(
-        spans.hint("shuffle_hash"),  # the narrow side is hashed, so the texts are not sorted
-        F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("_text")), "left",
+        spans.toDF(id_, text, gone_).hint("shuffle_hash"),  # the narrow side is hashed, so the texts are not sorted
+        F.col(id_column).eqNullSafe(F.col(id_)) & (F.xxhash64(text_column) == F.col(text)), "left",
     )
-    lines, gone = F.split(text_column, "\n", -1), F.coalesce("_gone", F.array().cast("array<int>"))
+    lines, gone = F.split(text_column, "\n", -1), F.coalesce(gone_, F.array().cast("array<int>"))
     edges = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
     between = F.transform(
         F.sequence(F.lit(1), F.size(edges) - 1),

@@ -61,6 +61,23 @@ def test_every_stage_takes_odd_rows_and_keeps_the_columns(spark, odd, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), FOLDER).count() == 0
 
 
+def test_lines_of_other_scripts_beside_a_notice(spark):
+    foreign = "\n".join(["слова без латиницы"] * 20 + ["λέξεις χωρίς", "文字 だけ", ""])
+    docs = spark.createDataFrame([(1, foreign + "Released under the MIT License."), (2, foreign), (3, "MIT License\n\n" + foreign)], "doc_id long, text string")
+    assert {r.doc_id for r in licenses.scan(docs, licenses.fit(docs, background=5)).collect()} <= {1, 3}
+
+
+def test_helper_columns_of_the_input_are_kept(spark):
+    rows = [(n, "a\nb\nc\nd" if n < 3 else f"own {n}\nb\nx{n}", n, "t", [n], True, "k") for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _TEXT string, _gone array<long>, _kept boolean, _bucket string")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert {(r.doc_id, r._id, r._TEXT, r.n_removed) for r in out.collect()} == {(n, n, "t", 4 if n in (1, 2) else 0) for n in range(6)}
+    with_columns = docs.withColumn("n_chars", F.length("text").cast("long"))
+    for stage in (corpus_pipeline.drop_lines, corpus_pipeline.keep_one_copy):
+        assert stage(spark, with_columns, FOLDER).columns == with_columns.columns
+
+
 def test_empty_tables(spark, odd, labels):
     none = odd.limit(0)
     assert jaccard.join(none).count() == repeats.remove_repeats(none).count() == line_dedup.dedup_lines(none).count() == 0
@@ -79,6 +96,6 @@ def test_pipeline_drops_copies_and_packs_the_rest(spark):
     assert len(set(texts)) == len(texts)
 
 
-def test_eleven_queries():
+def test_all_queries():
     names = queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
