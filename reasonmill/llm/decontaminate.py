@@ -9,7 +9,7 @@ The items are a stated query set: they are broadcast in blocks of bounded size,
 larger benchmark takes more passes, not more memory. A scan needs no shuffle.
 
 Defined results: NULL and empty texts and texts of fewer than five words are clean; items of fewer than five words or
-NULL are not looked for; equal items and equal texts are each reported; ties between matches of one length go to the
+NULL are not looked for, one without an id is reported with a NULL id; equal items and equal texts are each reported; ties between matches of one length go to the
 first place in the item, then in the text; an empty benchmark leaves everything clean. Other columns pass unread.
 """
 
@@ -41,7 +41,7 @@ def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
 class Items:
     """Test items of one block: their words, and the places of every seed, sorted by hash."""
 
-    ids: np.ndarray
+    ids: pa.Array  # NULL where an item has no id
     words: np.ndarray
     bounds: np.ndarray
     seeds: np.ndarray
@@ -49,17 +49,17 @@ class Items:
     places: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Items:
+    def of(cls, rows: list[tuple[int | None, str]]) -> Items:
         texts = pa.RecordBatch.from_arrays([pa.array([t or "" for _, t in rows], pa.string())], names=["text"])
         block = next(blocks(iter([texts]), size=1 << 62), None)
         if block is None:
             empty = np.zeros(0, np.int64)
-            return cls(empty, empty.astype(np.uint64), np.zeros(1, np.int64), empty.astype(np.uint64), np.zeros(1, np.int64), empty)
+            return cls(pa.array([], pa.int64()), empty.astype(np.uint64), np.zeros(1, np.int64), empty.astype(np.uint64), np.zeros(1, np.int64), empty)
         words, bounds = _tokens(block)
         seeds, at = _seeds(words, bounds)
         order = np.argsort(seeds, kind="stable")
         distinct, first = np.unique(seeds[order], return_index=True)
-        return cls(np.array([i for i, _ in rows], np.int64), words, bounds, distinct, np.append(first, len(seeds)), at[order])
+        return cls(pa.array([i for i, _ in rows], pa.int64()), words, bounds, distinct, np.append(first, len(seeds)), at[order])
 
 
 def _seeds(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +141,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
     n = -(-int(size) // block_bytes)
     for k in range(n):
         part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else named
-        yield Items.of(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.collect()))
+        yield Items.of(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_column: str = "doc_id",
@@ -158,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                 rows = list(matches(block, shared.value, coverage))
                 ids = block.rows.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(shared.value.ids[[r[1] for r in rows]] if rows else [], pa.int64()),
+                    [ids, shared.value.ids.take(pa.array([r[1] for r in rows], pa.int64())),
                      *(pa.array([r[n] for r in rows], kind) for n, kind in ((2, pa.float64()), (3, pa.int32()), (4, pa.int32())))],
                     names=["doc_id", "item_id", "coverage", "n_tiles", "longest"])
 

@@ -42,7 +42,9 @@ def test_every_operator_takes_odd_rows(spark, odd, labels):
     assert {r.lang_pred for r in langid.identify(odd, model).where("doc_id in (2, 3, 4)").collect()} == {"und"}
     assert packing.pack(odd).groupBy("doc_id").agg(F.max("piece")).count() == 7
     assert lm_score.score(odd, lm_score.fit(odd, labels)).count() == n
-    assert {r.doc_id for r in decontaminate.contamination(odd, bench).collect()} == {1}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(odd, bench).collect()} == {(1, None)}
+    both = spark.createDataFrame([(None, "words of a text that is long"), (-1, "words of a text that is long")], bench.schema)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(odd, both).collect()} == {(1, None), (1, -1)}
     assert decontaminate.clean(odd, bench).columns == odd.columns
     joined = jaccard.join(odd).collect()
     assert len(joined) == n and {r.component_id for r in joined if r.doc_id == 1} == {1}
