@@ -4,11 +4,15 @@
 2. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of either, in any order common to all. The
    order used puts frequent shingles last (by a count sketch of fixed size over the whole corpus, ties by hash), so
    passages that many texts share rarely make texts meet. Shingles of prefixes are counted; those that meet nothing go.
-3. Classes that share a prefix shingle and a size band make a tile. First every class of a tile meets only the
-   smallest one (a star), so a tile of g near copies costs g pairs, not g squared. Pairs are bounded from above by the
-   bit counts of hashed bitmaps, then decided by exact intersection of the sorted arrays. Links merge components.
-4. Then only pairs of classes that share a prefix shingle and are still in different components remain. They are all
-   bounded and decided in the same way, so no link between components is lost.
+3. Classes that share a prefix shingle and a size band make a tile. First every class of a tile meets only one, the one
+   with the fewest rarer shingles before the shared one (a star): a text that was copied with changes has none, its
+   copies have those of their changes, so a tile of g near copies costs g pairs, not g squared, and they meet the
+   original. Pairs are bounded from above by the bit counts of hashed bitmaps, then decided by exact intersection of the
+   sorted arrays. Links merge components.
+4. Then only pairs of classes that share a prefix shingle and are still in different components remain, and of these the
+   ones whose places leave room: at the first shingle that two sets share, at place i of n and j of m in the common
+   order, they share at most min(n - i, m - j). They are bounded and decided in the same way, so no link between
+   components is lost.
 
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased; a text of fewer than five words
 is one shingle; NULL and empty texts have no shingle, link with nothing and are their own component; equal rows link; a
@@ -24,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reasonmill.llm.blocks import blocks, shingles, signed, unsigned
-from reasonmill.llm.tables import components, written
+from reasonmill.llm.blocks import blocks, shingles, signed
+from reasonmill.llm.tables import components, only_near, written
 
 SIMILARITY = 80  # per cent
 SKETCH_BITS = 20
@@ -33,9 +37,9 @@ SLICES = 64  # parts in which the sketches of all tasks are added up
 NARROWEST, WIDEST = 9, 16  # bits of a bitmap: two to the power of
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows with the sorted distinct shingle hashes of each text."""
-    for block in blocks(batches):
+    for block in blocks(batches, column):
         words, bounds = block.word_hashes()
         hashes, runs = shingles(words, bounds)
         yield block.rows, [np.unique(hashes[a:b]) for a, b in zip(runs[:-1], runs[1:], strict=True)]
@@ -86,30 +90,63 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     return levels.ravel()
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], levels: np.ndarray, similarity: int) -> Iterator[pa.RecordBatch]:
+def _summaries(batches: Iterator[pa.RecordBatch], levels: np.ndarray, similarity: int) -> Iterator[pa.RecordBatch]:
+    """Key and size of the set of every row; the prefix and the bitmap of each set once a task at least."""
     seen: set[int] = set()
-    for _, sets in _sets(batches):
-        tokens, keys, sizes = [np.zeros(0, np.uint64)], [], []
+    for rows, sets in _sets(batches):
+        keys, tokens, bitmaps = [], [], []
         for s in sets:
-            if not len(s) or (key := _key(s)) in seen:  # equal sets have equal prefixes: one of a task will do
+            key = _key(s) if len(s) else None
+            keys.append(key)
+            if key is None or key in seen:  # equal sets have equal prefixes: one of a task will do
+                tokens.append(np.zeros(0, np.uint64))
+                bitmaps.append(None)
                 continue
             if len(seen) < 1 << 20:
                 seen.add(key)
             length = len(s) - -(-similarity * len(s) // 100) + 1
             order = np.argsort(levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
             tokens.append(s[order[:length]])
-            keys += [key] * length
-            sizes += [len(s)] * length
+            bitmaps.append(_bitmap(s))
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(np.concatenate(tokens))), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())],
-            names=["token", "key", "size"])
-
-
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, sets in _sets(batches):
+            [rows.column("doc_id"), rows.column("mark"), pa.array(keys, pa.int64()),
+             pa.array([len(s) for s in sets], pa.int64()),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(tokens)))),
+             pa.array(bitmaps, pa.binary())],
+            names=["doc_id", "mark", "key", "size", "tokens", "bitmap"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (token, key): the first of each, where a token has several keys. Tokens at the borders of a
+    partition stay, since their other keys may be in the next one. One row at most is held back."""
+    names = ("token", "key", "pos", "size")
+    held, known = None, True  # the last row so far; whether it is out already or its token is known to be shared
+    for batch in batches:
+        columns = [batch.column(n).to_numpy() for n in names]
+        if held is not None:
+            columns = [np.concatenate(([h], c)).astype(c.dtype) for h, c in zip(held[0], columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        token, key = columns[:2]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+        columns = [c[new] for c in columns]
+        token = columns[0]
+        begins = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        lengths = np.diff(np.concatenate((begins, [len(token)])))
+        several = lengths > 1
+        several[0] |= known
+        keep = np.repeat(several, lengths)
+        known = bool(several[-1])
+        if held is not None and held[1]:
+            keep[0] = False
+        held = ([c[-1] for c in columns], known)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=list(names))
+    if held is not None and not held[1]:
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array([_key(s) if len(s) else None for s in sets], pa.int64()),
-             pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "key", "size"])
+            [pa.array([v], t) for v, t in zip(held[0], (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
+            names=list(names))
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -119,16 +156,6 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, sets in _sets(batches):
-        # Of rows that share an id, only those with the text of this class count.
-        fit = [n for n, key in enumerate(rows.column("key").to_pylist()) if len(sets[n]) and _key(sets[n]) == key]
-        rows, sets = rows.take(pa.array(fit, pa.int64())), [sets[n] for n in fit]
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("key"), rows.column("size"), pa.array([_bitmap(s) for s in sets], pa.binary()),
-             pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "size", "bitmap", "shingles"])
-
-
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     """A wide bitmap as it would be with fewer bits."""
     while len(bits) > size:
@@ -165,63 +192,71 @@ def _bounded(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.
 def _decide(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
     """Pairs that link, by exact intersection."""
     for batch in batches:
-        left, right = batch.column("shingles_a"), batch.column("shingles_b")
-        links = []
-        for n in range(batch.num_rows):
-            a, b = (np.frombuffer(c[n].as_buffer(), np.uint64) for c in (left, right))
-            links.append(_linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), similarity))
-        keep = pa.array(links, pa.bool_())
+        left, right = ([s for _, some in _sets(iter([batch]), c) for s in some] for c in ("text_a", "text_b"))
+        keep = pa.array([
+            _linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), similarity)
+            for a, b in zip(left, right, strict=True)
+        ], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of classes that link: bitmaps first, and the arrays only of pairs that are left."""
-    def side(x: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+def _near(pairs: DataFrame, marks: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of classes whose bitmaps leave room for a link."""
+    def side(x: str) -> DataFrame:
+        return marks.select(F.col("key").alias(x), F.col("bitmap").alias(f"bitmap_{x}"), F.col("size").alias(f"size_{x}"))
 
-    signed_pairs = pairs.join(side("a", "bitmap", "size"), "a").join(side("b", "bitmap", "size"), "b")
-    close = written(signed_pairs.mapInArrow(lambda batches: _bounded(batches, similarity), "a long, b long"), "close")
-    needed = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    few = sets.join(needed, "key", "left_semi").select("key", "shingles")
-    wide = close.join(few.withColumnsRenamed({"key": "a", "shingles": "shingles_a"}), "a").join(
-        few.withColumnsRenamed({"key": "b", "shingles": "shingles_b"}), "b")
-    return wide.mapInArrow(lambda batches: _decide(batches, similarity), "a long, b long")
+    wide = pairs.join(side("a"), "a").join(side("b"), "b")
+    return wide.mapInArrow(lambda batches: _bounded(batches, similarity), "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, size): the class of equal shingle sets of every row; key is NULL for an empty set."""
-    return docs.select("doc_id", "text").mapInArrow(_summaries, "doc_id long, key long, size long")
+def _verified(near: DataFrame, marks: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of classes that link. Only texts of classes in pairs are fetched, by id and hash of a row of the
+    class; the text of b goes with the pair to where that of a is."""
+    place = marks.select("key", "id", "mark")
+    b = near.join(place.withColumnRenamed("key", "b"), "b")
+    a = near.select("a").distinct().join(place.withColumnRenamed("key", "a"), "a")
+    wanted = written(b.select("a", "b", "id", "mark").unionByName(a.withColumn("b", F.lit(None).cast("long"))), "wanted")
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", "text")
+    texts = only_near(rows, wanted, "mark").groupBy("id", "mark").agg(F.any_value("text").alias("text"))
+    found = wanted.join(texts, ["id", "mark"])
+    members = found.where("b is not null").select("a", "b", F.col("text").alias("text_b"))
+    centres = found.where("b is null").select("a", F.col("text").alias("text_a"))
+    return members.join(centres, "a").mapInArrow(lambda batches: _decide(batches, similarity), "a long, b long")
 
 
-def class_links(docs: DataFrame, summaries: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Links (a, b) between classes that connect exactly the classes which links of similar texts connect."""
+def classes(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, mark, key, size, tokens, bitmap): the class of equal shingle sets of every row; key is NULL for an empty
+    set. Prefix tokens and bitmap stand with some row of each class."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))
-    prefixes = docs.select("text").mapInArrow(
-        lambda batches: _prefixes(batches, levels.value, similarity), "token long, key long, size int"
+    return docs.mapInArrow(
+        lambda batches: _summaries(batches, levels.value, similarity),
+        "doc_id long, mark long, key long, size long, tokens array<long>, bitmap binary",
     )
-    shared = prefixes.select("token").groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    meeting = written(prefixes.join(shared, "token").distinct(), "prefixes")
+
+
+def class_links(docs: DataFrame, summaries: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Links (a, b) between classes that connect exactly the classes which links of similar texts connect."""
+    marks = written(
+        summaries.where("bitmap is not null").select("key", "size", "mark", "bitmap", F.coalesce("doc_id", F.lit(0)).alias("id"))
+        .dropDuplicates(["key"]), "marks")
+    prefixes = summaries.select("key", "size", F.posexplode("tokens").alias("pos", "token")).select("token", "key", "pos", "size")
+    # Ranges split a shingle that very many texts have in their prefixes.
+    ordered = prefixes.repartitionByRange("token", "key").sortWithinPartitions("token", "key")
+    meeting = written(ordered.mapInArrow(_shared, "token long, key long, pos int, size long"), "meeting")
     # Bands of sizes: sets of one band may be similar, and only those of the next one besides.
-    band = F.floor(F.log(100 / similarity, F.col("size")))
-    tiles = meeting.withColumn("band", band)
-    centres = tiles.groupBy("token", "band").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    stars = tiles.join(centres.select("token", "band", "centre"), ["token", "band"]).where("key <> centre").select(
-        F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")
-    ).distinct()
-    # A copy often shares many prefix shingles with several centres; one of them is enough to begin with.
-    first = stars.groupBy("b").agg(F.min("a").alias("a"))
-    candidates = meeting.groupBy("token").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y")
-    wanted = meeting.join(candidates.select("token"), "token", "left_semi").select("key").distinct()
-    one_each = summaries.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = one_each.join(wanted, "key", "left_semi").join(rows, F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = written(texts.select("key", "size", "text").mapInArrow(
-        _arrays, "key long, size long, bitmap binary, shingles binary").dropDuplicates(["key"]), "sets")
-    links = written(_verified(first.select("a", "b"), sets, similarity), "links")
+    tiles = meeting.withColumn("band", F.floor(F.log(100 / similarity, F.col("size"))))
+    rank = F.col("pos").cast("long") * F.lit(1 << 32) + F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
+    centres = tiles.groupBy("token", "band").agg(F.min_by("key", rank).alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = tiles.join(centres.drop("n"), ["token", "band"]).where("key <> a").groupBy("a", F.col("key").alias("b")).count()
+    stars = written(stars, "stars")
+    near = written(_near(stars.select("a", "b"), marks, similarity), "near")
+    # A copy often shares many prefix shingles with several centres; the nearest one is enough to begin with.
+    nearest = near.join(stars, ["a", "b"]).groupBy("b").agg(F.max_by("a", "count").alias("a")).select("a", "b")
+    links = written(_verified(nearest, marks, docs, similarity), "links")
     roots = components(links, name="class-components")
-    links = written(links.unionByName(_verified(_between(stars, roots), sets, similarity)), "links")
-    rest = _mixed_pairs(meeting, components(links, name="class-components"), similarity)
-    return links.unionByName(_verified(rest, sets, similarity))
+    links = written(links.unionByName(_verified(_between(near, roots), marks, docs, similarity)), "links")
+    rest = written(_mixed_pairs(meeting, components(links, name="class-components"), similarity), "rest")
+    return links.unionByName(_verified(written(_near(rest, marks, similarity), "near"), marks, docs, similarity))
 
 
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -233,23 +268,30 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _mixed_pairs(meeting: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
-    """Pairs that share a prefix shingle, are in different components and have sizes that allow a link."""
+    """Pairs in different components that share a prefix shingle at places that allow a link."""
     rooted = meeting.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     rest = written(rooted.join(mixed.select("token"), "token", "left_semi"), "mixed")
-    a = rest.select("token", F.col("key").alias("a"), F.col("size").alias("n_a"), F.col("root").alias("r_a"))
-    b = rest.select("token", F.col("key").alias("b"), F.col("size").alias("n_b"), F.col("root").alias("r_b"))
-    sizes = (F.col("n_a") * 100 >= F.col("n_b") * similarity) & (F.col("n_b") * 100 >= F.col("n_a") * similarity)
-    return a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & sizes).select("a", "b").distinct()
+
+    def side(x: str) -> DataFrame:
+        return rest.select(
+            "token", F.col("key").alias(x), F.col("root").alias(f"r_{x}"), F.col("size").alias(f"n_{x}"),
+            (F.col("size") - F.col("pos")).alias(f"left_{x}"))
+
+    least = F.lit(similarity) * (F.col("n_a") + F.col("n_b"))  # 100 + similarity times the intersection of a link
+    room = (F.col("left_a") * (100 + similarity) >= least) & (F.col("left_b") * (100 + similarity) >= least)
+    apart = (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b"))
+    return side("a").join(side("b"), "token").where(apart & room).select("a", "b").distinct()
 
 
 def join(docs: DataFrame, similarity: int = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: its component's smallest doc_id."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    summaries = written(classes(docs), "classes")
+    docs = docs.withColumn("mark", F.xxhash64(F.col("doc_id").isNull(), "text"))  # with the id it stands for the row
+    summaries = written(classes(docs, similarity), "classes")
     roots = components(class_links(docs, summaries, similarity), name="components")
-    rooted = summaries.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "root", F.coalesce("root", "key"))
+    rooted = summaries.select("doc_id", "key", "size").join(
+        roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(smallest, "root", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
