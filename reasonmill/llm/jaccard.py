@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reasonmill.llm.blocks import blocks, shingles, signed
-from reasonmill.llm.tables import components, only_near, written
+from reasonmill.llm.tables import components, only_near, unused, written
 
 SIMILARITY = 80  # per cent
 SKETCH_BITS = 20
@@ -284,15 +284,47 @@ def _mixed_pairs(meeting: DataFrame, roots: DataFrame, similarity: int) -> DataF
     return side("a").join(side("b"), "token").where(apart & room).select("a", "b").distinct()
 
 
+def members(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, mark, size, root) of every row of (doc_id, text): root is that of its component, NULL for an empty set."""
+    rows = docs.withColumn("mark", mark("doc_id", "text"))
+    summaries = written(classes(rows, similarity), "classes")
+    roots = components(class_links(rows, summaries, similarity), name="components")
+    return summaries.select("doc_id", "mark", "key", "size").join(
+        roots.withColumnRenamed("node", "key"), "key", "left"
+    ).select("doc_id", "mark", "size", F.coalesce("root", "key").alias("root"))
+
+
+def mark(id_column: Column | str, text_column: Column | str) -> Column:
+    """A hash that, with the id, stands for a row."""
+    id_column = F.col(id_column) if isinstance(id_column, str) else id_column
+    return F.xxhash64(id_column.isNull(), text_column)
+
+
 def join(docs: DataFrame, similarity: int = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: its component's smallest doc_id."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    docs = docs.withColumn("mark", F.xxhash64(F.col("doc_id").isNull(), "text"))  # with the id it stands for the row
-    summaries = written(classes(docs, similarity), "classes")
-    roots = components(class_links(docs, summaries, similarity), name="components")
-    rooted = summaries.select("doc_id", "key", "size").join(
-        roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = members(docs, similarity)
     smallest = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(smallest, "root", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, similarity: int = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id (NULL last), of these the one with
+    the smallest text hash, and any one of rows that share both. Rows without shingles are no copies and stay."""
+    id_name, mark_name, times = unused(docs, "_id", "_mark", "_times")
+    row_id = F.col(id_column).cast("long")
+    rooted = members(docs.select(row_id.alias("doc_id"), F.col(text_column).alias("text")), similarity)
+    counted = written(rooted.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("times")), "counted")
+    first = counted.where("root is not null").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "times")).alias("first"))
+    empty = counted.where("root is null").select("doc_id", "mark", F.lit(1).cast("long").alias("times"))
+    kept = first.select("first.doc_id", "first.mark", "first.times").unionByName(empty).select(
+        F.coalesce("doc_id", F.lit(0)).alias(id_name), F.col("mark").alias(mark_name), F.col("times").alias(times))
+    kept = written(kept, "kept")
+    keyed = docs.withColumn(id_name, F.coalesce(row_id, F.lit(0))).withColumn(mark_name, mark(row_id, text_column))
+    rows = keyed.join(kept.hint("shuffle_hash"), [id_name, mark_name])
+    # Only rows that share id and text need a choice.
+    repeated = rows.where(F.col(times) > 1).dropDuplicates([id_name, mark_name])
+    return rows.where(F.col(times) == 1).unionByName(repeated).select(docs.columns)
