@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reasonmill.llm import decontaminate, jaccard, line_dedup, packing, quality
 from reasonmill.llm.blocks import bound_batches
-from reasonmill.llm.tables import unused, written
+from reasonmill.llm.tables import written
 from reasonmill.session import ship_package
 from reasonmill.sources.tables import table
 
@@ -37,13 +37,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near copies."""
+    """One row of each group of near copies, the one with the smallest doc_id; rows that repeat an id count as well."""
     _ready(spark)
-    (name,) = unused(docs, "_kept")
-    kept = jaccard.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    # A NULL doc_id has no place in a group and stays.
-    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left")
-    return rows.where(F.col(name).isNotNull() | F.col("doc_id").isNull()).select(docs.columns)
+    return jaccard.keep_one(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
