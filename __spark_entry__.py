@@ -27,7 +27,7 @@ from reasonmill.streaming import ingest
 
 # The subpackage for training data and its pipeline may be left out; nothing else needs them.
 _found = importlib.util.find_spec("reasonmill.llm")
-if _found is not None and _found.origin is not None:
+if _found is not None and _found.origin is not None and importlib.util.find_spec("corpus_pipeline") is not None:
     from reasonmill.llm import queries as llm
 else:
     llm = None
