@@ -1,117 +1,126 @@
-"""Trace text to trace graph, with regular expressions only: no Python leaves the driver here."""
+"""Trace text to trace graph, with regular expressions over Arrow batches.
+
+A graph has tens of short values. Cutting them with column expressions costs several times what it takes to hand the
+text to Python and the graph back, because expressions inside array lambdas are interpreted.
+"""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reasonmill.functions.expr import let
-from reasonmill.functions.text import BLANK, activity_line, drop_thinking, split_items, strip
+from reasonmill.functions.text import BLANKS, drop_thinking
 from reasonmill.schema import as_column
 
-# --- fixed values: shape of the blocks of a trace. The bracket stands before the case flags, so that the search for
-# a block runs over plain characters.
+_B = f"[{re.escape(BLANKS)}]"
+
+# --- fixed values: shape of the blocks of a trace. A dot stops at line feeds only, so greedy values end where lazy ones do.
 OBSERVATION_BLOCK = (
-    rf"\[(?iud)OBSERVATION{BLANK}*\|{BLANK}*id:{BLANK}*(O\p{{Nd}}+)\]{BLANK}*\n"
-    rf"sensor:{BLANK}*(.+?)\ntemporal:{BLANK}*(.+?)\n"
-    rf"pattern:{BLANK}*(.+?)\nconfidence:{BLANK}*(.+?)(?:\n|\z)"
+    rf"\[OBSERVATION{_B}*\|{_B}*id:{_B}*(O\d+)\]{_B}*\n"
+    rf"sensor:{_B}*(.+)\ntemporal:{_B}*(.+)\n"
+    rf"pattern:{_B}*(.+)\nconfidence:{_B}*(.+)(?:\n|\Z)"
 )
 INFERENCE_BLOCK = (
-    rf"\[(?iud)INFERENCE{BLANK}*\|{BLANK}*id:{BLANK}*(I\p{{Nd}}+)\]{BLANK}*\n"
-    rf"based_on:{BLANK}*(.+?)\ninference:{BLANK}*(.+?)\nconfidence:{BLANK}*(.+?)(?:\n|\z)"
-)
-SYNTHESIS_BLOCK = (
-    rf"\[(?iud)SYNTHESIS\]{BLANK}*\nbased_on:{BLANK}*(.+?)\n([\s\S]+?)(?=(?-iu:\[)(?:ACTIVITY\])|\z)"
+    rf"\[INFERENCE{_B}*\|{_B}*id:{_B}*(I\d+)\]{_B}*\n"
+    rf"based_on:{_B}*(.+)\ninference:{_B}*(.+)\nconfidence:{_B}*(.+)(?:\n|\Z)"
 )
+SYNTHESIS_BLOCK = rf"\[SYNTHESIS\]{_B}*\nbased_on:{_B}*(.+)\n([\s\S]+?)(?=\[ACTIVITY\]|\Z)"
+ACTIVITY_LINE = rf"\[ACTIVITY\]{_B}*:{_B}*(.+)$"
 # --- end of fixed values
 
+# schema.GRAPH as types: workers, which have no session to read DDL with, import this module too.
+_STRINGS = T.ArrayType(T.StringType())
 
-def _blocks(text: Column, pattern: str, fields: int, build) -> Column:
-    """One scan of the text for whole blocks; the fields are then cut from each short block.
 
-    A block without line breaks inside its values has exactly one line per field, and each value is what follows
-    the first colon of its line. Only other blocks pay for cutting with the pattern.
-    """
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-    def cut(block: Column) -> Column:
-        return let(
-            F.split(F.rtrim(block, F.lit("\n")), "\n", -1),
-            lambda lines: F.when(
-                F.size(lines) == fields, build(lambda n: _line_value(lines, n))
-            ).otherwise(build(lambda n: strip(F.regexp_extract(block, pattern, n + 1)))),
-        )
 
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
-
-
-def _line_value(lines: Column, n: int) -> Column:
-    line = F.get(lines, F.lit(n))
-    value = strip(F.substr(line, F.instr(line, ":") + 1))
-    return F.rtrim(value, F.lit("]")) if n == 0 else value
-
-
-def observations(text: Column) -> Column:
-    return _blocks(
-        text,
-        OBSERVATION_BLOCK,
-        5,
-        lambda field: F.struct(
-            field(0).alias("id"),
-            F.lower(field(1)).alias("sensor"),
-            F.lower(field(2)).alias("temporal"),
-            field(3).alias("pattern"),
-            F.lower(field(4)).alias("confidence"),
-        ),
-    )
-
-
-def inferences(text: Column) -> Column:
-    return _blocks(
-        text,
-        INFERENCE_BLOCK,
-        4,
-        lambda field: F.struct(
-            field(0).alias("id"),
-            split_items(field(1)).alias("based_on"),
-            field(2).alias("inference"),
-            F.lower(field(3)).alias("confidence"),
-        ),
-    )
-
-
-def synthesis(text: Column) -> Column:
-    def cut(block: Column) -> Column:
-        body = F.regexp_replace(F.regexp_extract(block, SYNTHESIS_BLOCK, 2), rf"\n{BLANK}*\n", "\n")
-        cited = split_items(F.regexp_extract(block, SYNTHESIS_BLOCK, 1))
-        return F.when(
-            block != "", F.struct(cited.alias("based_on"), strip(body).alias("text"))
-        )
+_TEXT = T.StringType()
+GRAPH_TYPE = _struct(
+    observations=T.ArrayType(_struct(id=_TEXT, sensor=_TEXT, temporal=_TEXT, pattern=_TEXT, confidence=_TEXT)),
+    inferences=T.ArrayType(_struct(id=_TEXT, based_on=_STRINGS, inference=_TEXT, confidence=_TEXT)),
+    synthesis=_struct(based_on=_STRINGS, text=_TEXT),
+    activity=_TEXT, n_observations=T.IntegerType(), n_inferences=T.IntegerType(), parse_failed=T.BooleanType(),
+)
 
-    return let(F.regexp_extract(text, SYNTHESIS_BLOCK, 0), cut)
+_OBSERVATION, _INFERENCE, _SYNTHESIS = (
+    re.compile(p, re.IGNORECASE) for p in (OBSERVATION_BLOCK, INFERENCE_BLOCK, SYNTHESIS_BLOCK)
+)
+_ACTIVITY = re.compile(ACTIVITY_LINE, re.IGNORECASE | re.MULTILINE)
+_BLANK_LINE = re.compile(rf"\n{_B}*\n")
+
+
+def _items(text: str) -> list[str]:
+    """Comma-separated items, each stripped; never empty."""
+    return [item.strip(BLANKS) for item in text.strip(BLANKS).split(",")]
+
+
+def _lists(sizes: list[int], fields: dict[str, pa.Array]) -> pa.Array:
+    """One list of structs per text, from the fields of all of them."""
+    ends = [0]
+    for n in sizes:
+        ends.append(ends[-1] + n)
+    nodes = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)
+
+
+def _parse(texts: pa.Array, keep_activity_case: bool) -> pa.Array:
+    """Graphs of a batch, column by column."""
+    observations, inferences, syntheses, activities, n_obs, n_inf = [], [], [], [], [], []
+    for text in texts.to_pylist():
+        text = (text or "").strip(BLANKS)
+        before = len(observations), len(inferences)
+        observations.extend(_OBSERVATION.findall(text))
+        inferences.extend(_INFERENCE.findall(text))
+        n_obs.append(len(observations) - before[0])
+        n_inf.append(len(inferences) - before[1])
+        found = _SYNTHESIS.search(text)
+        syntheses.append(
+            found and {"based_on": _items(found[1]), "text": _BLANK_LINE.sub("\n", found[2]).strip(BLANKS)}
+        )
+        line = _ACTIVITY.search(text)
+        activity = line and line[1].strip(BLANKS)
+        activities.append(activity if keep_activity_case or not activity else activity.lower().replace("_", " "))
+    strings = lambda nodes, n: pa.array([x[n].strip(BLANKS) for x in nodes], pa.string())
+    lower = lambda nodes, n: pa.array([x[n].strip(BLANKS).lower() for x in nodes], pa.string())
+    names = pa.list_(pa.string())
+    fields = {
+        "observations": _lists(n_obs, {
+            "id": strings(observations, 0), "sensor": lower(observations, 1), "temporal": lower(observations, 2),
+            "pattern": strings(observations, 3), "confidence": lower(observations, 4),
+        }),
+        "inferences": _lists(n_inf, {
+            "id": strings(inferences, 0), "based_on": pa.array([_items(x[1]) for x in inferences], names),
+            "inference": strings(inferences, 2), "confidence": lower(inferences, 3),
+        }),
+        "synthesis": pa.array(syntheses, pa.struct([("based_on", names), ("text", pa.string())])),
+        "activity": pa.array(activities, pa.string()),
+        "n_observations": pa.array(n_obs, pa.int32()),
+        "n_inferences": pa.array(n_inf, pa.int32()),
+        "parse_failed": pa.array([n == 0 for n in n_obs], pa.bool_()),
+    }
+    return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+
+
+@F.arrow_udf(GRAPH_TYPE)
+def _graph(texts: pa.Array) -> pa.Array:
+    return _parse(texts, keep_activity_case=False)
+
+
+@F.arrow_udf(GRAPH_TYPE)
+def _graph_with_case(texts: pa.Array) -> pa.Array:
+    return _parse(texts, keep_activity_case=True)
 
 
 def trace_graph(text: Column | str, *, keep_activity_case: bool = False) -> Column:
     """Graph of one trace. NULL and blank text give an empty, failed graph."""
-
-    def build(t: Column) -> Column:
-        activity = activity_line(t)
-        if not keep_activity_case:
-            activity = F.replace(F.lower(activity), F.lit("_"), F.lit(" "))
-        nodes = F.struct(observations(t).alias("o"), inferences(t).alias("i"))
-        return let(
-            nodes,
-            lambda n: F.struct(
-                n["o"].alias("observations"),
-                n["i"].alias("inferences"),
-                synthesis(t).alias("synthesis"),
-                activity.alias("activity"),
-                F.size(n["o"]).alias("n_observations"),
-                F.size(n["i"]).alias("n_inferences"),
-                (F.size(n["o"]) == 0).alias("parse_failed"),
-            ),
-        )
-
-    return let(F.coalesce(strip(text), F.lit("")), build)
+    parse = _graph_with_case if keep_activity_case else _graph
+    return parse(F.make_valid_utf8(as_column(text)))
 
 
 def corpus_graph(answer: Column | str) -> Column:
