@@ -123,6 +123,11 @@ def trace_graph(text: Column | str, *, keep_activity_case: bool = False) -> Colu
     return parse(F.make_valid_utf8(as_column(text)))
 
 
+# The optimizer must not move the parse into later expressions, where it would run again or stand in the arguments of
+# another Arrow function; it keeps what is called nondeterministic in its place.
+_graph, _graph_with_case = _graph.asNondeterministic(), _graph_with_case.asNondeterministic()
+
+
 def corpus_graph(answer: Column | str) -> Column:
     """Graph of a teacher answer: think blocks are dropped first and the activity keeps its case."""
     return trace_graph(drop_thinking(as_column(answer)), keep_activity_case=True)
