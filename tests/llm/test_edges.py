@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,13 @@ def test_pipeline_drops_copies_and_packs_the_rest(spark):
 def test_all_queries():
     names = queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
+
+
+def test_every_rated_document_calibrates_whatever_their_number(monkeypatch):
+    """Up to 4,000 ratings all documents took part in the calibration, beyond that one in five."""
+    judged = []
+    monkeypatch.setattr(quality, "fit_arrays", lambda rows: quality.Model(np.zeros(quality.BUCKETS), np.zeros(quality.DENSE), np.array([-4.0, -2.0])))
+    monkeypatch.setattr(quality, "threshold", lambda p, grade: judged.append((len(p), len(grade))) or 0.5)
+    for n in (3, 3_999, 4_001, 12_000):
+        quality.fit_and_calibrate([(np.array([i % 7]), np.zeros(quality.DENSE), i % 3) for i in range(n)])
+        assert judged.pop() == (n, n)
