@@ -1,6 +1,6 @@
 """Trace text to trace graph, with regular expressions over Arrow batches.
 
-A graph has tens of short values. Cutting them with column expressions costs several times what it takes to hand the
+A graph has tens of short values. Cutting them with column expressions took twice what it takes to hand the
 text to Python and the graph back, because expressions inside array lambdas are interpreted.
 """
 

@@ -161,7 +161,7 @@ def test_graphs_of_odd_texts_and_invalid_bytes(spark):
 
 
 def test_graph_type_is_the_schema(spark):
-    """The parser is one Arrow function: no interpreted expressions in the plan, which took two to three times as long."""
+    """The parser is one Arrow function: no interpreted expressions in the plan, which took twice as long."""
     df = spark.createDataFrame([("x",)], "t string").select(trace_graph("t").alias("g"))
     assert df.schema["g"].dataType.simpleString() == spark.createDataFrame([], f"g {GRAPH}").schema["g"].dataType.simpleString()
     plan = df._jdf.queryExecution().executedPlan().toString()
