@@ -59,6 +59,15 @@ def window_distance(a: Column | str, b: Column | str) -> Column:
     )
 
 
+def window_steps(a: str, b: str) -> int:
+    """``window_distance`` of two labels in Python."""
+    if a == b or ANY_WINDOW in (a, b):
+        return 0
+    if a in WINDOW_SCALE and b in WINDOW_SCALE:
+        return abs(WINDOW_SCALE.index(a) - WINDOW_SCALE.index(b))
+    return FAR_APART
+
+
 def vocabulary_sensor(raw: Column | str, aliases: Mapping[str, str]) -> Column:
     """Vocabulary name of a raw sensor: its alias, else the lower-cased name."""
     raw = as_column(raw)
