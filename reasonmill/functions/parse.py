@@ -7,6 +7,7 @@ text to Python and the graph back, because expressions inside array lambdas are
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -52,6 +53,7 @@ _OBSERVATION, _INFERENCE, _SYNTHESIS = (
     re.compile(p, re.IGNORECASE) for p in (OBSERVATION_BLOCK, INFERENCE_BLOCK, SYNTHESIS_BLOCK)
 )
 _ACTIVITY = re.compile(ACTIVITY_LINE, re.IGNORECASE | re.MULTILINE)
+_STRING = pa.string()
 _BLANK_LINE = re.compile(rf"\n{_B}*\n")
 
 
@@ -60,6 +62,20 @@ def _items(text: str) -> list[str]:
     return [item.strip(BLANKS) for item in text.strip(BLANKS).split(",")]
 
 
+def _stripped(text: str) -> str:
+    return text.strip(BLANKS)
+
+
+def _lowered(text: str) -> str:
+    return text.strip(BLANKS).lower()
+
+
+def _each(texts: Sequence[str], form: Callable, kind: pa.DataType = _STRING) -> pa.Array:
+    """``form`` of every text, worked out once for each different one: sensors, windows and ids repeat in a batch."""
+    coded = pa.array(texts, _STRING).dictionary_encode()
+    return pa.array([form(x) for x in coded.dictionary.to_pylist()], kind).take(coded.indices)
+
+
 def _lists(sizes: list[int], fields: dict[str, pa.Array]) -> pa.Array:
     """One list of structs per text, from the fields of all of them."""
     ends = [0]
@@ -81,24 +97,27 @@ def _parse(texts: pa.Array, keep_activity_case: bool) -> pa.Array:
         n_inf.append(len(inferences) - before[1])
         found = _SYNTHESIS.search(text)
         syntheses.append(
-            found and {"based_on": _items(found[1]), "text": _BLANK_LINE.sub("\n", found[2]).strip(BLANKS)}
+            found and (_items(found[1]), _BLANK_LINE.sub("\n", found[2]).strip(BLANKS))
         )
         line = _ACTIVITY.search(text)
         activity = line and line[1].strip(BLANKS)
         activities.append(activity if keep_activity_case or not activity else activity.lower().replace("_", " "))
-    strings = lambda nodes, n: pa.array([x[n].strip(BLANKS) for x in nodes], pa.string())
-    lower = lambda nodes, n: pa.array([x[n].strip(BLANKS).lower() for x in nodes], pa.string())
+    obs, inf = (list(zip(*nodes, strict=True)) or [()] * n for nodes, n in ((observations, 5), (inferences, 4)))
     names = pa.list_(pa.string())
+    missing = pa.array([x is None for x in syntheses], pa.bool_())
+    synthesis = pa.StructArray.from_arrays(
+        [pa.array([x and x[n] for x in syntheses], t) for n, t in ((0, names), (1, pa.string()))], names=["based_on", "text"], mask=missing
+    )
     fields = {
         "observations": _lists(n_obs, {
-            "id": strings(observations, 0), "sensor": lower(observations, 1), "temporal": lower(observations, 2),
-            "pattern": strings(observations, 3), "confidence": lower(observations, 4),
+            "id": _each(obs[0], _stripped), "sensor": _each(obs[1], _lowered), "temporal": _each(obs[2], _lowered),
+            "pattern": _each(obs[3], _stripped), "confidence": _each(obs[4], _lowered),
         }),
         "inferences": _lists(n_inf, {
-            "id": strings(inferences, 0), "based_on": pa.array([_items(x[1]) for x in inferences], names),
-            "inference": strings(inferences, 2), "confidence": lower(inferences, 3),
+            "id": _each(inf[0], _stripped), "based_on": _each(inf[1], _items, names),
+            "inference": _each(inf[2], _stripped), "confidence": _each(inf[3], _lowered),
         }),
-        "synthesis": pa.array(syntheses, pa.struct([("based_on", names), ("text", pa.string())])),
+        "synthesis": synthesis,
         "activity": pa.array(activities, pa.string()),
         "n_observations": pa.array(n_obs, pa.int32()),
         "n_inferences": pa.array(n_inf, pa.int32()),
