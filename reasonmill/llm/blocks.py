@@ -57,7 +57,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i < n."""
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        size = max(n, BLOCK * 2)
+        size = max(n, BLOCK // 4, 0 if have is None else 2 * len(have))
         for name, base in (("up", int(BASE)), ("down", _inverse(int(BASE)))):
             table = np.full(size, np.uint64(base))
             table[0] = 1

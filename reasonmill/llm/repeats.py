@@ -37,6 +37,7 @@ from reasonmill.llm.tables import only_near, written
 LENGTH = 200
 TRIGGER = 12
 RIGHT = 24
+PIECE = 1 << 19  # a block has some twenty numbers a byte beside it
 _RARE, _OFTEN = np.uint64(58), np.uint64(59)  # a trigger is where the six, or five, upper bits of the hash are zero
 _REACH = LENGTH - RIGHT  # a trigger has windows that begin at most this far before it
 _NEAR = _REACH // 2  # and those that begin nearer than this are a band of their own
@@ -106,7 +107,7 @@ class Parse:
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for every distinct entry of each text; texts that this task has had are left out."""
     seen: set[int] = set()
-    for block in blocks(batches):
+    for block in blocks(batches, size=PIECE):
         keys = block.rows.column("k").to_numpy()
         fresh = np.zeros(len(block), bool)
         for n, key in enumerate(keys.tolist()):
@@ -125,7 +126,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The single windows of the wanted occurrences."""
-    for block in blocks(batches):
+    for block in blocks(batches, size=PIECE):
         prefix = rolling(block.data)
         wanted = block.rows.column("wanted")
         at = wanted.values.to_numpy()[wanted.offsets[0].as_py():wanted.offsets[-1].as_py()]
@@ -155,7 +156,7 @@ def removed(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text without its repeated bytes; what repeats within the text is found here again."""
-    for block in blocks(batches):
+    for block in blocks(batches, size=PIECE):
         p = Parse(block)
         within = np.flatnonzero(p.counts[p.entry] > 1) if len(p.first) else np.zeros(0, int)
         ranges: list[list[tuple[int, int]]] = [
