@@ -267,7 +267,7 @@ def parsed_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unresolved_sensors(spark: SparkSession, d: str) -> DataFrame:
-    return matching.unresolved_sensors(matching.prepare(_rows(spark, d), SET.sensors, KEY))
+    return matching.unresolved_sensors_of(_eval_rows(spark, d), SET.sensors)
 
 
 def observation_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -375,7 +375,7 @@ def merged_shards(spark: SparkSession, d: str) -> DataFrame:
 def frequent_unresolved_sensors(spark: SparkSession, d: str) -> DataFrame:
     """With the sensors of another dataset, so that more names stay unresolved."""
     sensors = registry.lookup("pamap2").sensors
-    return matching.unresolved_sensors(matching.prepare(_rows(spark, d), sensors, KEY), top=3)
+    return matching.unresolved_sensors_of(_eval_rows(spark, d), sensors, top=3)
 
 
 def remaining_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -545,8 +545,8 @@ def shard_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 def match_document(spark: SparkSession, d: str) -> DataFrame:
     """The result document of the matching, written as text and parsed back."""
-    prepared = matching.prepare(_rows(spark, d), registry.lookup("pamap2").sensors, KEY)
-    strata, unresolved = matching.summary(_scored(spark, d)), matching.unresolved_sensors(prepared)
+    unresolved = matching.unresolved_sensors_of(_eval_rows(spark, d), registry.lookup("pamap2").sensors)
+    strata = matching.summary(_scored(spark, d))
     calls = match.requests(_rows(spark, d), SET, relaxed=True).where("request is not null")
     path = stage_folder(spark, "document")
     matching.result_document(strata, unresolved, calls, {"dataset": "ucihar", "mode": "relaxed"}).write.text(path)

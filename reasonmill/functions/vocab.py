@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+import unicodedata
+from collections.abc import Callable, Mapping, Sequence
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reasonmill.functions.expr import let
-from reasonmill.functions.text import strip
+from reasonmill.functions.text import BLANKS, strip
 from reasonmill.schema import as_column
 
 # --- fixed values: window length, limits of the window labels, rank limits of the tiers, label scale
@@ -85,6 +87,9 @@ JOINED_WORDS = (
     ("right_pocket", "rightpocket"), ("upper_arm", "upperarm"), ("linear_acc", "linacc"),
 )
 
+_WORD_CATEGORIES = frozenset(("Lu", "Ll", "Lt", "Lm", "Lo", "Nl", "Nd", "Mn", "Me", "Mc", "Pc"))
+_CIRCLED_LETTERS = ((0x24B6, 0x24E9), (0x1F130, 0x1F149), (0x1F150, 0x1F169), (0x1F170, 0x1F189))
+
 
 def sensor_key(raw: Column | str) -> Column:
     """Spelling-free form of a sensor name: case, separators and synonyms collapse, axis and modality do not."""
@@ -132,6 +137,32 @@ def canonical_sensor(raw: Column | str, sensors: Sequence[str] | Column) -> Colu
     )
 
 
+def _is_word(char: str) -> bool:
+    """Letters, marks, digits, connectors and joiners, as ``(?U)\\w`` has them."""
+    code = ord(char)
+    return (
+        unicodedata.category(char) in _WORD_CATEGORIES or code in (0x200C, 0x200D)
+        or any(first <= code <= last for first, last in _CIRCLED_LETTERS)
+    )
+
+
+def sensor_names(sensors: Sequence[str]) -> Callable[[str], tuple[str, bool]]:
+    """``canonical_sensor`` of one name in Python: its name, and whether it is resolved."""
+    exact, known = sensor_maps(sensors)
+
+    def of(raw: str) -> tuple[str, bool]:
+        if raw.lower() in exact:
+            return exact[raw.lower()], True
+        lower = raw.strip(BLANKS).lower()
+        words = "".join(c if c == "^" or (c != "_" and _is_word(c)) else "_" for c in lower)
+        key = "_".join(TOKEN_SYNONYMS.get(t, t) for t in words.split("_") if t)
+        for two, joined in JOINED_WORDS:
+            key = re.sub(rf"(?<![^_]){two}(?![^_])", joined, key)
+        return known.get(key, key), key in known
+
+    return of
+
+
 def _plain_key(name: str) -> str:
     """The key of a registry name, which is already split by underscores."""
     tokens = [t for t in name.lower().split("_") if t]

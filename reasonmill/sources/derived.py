@@ -7,14 +7,16 @@ rendered to trace text, and the operators only ever see that text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonmill.functions.expr import strings
 from reasonmill.operators.ordering import with_group_position
 from reasonmill.registry import UCIHAR_CLASSES
+from reasonmill.sources import rendered
 from reasonmill.sources.tables import table
 
 RAW_SENSORS = ("body_acc_x", "gyro_z", "total_acc_y", "Body Acceleration X", "heart_rate", "GYRO-Z")
@@ -42,16 +44,26 @@ _INFERENCE = """named_struct(
     'lost', (k + {j}) % 10 = 0, 't', cast((k + c + {j}) % 4 as int))"""
 
 
-def orders_relation(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order with the nodes of its reference and of its generated trace as arrays of integers."""
-    base = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("k"),
-        F.col("o_custkey").alias("c"),
+def _orders(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("bigint").alias("k"),
+        F.col("o_custkey").cast("bigint").alias("c"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("p"),
     )
-    # A small file is one partition, and adaptive execution would keep three numbers a row together: deal them out by
-    # number before they become texts.
-    base = base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+
+
+def _dealt(base: DataFrame) -> DataFrame:
+    """A small file is one partition, and adaptive execution would keep three numbers a row together: deal them out by
+    number before they become texts."""
+    return base.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
+
+
+def orders_relation(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order with the nodes of its reference and of its generated trace as arrays of integers."""
+    return _relation(_dealt(_orders(spark, folder)))
+
+
+def _relation(base: DataFrame) -> DataFrame:
     counted = base.selectExpr(
         "*",
         "cast((p + k) % 9 as int) as n_gt",
@@ -139,7 +151,18 @@ def _render(obs: str, inf: str, syn: str, syn_text: str, activity: Column) -> Co
 
 def eval_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Hub table of the evaluation: reference text, generated text and true class of every order."""
-    rel = orders_relation(spark, folder)
+    base = _orders(spark, folder)
+    usual = F.coalesce((F.col("k") >= 0) & (F.col("c") >= 0) & (F.col("p") >= 0), F.lit(False))
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return rendered.batches(batches, RAW_SENSORS, WINDOWS, PATTERNS, SYNTHESES, CLASSES)
+
+    odd = _eval_rows(_relation(_dealt(base.where(~usual))))
+    return _dealt(base.where(usual)).mapInArrow(render, odd.schema).unionAll(odd)
+
+
+def _eval_rows(rel: DataFrame) -> DataFrame:
+    """The same as expressions, for orders with missing or negative numbers too."""
     cls = F.initcap(_pick(CLASSES, F.col("cls")))
     guess = F.replace(F.initcap(_pick(CLASSES, F.col("pred_cls"))), F.lit(" "), F.lit("_"))
     gt_line = F.concat(F.lit("[ACTIVITY]: "), cls)
