@@ -23,6 +23,17 @@ def parsed_rows(rows: DataFrame, dataset: Dataset) -> DataFrame:
     return graph.parse_eval_rows(labelled)
 
 
+def scored_rows(
+    rows: DataFrame, dataset: Dataset, keys: Sequence[str], scores: Sequence[str] = textquality.SCORES
+) -> DataFrame:
+    """What the metrics read of a row: classes, the generated graph, two facts of the reference, and text scores (of rows
+    without a reference they mean nothing). Texts and reference graphs are used in this pass and not written."""
+    parsed = parsed_rows(rows, dataset).withColumn("ref", F.struct("ref.n_observations", "ref.parse_failed"))
+    kept = [c for c in dict.fromkeys((*keys, "sample_id")) if c in rows.columns]
+    return textquality.text_scores(
+        parsed, [*kept, "gt_activity", "predicted_activity", "has_reference", "gen", "ref"], dataset.terms, columns=scores)
+
+
 def evaluate(
     rows: DataFrame,
     dataset: Dataset,
@@ -36,15 +47,12 @@ def evaluate(
     Classification uses every row; text and graph metrics use the rows with a reference text. ``by`` splits all of
     it, for example by run, in the same passes.
     """
-    parsed = staged(parsed_rows(rows, dataset), "parsed")
+    parsed = staged(scored_rows(rows, dataset, [*keys, *by]), "parsed")
     labels = classification.with_unknown(dataset.classes)
     referenced = graph.with_reference(parsed)
-    scores = textquality.text_scores(
-        referenced, [*keys, *by, "gt_activity", "predicted_activity"], dataset.terms
-    )
     parts = [
         reports.long_metrics(classification.summary(parsed, labels, by=by), "classification", by),
-        reports.long_metrics(textquality.means(scores, by=by), "text", by),
+        reports.long_metrics(textquality.means(referenced, by=by), "text", by),
         reports.long_metrics(graph.chain_validity(referenced, keys, by), "chain", by),
         reports.long_metrics(graph.coverage(referenced, by=by), "coverage", by),
         reports.long_metrics(graph.parse_success(referenced, by), "parse", by),
@@ -76,16 +84,13 @@ def report(
     ``cells`` are texts with four decimals, N/A for what is undefined. Text scores of all, of correct and of incorrect
     samples come from one pass; ``scores`` may leave out the costly ones.
     """
-    parsed = staged(parsed_rows(rows, dataset), "parsed")
+    parsed = staged(scored_rows(rows, dataset, keys, scores), "parsed")
     referenced = graph.with_reference(parsed)
     labels = classification.with_unknown(dataset.classes)
     sizes = textquality.condition_counts(parsed).select(
         F.col("n_total_cls").alias("n_cls_samples"), F.col("n_total_text_gt").alias("n_text_samples")
     )
-    scored = textquality.text_scores(
-        referenced, [*keys, "gt_activity", "predicted_activity"], dataset.terms, columns=scores
-    )
-    scoped = staged(textquality.scoped_means(scored, scores, classes=False), "scoped")
+    scoped = staged(textquality.scoped_means(referenced, scores, classes=False), "scoped")
     graphs = [
         graph.parse_success(referenced).select("ref_psr"), graph.chain_validity(referenced, keys), graph.coverage(referenced),
     ]
