@@ -6,8 +6,8 @@ toxic 0). The models are matched: same order, same bigrams, same smoothing, and
 number of tokens. p(w | h) = (c(h, w) + m p(w)) / (c(h) + m), with add-one unigrams below.
 
 Counts cover every text, and all words and bigrams stay in the model, so it grows with the corpus. Only its head is
-broadcast: the ``size`` most frequent words, and the bigrams of the very most frequent ones, at most ``2^head_bits``. Every
-other token goes to a bucket, where those of one bigram meet, as do all bigrams that end with one word outside the head: a
+broadcast: the ``size`` most frequent words, and the bigrams of those that rank high, at most ``2^head_bits``. Every other
+token goes to a bucket, where those of one bigram meet, as do all bigrams that end with one word outside the head: a
 bucket counts them and sends back what they add to each text. So tokens are dealt once and sums of texts once; no table of
 bigrams is written or joined. A bigram or word that is not in the head is a small share of all tokens, so no key is hot. The
 sizes of the head change no result.
@@ -124,17 +124,52 @@ def bigrams(block: Block, words: np.ndarray) -> Bigrams:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers as their low bytes, then the next ones, as far as any has some."""
-    width = (int(values.max(initial=0)).bit_length() + 7) // 8
-    return np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    """Whole numbers: a bit each for those above 0, then the low bytes of these, then the next ones, as far as any has some."""
+    some = np.ascontiguousarray(values, np.uint64)
+    above = some > 0
+    some = some[above]
+    width = (int(some.max(initial=0)).bit_length() + 7) // 8
+    return np.packbits(above).tobytes() + some.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _from_planes(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    if data:
-        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
-        out[:, :len(planes)] = planes.T
-    return out.view(np.int64)[:, 0]
+    out = np.zeros(n, np.int64)
+    bits = (n + 7) // 8
+    above = np.unpackbits(np.frombuffer(data, np.uint8, bits), count=n).astype(bool)
+    if len(data) > bits:
+        planes = np.frombuffer(data, np.uint8, offset=bits).reshape(-1, int(above.sum()))
+        some = np.zeros((planes.shape[1], 8), np.uint8)
+        some[:, :len(planes)] = planes.T
+        out[above] = some.view(np.int64)[:, 0]
+    return out
+
+
+def _steps_up(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2^21 that don't fall between two bounds: their increases, in bytes of 7 bits, and the bounds of these."""
+    up = np.diff(values.astype(np.int64), prepend=0)
+    starts = bounds[:-1][np.diff(bounds) > 0]
+    up[starts] = values[starts]
+    width = 1 + (up >= 1 << 7) + (up >= 1 << 14)
+    ends = np.concatenate(([0], np.cumsum(width)))
+    out = np.empty(ends[-1], np.uint8)
+    for k in range(3):
+        some = width > k
+        out[ends[:-1][some] + k] = up[some] >> 7 * k & 127 | (width[some] > k + 1) << 7
+    return out, ends[bounds]
+
+
+def _from_steps_up(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``bounds`` are those of the numbers."""
+    ends = np.flatnonzero(data < 128)
+    width = np.diff(ends, prepend=-1)
+    up = np.zeros(len(ends), np.int64)
+    for k in range(3):
+        some = width > k
+        up[some] |= (data[ends[some] - width[some] + 1 + k].astype(np.int64) & 127) << 7 * k
+    total = np.cumsum(up)
+    n = np.diff(bounds)
+    starts = bounds[:-1][n > 0]
+    return total - np.repeat(total[starts] - up[starts], n[n > 0])
 
 
 def _low_bytes(values: np.ndarray, width: int) -> np.ndarray:
@@ -147,23 +182,41 @@ def _from_bytes(data: np.ndarray, width: int) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def _cells(docs: DataFrame, words: np.ndarray, number: np.ndarray, side: int) -> np.ndarray:
-    """Counts in rated and in all texts: bigrams of numbered words (a square), words of the head by place, ends of texts by
-    the place of their last word. Place 0 is any other word."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, number))
-    places = len(words) + 2
-    size = side * side + 2 * places
+def _widths(n: int, most: int) -> np.ndarray:
+    """How many second words, the most frequent first, make a bigram of the head with the start of a text, with each of
+    ``n`` words, the most frequent first, and with any other word (0). Half of ``most`` is a square, so that no bigram of
+    frequent words is left to one bucket; as the product of two ranks bounds how frequent a pair is, the rest is even in that."""
+    rank = np.arange(1, n + 2)
+    side = int((most // 2) ** 0.5)
+    low, high = 0, most + 1  # of the products
+
+    def widths(product: int) -> np.ndarray:
+        return np.minimum(np.maximum(product // rank, np.where(rank <= side, side, 0)), n)
+
+    while high - low > 1:
+        product = (low + high) // 2
+        low, high = (product, high) if widths(product).sum() <= most else (low, product)
+    return np.append(widths(low), 0)
+
+
+def _cells(docs: DataFrame, words: np.ndarray, rank: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Counts in rated and in all texts: bigrams of the head, a row a first word; words of the head by place; ends of texts
+    by the place of their last word. Place 0 is any other word. ``rank`` is that of the word at a place, from 1."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, rank, widths))
+    places, pairs = len(words) + 2, int(widths.sum())
+    size = pairs + 2 * places
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, number = shared.value
+        words, rank, widths = shared.value
+        starts_of_rows = np.cumsum(widths) - widths
         total = np.zeros((2, size), np.int64)
         for block in blocks(batches):
             b = bigrams(block, words)
             good = block.rows.column("good").to_numpy(zero_copy_only=False).astype(bool)[b.texts]
-            first, second = number[b.before], np.where(b.now > 0, number[b.now], -1)
-            pair = (first >= 0) & (second >= 0)
-            for cell, rated in (((first * side + second)[pair], good[pair]), (side * side + b.now, good),
-                                ((side * side + places + b.now)[b.last], good[b.last])):
+            first, second = rank[b.before], rank[b.now] - 1
+            pair = (b.now > 0) & (second < widths[first])
+            for cell, rated in (((starts_of_rows[first] + second)[pair], good[pair]), (pairs + b.now, good),
+                                ((pairs + places + b.now)[b.last], good[b.last])):
                 total[0] += np.bincount(cell[rated], minlength=size)
                 total[1] += np.bincount(cell, minlength=size)
         starts = range(0, size, _CELLS)
@@ -253,7 +306,7 @@ class Model:
         good = np.zeros(len(block), bool)
         if counted:
             good = block.rows.column("good").to_numpy(zero_copy_only=False).astype(bool)
-        texts = (b.texts << 1 | good[b.texts]).astype(np.uint16)
+        texts = b.texts << 1 | good[b.texts]
         pair = mix(b.previous * WORD_BASE + b.ids)
         columns, rows = [], np.zeros(self.buckets, np.int64)
         for some, spread, low in (
@@ -269,7 +322,7 @@ class Model:
                 data = _low_bytes(pair[order] & np.uint64((1 << 8 * _PREVIOUS) - 1) | place, self.width)
             else:
                 data = np.hstack([_low_bytes(b.ids[order] | low[order], _OUTSIDE), _low_bytes(b.previous[order], _OUTSIDE)])
-            columns += [_cut(data, bounds), _cut(texts[order], bounds)]
+            columns += [_cut(data, bounds), _cut(*_steps_up(texts[order], bounds))]
             rows += np.diff(bounds)
         name, base = 0, [pa.nulls(self.buckets, t) for t in (pa.int32(), *[pa.list_(t) for t in (pa.int64(),) * 2 + (pa.float64(),) * 2])]
         if scored:
@@ -300,7 +353,7 @@ class Model:
         def tokens(name: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             data, bounds = column(name)
             row = np.repeat(np.arange(table.num_rows), np.diff(bounds) // width)
-            text = column(f"{name.removesuffix('s')}_texts")[0].view(np.uint16)
+            text = _from_steps_up(column(f"{name.removesuffix('s')}_texts")[0], bounds // width)
             return data, row, text >> 1, np.stack([counted[row] & (text & 1 > 0), counted[row]], axis=1)
 
         def counts(at: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
@@ -334,18 +387,19 @@ class Model:
     def answer(self, table: pa.Table) -> pa.Table:
         """What one bucket adds to the losses of each text, a row a block."""
         parts = self.read(table)
-        at = np.concatenate([row * _ROWS + text for row, text, *_ in parts])
+        named = table.column("block").to_numpy() != 0
+        scored = np.flatnonzero(named)
+        at = np.concatenate([(row * _ROWS + text)[named[row]] for row, text, *_ in parts])
         some, back = np.unique(at, return_inverse=True)
-        sums = np.stack([np.bincount(back, np.concatenate([p[2][:, k] for p in parts]), len(some)).astype(np.int64) for k in (0, 1)])
+        sums = np.stack([
+            np.bincount(back, np.concatenate([add[named[row], k] for row, _, add, *_ in parts]), len(some)).astype(np.int64)
+            for k in (0, 1)])
         folded = ((sums << 1) ^ (sums >> 63)).view(np.uint64)
-        scored = np.flatnonzero(table.column("block").to_numpy() != 0)
-        starts, ends = (np.searchsorted(some, (scored + k) * _ROWS) for k in (0, 1))
-        texts = (some % _ROWS).astype(np.uint16)
-        spans = list(zip(starts, ends, strict=True))
+        bounds = np.searchsorted(some, np.append(scored, table.num_rows) * _ROWS)
         out = table.take(pa.array(scored))
         return pa.table([
-            out.column("block"), pa.array((ends - starts).astype(np.int32)), pa.array([texts[s:e].tobytes() for s, e in spans], pa.binary()),
-            *[pa.array([_planes(folded[k, s:e]) for s, e in spans], pa.binary()) for k in (0, 1)], *[out.column(c) for c in _BASE],
+            out.column("block"), pa.array(np.diff(bounds).astype(np.int32)), _cut(*_steps_up(some % _ROWS, bounds)),
+            *[pa.array([_planes(folded[k, s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for k in (0, 1)], *[out.column(c) for c in _BASE],
         ], names=["block", "n", "texts", "target_steps", "background_steps", *_BASE])
 
     def parts(self, docs: DataFrame, counted: bool, scored: bool) -> DataFrame:
@@ -402,12 +456,13 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, head_bits: i
     words = np.sort(order)
     rated = _rated(docs, labels)
     places, end = len(words) + 2, len(words) + 1
-    side = min(1 << (head_bits // 2), places - 1)
-    number = np.full(places, -1)  # of the words whose bigrams are of the head
-    number[np.searchsorted(words, order[:side - 1]) + 1] = np.arange(1, side)
-    number[end] = 0  # before the first word
-    cells = _cells(rated, words, number, side)
-    singles, ends = cells[side * side:].reshape(2, places, 2)
+    place = np.append(end, np.searchsorted(words, order) + 1)  # by rank; 0 is before the first word
+    rank = np.full(places, len(words) + 1)
+    rank[place] = np.arange(len(place))
+    widths = _widths(len(words), 1 << head_bits)
+    cells = _cells(rated, words, rank, widths)
+    n_pairs = int(widths.sum())
+    singles, ends = cells[n_pairs:].reshape(2, places, 2)
     totals = singles.sum(axis=0)
     scale = np.array([1.0, totals[0] / totals[1] if totals[0] and totals[1] else 1.0])
     after = singles - ends
@@ -418,10 +473,10 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, head_bits: i
     none = np.zeros(0, np.uint64)
     model = Model(words, none, np.zeros((0, 2)), singles, after, totals, scale, n_words, smoothing, buckets, docs, rated)
     model = replace(model, singles=model.single(singles), rest=model.after(after))
-    place = np.zeros(side, np.int64)
-    place[number[number >= 0]] = np.flatnonzero(number >= 0)
-    some = np.flatnonzero(cells[:side * side, 1])
-    before, now = place[some // side], place[some % side]
+    some = np.flatnonzero(cells[:n_pairs, 1])
+    starts = np.cumsum(widths) - widths
+    first = np.searchsorted(starts, some, side="right") - 1
+    before, now = place[first], place[some - starts[first] + 1]
     low = model.singles[now]
     pairs = model.above(cells[some], low) + low + model.rest[before]
     keys = (before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)
@@ -453,12 +508,14 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         ids, tokens, *losses = (pc.list_flatten(base.column(c)).combine_chunks() for c in _BASE[1:])
         n = len(ids) // copies
         sums = np.zeros((2, n), np.int64)
-        texts, counts = table.column("texts"), table.column("n").to_numpy()
+        counts = table.column("n").to_numpy()
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        at = _from_steps_up(utf8(table.column("texts").combine_chunks())[0], ends)
         for k, name in enumerate(("target_steps", "background_steps")):
             steps = table.column(name)
             for r, count in enumerate(counts):
                 x = _from_planes(steps[r].as_py(), int(count))
-                sums[k, np.frombuffer(texts[r].as_py(), np.uint16)] += (x >> 1) ^ -(x & 1)
+                sums[k, at[ends[r]:ends[r + 1]]] += (x >> 1) ^ -(x & 1)
         tokens = tokens.to_numpy()
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = [(x.to_numpy() - np.tile(sums[k] // copies, copies) * STEP) / tokens for k, x in enumerate(losses)]

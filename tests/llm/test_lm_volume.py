@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,25 @@ def test_equal_blocks_get_equal_sums(spark):
         assert len(same) == 1
         got.append(same)
     assert got[0] == got[1] == got[2]
+
+
+def test_numbers_come_back_from_their_packed_forms():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 9, 5000):
+        bounds = np.concatenate(([0], np.sort(rng.integers(0, n + 1, 7)), [n]))
+        values = np.concatenate([np.sort(rng.integers(0, 1 << 16, b - a)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        data, ends = lm_score._steps_up(values, bounds)
+        assert ends[-1] == len(data) and (lm_score._from_steps_up(data, bounds) == values).all()
+        for high in (1, 2, 1 << 33):
+            values = rng.integers(0, high, n) * rng.integers(0, 2, n)
+            assert (lm_score._from_planes(lm_score._planes(values), n) == values).all()
+
+
+def test_the_head_is_bounded_and_has_all_pairs_of_the_most_frequent_words():
+    for n in (0, 1, 8, 1000, 1 << 15):
+        for bits in (0, 1, 10, 20):
+            widths = lm_score._widths(n, 1 << bits)
+            assert len(widths) == n + 2 and widths.sum() <= 1 << bits and widths.max() <= n and widths[-1] == 0
+            side = min(int((1 << bits >> 1) ** 0.5), n)
+            assert (widths[:side] >= side).all() and (np.diff(widths) <= 0).all()
+    assert (lm_score._widths(8, 1 << 20)[:9] == 8).all()
