@@ -545,11 +545,12 @@ def shard_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 def match_document(spark: SparkSession, d: str) -> DataFrame:
     """The result document of the matching, written as text and parsed back."""
-    unresolved = matching.unresolved_sensors_of(_eval_rows(spark, d), registry.lookup("pamap2").sensors)
-    strata = matching.summary(_scored(spark, d))
-    calls = match.requests(_rows(spark, d), SET, relaxed=True).where("request is not null")
+    samples = staged(match.coded_samples(_eval_rows(spark, d), SET, open_sensors=registry.lookup("pamap2").sensors), "samples")
+    calls = "n_relaxed_requests"
+    strata = matching.summary(match.sample_scores(samples, _verdicts(spark, d)), sums=[calls])
     path = stage_folder(spark, "document")
-    matching.result_document(strata, unresolved, calls, {"dataset": "ucihar", "mode": "relaxed"}).write.text(path)
+    config = {"dataset": "ucihar", "mode": "relaxed"}
+    matching.result_document(strata, matching.open_counts(samples), calls, config).write.text(path)
     scores = ", ".join(f"{c}: double" for c in matching.SCORES)
     ddl = (
         "struct<config: map<string,string>, n_judge_calls: bigint, strata: map<string,struct<n_total: bigint, n_scored: bigint, "

@@ -120,18 +120,27 @@ def _label(text: str) -> str:
     return text.strip(BLANKS).lower().replace("_", " ")
 
 
-def _graphs(fields: Sequence[pa.Array], n_obs: np.ndarray, n_inf: np.ndarray, synthesis: pa.Array, activity: pa.Array) -> pa.Array:
-    """Graphs of the fields of their nodes: four and one of observations, four of inferences."""
-    o, i = fields[:5], fields[5:]
+_NODE_FIELDS = (
+    (("id", _stripped), ("sensor", _lowered), ("temporal", _lowered), ("pattern", _stripped), ("confidence", _lowered)),
+    (("id", _stripped), ("based_on", _items), ("inference", _stripped), ("confidence", _lowered)),
+)
+_BRIEF = frozenset(("id", "sensor", "temporal", "based_on"))  # what matching needs once the requests are out
+
+
+def _cleaned(node: int, found: Sequence, brief: bool) -> dict[str, pa.Array]:
+    """Fields of observations (0) or inferences (1) as they stand in the graph."""
+    return {
+        name: _each(values, form, pa.list_(_STRING) if form is _items else _STRING)
+        for (name, form), values in zip(_NODE_FIELDS[node], found, strict=True) if not brief or name in _BRIEF
+    }
+
+
+def _graphs(
+    fields: Sequence[dict[str, pa.Array]], n_obs: np.ndarray, n_inf: np.ndarray, synthesis: pa.Array, activity: pa.Array
+) -> pa.Array:
+    """Graphs of the fields of their observations and of their inferences."""
     columns = {
-        "observations": _lists(n_obs.tolist(), {
-            "id": _each(o[0], _stripped), "sensor": _each(o[1], _lowered), "temporal": _each(o[2], _lowered),
-            "pattern": _each(o[3], _stripped), "confidence": _each(o[4], _lowered),
-        }),
-        "inferences": _lists(n_inf.tolist(), {
-            "id": _each(i[0], _stripped), "based_on": _each(i[1], _items, pa.list_(_STRING)),
-            "inference": _each(i[2], _stripped), "confidence": _each(i[3], _lowered),
-        }),
+        "observations": _lists(n_obs.tolist(), fields[0]), "inferences": _lists(n_inf.tolist(), fields[1]),
         "synthesis": synthesis, "activity": activity,
         "n_observations": pa.array(n_obs, pa.int32()), "n_inferences": pa.array(n_inf, pa.int32()),
         "parse_failed": pa.array(n_obs == 0, pa.bool_()),
@@ -139,7 +148,7 @@ def _graphs(fields: Sequence[pa.Array], n_obs: np.ndarray, n_inf: np.ndarray, sy
     return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _one_by_one(texts: pa.Array, keep_activity_case: bool) -> pa.Array:
+def _one_by_one(texts: pa.Array, keep_activity_case: bool, brief: bool = False) -> pa.Array:
     observations, inferences, syntheses, activities, n_obs, n_inf = [], [], [], [], [], []
     for text in texts.to_pylist():
         text = (text or "").strip(BLANKS)
@@ -152,15 +161,17 @@ def _one_by_one(texts: pa.Array, keep_activity_case: bool) -> pa.Array:
         syntheses.append(found and (_items(found[1]), _conclusion(found[2])))
         line = _ACTIVITY.search(text)
         activities.append(line and (_stripped if keep_activity_case else _label)(line[1]))
-    obs, inf = (list(zip(*nodes, strict=True)) or [()] * n for nodes, n in ((observations, 5), (inferences, 4)))
+    fields = [
+        _cleaned(n, list(zip(*nodes, strict=True)) or [()] * len(_NODE_FIELDS[n]), brief) for n, nodes in enumerate((observations, inferences))
+    ]
     missing = pa.array([x is None for x in syntheses], pa.bool_())
     synthesis = pa.StructArray.from_arrays(
         [pa.array([x and x[n] for x in syntheses], t) for n, t in ((0, pa.list_(_STRING)), (1, _STRING))],
         names=["based_on", "text"], mask=missing)
-    return _graphs([*obs, *inf], np.array(n_obs, np.int64), np.array(n_inf, np.int64), synthesis, pa.array(activities, _STRING))
+    return _graphs(fields, np.array(n_obs, np.int64), np.array(n_inf, np.int64), synthesis, pa.array(activities, _STRING))
 
 
-def _together(texts: pa.Array, keep_activity_case: bool) -> tuple[pa.Array, np.ndarray]:
+def _together(texts: pa.Array, keep_activity_case: bool, brief: bool = False) -> tuple[pa.Array, np.ndarray]:
     """Graphs of the plain texts, and which ones are plain."""
     pieces = pc.split_pattern(texts, "[")
     offsets = pieces.offsets.to_numpy().astype(np.int64)
@@ -177,25 +188,28 @@ def _together(texts: pa.Array, keep_activity_case: bool) -> tuple[pa.Array, np.n
     good, places, found = before.copy(), [], []
     for n, pattern in enumerate(_PLAIN):
         at = np.flatnonzero(kind == n)
-        match = pc.extract_regex(pieces.take(pa.array(at)), pattern)
-        fits = match.is_valid().to_numpy(zero_copy_only=False)
+        coded = pieces.take(pa.array(at)).dictionary_encode()  # blocks repeat in a batch; each different one is cut once
+        match, code = pc.extract_regex(coded.dictionary, pattern), coded.indices.to_numpy()
+        fits = match.is_valid().to_numpy(zero_copy_only=False)[code]
         if n != 2:  # a value that ends with the piece goes on behind the next bracket
-            ended = pc.binary_length(pc.struct_field(match, "end")).fill_null(0).to_numpy() > 0
+            ended = pc.binary_length(pc.struct_field(match, "end")).fill_null(0).to_numpy()[code] > 0
             fits = fits & (ended | last[at])
         good[at] = fits
         places.append(at)
-        found.append(match)
+        found.append((match, code))
     at = places[2]  # a synthesis goes on until an activity line
     good[at] &= last[at] | ((kind[np.minimum(at + 1, len(kind) - 1)] == 3) & good[np.minimum(at + 1, len(kind) - 1)])
     plain = np.bincount(text[~good], minlength=len(texts)) == 0
     columns, counts, firsts = [], [], []
-    for n, (at, match) in enumerate(zip(places, found, strict=True)):
+    for n, (at, (match, code)) in enumerate(zip(places, found, strict=True)):
         use = np.flatnonzero(plain[text[at]])
-        match = match.take(pa.array(use))
         if n < 2:
             counts.append(np.bincount(text[at[use]], minlength=len(texts))[plain])
-            columns.extend(match.field(f) for f in range(match.type.num_fields - 1))
+            code = pa.array(code[use])
+            values = [match.field(f).fill_null("") for f in range(match.type.num_fields - 1)]
+            columns.append({name: of.take(code) for name, of in _cleaned(n, values, brief).items()})
         else:
+            match = match.take(pa.array(code[use]))
             owner, first = np.unique(text[at[use]], return_index=True)
             index = np.full(len(texts), -1)
             index[owner] = first
@@ -211,15 +225,20 @@ def _together(texts: pa.Array, keep_activity_case: bool) -> tuple[pa.Array, np.n
 
 def _parse(texts: pa.Array, keep_activity_case: bool) -> pa.Array:
     """Graphs of a batch, column by column."""
+    return parsed(texts, keep_activity_case)[0]
+
+
+def parsed(texts: pa.Array, keep_activity_case: bool, brief: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """Graphs of a batch, and which texts are plain. A brief graph has only what ``_BRIEF`` names of its nodes."""
     texts = texts.cast(_STRING).fill_null("")
     if not len(texts):
-        return _one_by_one(texts, keep_activity_case)
-    graphs, plain = _together(texts, keep_activity_case)
+        return _one_by_one(texts, keep_activity_case, brief), np.zeros(0, bool)
+    graphs, plain = _together(texts, keep_activity_case, brief)
     if plain.all():
-        return graphs
-    rest = _one_by_one(texts.filter(pa.array(~plain)), keep_activity_case)
+        return graphs, plain
+    rest = _one_by_one(texts.filter(pa.array(~plain)), keep_activity_case, brief)
     order = np.where(plain, np.cumsum(plain) - 1, plain.sum() + np.cumsum(~plain) - 1)
-    return pa.concat_arrays([graphs, rest]).take(pa.array(order))
+    return pa.concat_arrays([graphs, rest]).take(pa.array(order)), plain
 
 
 @F.arrow_udf(GRAPH_TYPE)

@@ -95,26 +95,29 @@ def longest_first(classes: Sequence[str]) -> list[str]:
     return sorted(classes, key=lambda c: -len(c))
 
 
-def predicted_activity(text: Column | str, classes: Sequence[str] | Column) -> Column:
+def predicted_activity(text: Column | str, classes: Sequence[str] | Column, line: Column | str | None = None) -> Column:
     """Class named by an answer.
 
     The longest class equal to, or contained in, the activity line; else that line itself. Without a line the
     longest class contained in the whole text; else ``unknown``. Classes of equal length keep their order. A column of
-    classes, one list per row, has them longest first.
+    classes, one list per row, has them longest first. Where ``line`` has the activity line, the text is not read.
     """
     ordered = classes if isinstance(classes, Column) else strings(longest_first(classes))
 
     def first_in(haystack: Column) -> Column:
         return F.get(F.filter(ordered, lambda c: F.contains(haystack, c)), F.lit(0))
 
+    def from_line(line: Column) -> Column:
+        return let(normalise_label(line), lambda label: F.coalesce(first_in(label), F.when(label != "", label)))
+
     def build(t: Column) -> Column:
         whole = F.replace(F.lower(t), F.lit("_"), F.lit(" "))
-        from_line = lambda line: F.coalesce(first_in(line), F.when(line != "", line))
-        return F.when(t.rlike(ACTIVITY_LINE), let(normalise_label(activity_line(t)), from_line)).otherwise(
-            first_in(whole)
-        )
+        return F.when(t.rlike(ACTIVITY_LINE), from_line(activity_line(t))).otherwise(first_in(whole))
 
-    return F.coalesce(let(F.coalesce(as_column(text), F.lit("")), build), F.lit("unknown"))
+    found = let(F.coalesce(as_column(text), F.lit("")), build)
+    if line is not None:
+        found = F.when(as_column(line).isNotNull(), from_line(as_column(line))).otherwise(found)
+    return F.coalesce(found, F.lit("unknown"))
 
 
 def verdict_of(response: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from reasonmill.functions.text import predicted_activity
 from reasonmill.operators import matching, vocabulary
@@ -45,3 +46,18 @@ def scores_of_datasets(
         return matching.score(matching.with_lexical_verdicts(prepared, tolerance=tolerance))
     slim = matching.without_text(prepared, keys)
     return matching.score(matching.with_verdict_table(slim, verdicts, keys, relaxed, tolerance))
+
+
+def coded_samples(
+    rows: DataFrame, dataset: Dataset, keys: Sequence[str] = ("sample_id",), open_sensors: Sequence[str] | None = None
+) -> DataFrame:
+    """Samples read once, as integers, for ``sample_scores``; their class is read off the generated text."""
+    read = matching.coded(rows, {"": dataset.sensors}, keys, open_sensors=open_sensors)
+    return read.withColumn("predicted_activity", predicted_activity("rest", dataset.classes, "line")).drop("line", "rest")
+
+
+def sample_scores(
+    coded: DataFrame, verdicts: DataFrame, keys: Sequence[str] = ("sample_id",), relaxed: bool = False, tolerance: int = 1
+) -> DataFrame:
+    """``scores`` of coded samples: the same scores, without the matches."""
+    return matching.with_scores(matching.counted(coded, verdicts, keys, relaxed, tolerance))
