@@ -665,8 +665,8 @@ def _tagged(rows: DataFrame) -> DataFrame:
 
 def dataset_match_summary(spark: SparkSession, d: str) -> DataFrame:
     verdicts = _tagged(_verdicts(spark, d))
-    scored = match.scores_of_datasets(_tagged(_eval_rows(spark, d)), verdicts)
-    return matching.summary(scored, ["dataset"])
+    samples = match.coded_samples_of_datasets(_tagged(_eval_rows(spark, d)))
+    return matching.summary(match.sample_scores(samples, verdicts, ("dataset", "sample_id")), ["dataset"])
 
 
 def dataset_node_rates(spark: SparkSession, d: str) -> DataFrame:

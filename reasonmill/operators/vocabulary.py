@@ -18,6 +18,7 @@ _FIELDS = (
     "classes array<string>, longest array<string>, sensors array<string>, terms array<string>, "
     "names struct<exact:map<string,string>,known:map<string,string>>"
 )
+_NAMES = ("classes", "longest", "sensors", "terms", "names")
 
 
 def _entry(d: registry.Dataset) -> tuple:
@@ -31,12 +32,14 @@ def dimension(spark: SparkSession, datasets: Sequence[registry.Dataset] | None =
     return spark.createDataFrame([(d.name.lower(), *_entry(d)) for d in entries], f"dataset string, {_FIELDS}")
 
 
-def with_vocabulary(rows: DataFrame, datasets: Sequence[registry.Dataset] | None = None) -> DataFrame:
+def with_vocabulary(
+    rows: DataFrame, datasets: Sequence[registry.Dataset] | None = None, fields: Sequence[str] = ("*",)
+) -> DataFrame:
     """Adds the struct ``vocabulary`` of each row's ``dataset``, whatever its case; what ``datasets`` gives stands in for the
-    registry, and unknown or missing names have the defaults."""
+    registry, and unknown or missing names have the defaults. With ``fields`` only these lists."""
     spark = rows.sparkSession
-    known = dimension(spark, datasets).withColumnRenamed("dataset", "_dataset")
-    defaults = spark.createDataFrame([_entry(registry.Dataset(""))], _FIELDS).select(F.struct("*").alias("_default"))
+    known = dimension(spark, datasets).select(F.col("dataset").alias("_dataset"), *fields if "*" not in fields else _NAMES)
+    defaults = spark.createDataFrame([_entry(registry.Dataset(""))], _FIELDS).select(F.struct(*fields).alias("_default"))
     entries = known.select("_dataset", F.struct(*[f"`{c}`" for c in known.columns[1:]]).alias(COLUMN))
     small = (len(registry.DATASETS) if datasets is None else len(datasets)) <= BROADCAST_DATASETS
     joined = rows.join(F.broadcast(entries) if small else entries, F.lower("dataset") == F.col("_dataset"), "left")
@@ -44,5 +47,11 @@ def with_vocabulary(rows: DataFrame, datasets: Sequence[registry.Dataset] | None
     return filled.withColumn(COLUMN, F.coalesce(COLUMN, "_default")).drop("_dataset", "_default")
 
 
+def sensors_by_name(datasets: Sequence[registry.Dataset] | None = None) -> dict[str, tuple[str, ...]]:
+    """Sensors by lower-cased name of the dataset, and the defaults by ""."""
+    entries = registry.DATASETS.values() if datasets is None else datasets
+    return {"": tuple(registry.Dataset("").sensors)} | {d.name.lower(): tuple(d.sensors) for d in entries}
+
+
 def field(name: str) -> Column:
     return F.col(f"{COLUMN}.{name}")

@@ -56,6 +56,16 @@ def coded_samples(
     return read.withColumn("predicted_activity", predicted_activity("rest", dataset.classes, "line")).drop("line", "rest")
 
 
+def coded_samples_of_datasets(
+    rows: DataFrame, keys: Sequence[str] = ("dataset", "sample_id"), datasets: Sequence[Dataset] | None = None
+) -> DataFrame:
+    """``coded_samples`` for rows of several datasets at once, each with the classes and sensors of its own ``dataset``."""
+    read = matching.coded(rows, vocabulary.sensors_by_name(datasets), keys, F.lower("dataset"))
+    tagged = vocabulary.with_vocabulary(read, datasets, ("longest",))
+    named = predicted_activity("rest", vocabulary.field("longest"), "line")
+    return tagged.withColumn("predicted_activity", named).drop("line", "rest", vocabulary.COLUMN)
+
+
 def sample_scores(
     coded: DataFrame, verdicts: DataFrame, keys: Sequence[str] = ("sample_id",), relaxed: bool = False, tolerance: int = 1
 ) -> DataFrame:
