@@ -47,10 +47,11 @@ def with_vocabulary(
     return filled.withColumn(COLUMN, F.coalesce(COLUMN, "_default")).drop("_dataset", "_default")
 
 
-def sensors_by_name(datasets: Sequence[registry.Dataset] | None = None) -> dict[str, tuple[str, ...]]:
-    """Sensors by lower-cased name of the dataset, and the defaults by ""."""
+def by_name(datasets: Sequence[registry.Dataset] | None = None) -> dict[str, tuple[Sequence[str], Sequence[str]]]:
+    """Sensors, and classes with the longest first, by lower-cased name of the dataset, and the defaults by ""."""
     entries = registry.DATASETS.values() if datasets is None else datasets
-    return {"": tuple(registry.Dataset("").sensors)} | {d.name.lower(): tuple(d.sensors) for d in entries}
+    lists = lambda d: (tuple(d.sensors), _entry(d)[1])
+    return {"": lists(registry.Dataset(""))} | {d.name.lower(): lists(d) for d in entries}
 
 
 def field(name: str) -> Column:

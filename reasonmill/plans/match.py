@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reasonmill.functions.text import predicted_activity
+from reasonmill.functions.text import longest_first, predicted_activity
 from reasonmill.operators import matching, vocabulary
 from reasonmill.registry import Dataset
 
@@ -52,18 +52,22 @@ def coded_samples(
     rows: DataFrame, dataset: Dataset, keys: Sequence[str] = ("sample_id",), open_sensors: Sequence[str] | None = None
 ) -> DataFrame:
     """Samples read once, as integers, for ``sample_scores``; their class is read off the generated text."""
-    read = matching.coded(rows, {"": dataset.sensors}, keys, open_sensors=open_sensors)
-    return read.withColumn("predicted_activity", predicted_activity("rest", dataset.classes, "line")).drop("line", "rest")
+    ordered = longest_first(dataset.classes)
+    read = matching.coded(rows, {"": (dataset.sensors, ordered)}, keys, open_sensors=open_sensors)
+    return _with_label(read, predicted_activity("rest", ordered))
 
 
 def coded_samples_of_datasets(
     rows: DataFrame, keys: Sequence[str] = ("dataset", "sample_id"), datasets: Sequence[Dataset] | None = None
 ) -> DataFrame:
     """``coded_samples`` for rows of several datasets at once, each with the classes and sensors of its own ``dataset``."""
-    read = matching.coded(rows, vocabulary.sensors_by_name(datasets), keys, F.lower("dataset"))
+    read = matching.coded(rows, vocabulary.by_name(datasets), keys, F.lower("dataset"))
     tagged = vocabulary.with_vocabulary(read, datasets, ("longest",))
-    named = predicted_activity("rest", vocabulary.field("longest"), "line")
-    return tagged.withColumn("predicted_activity", named).drop("line", "rest", vocabulary.COLUMN)
+    return _with_label(tagged, predicted_activity("rest", vocabulary.field("longest"))).drop(vocabulary.COLUMN)
+
+
+def _with_label(read: DataFrame, of_rest: Column) -> DataFrame:
+    return read.withColumn("predicted_activity", F.coalesce("label", of_rest)).drop("label", "rest")
 
 
 def sample_scores(
