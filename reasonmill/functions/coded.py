@@ -247,6 +247,8 @@ def counted_batches(
         table = table.combine_chunks()
         starts = key_starts(table, keys)
         last = int(starts[-1]) if len(starts) else 0
+        if len(starts) and any(column_of(table, k)[last].as_py() is None for k in keys):
+            last, starts = table.num_rows, np.append(starts, table.num_rows)  # no verdict has such a key
         yield from _counted(table.slice(0, last), starts[:-1], carried, relaxed, tolerance)
         waiting = _merged(table.slice(last))
     if waiting is not None:

@@ -120,14 +120,14 @@ def test_a_key_goes_on_over_batches_and_keeps_one_verdict_of_each_pair():
     sample = lambda key, n: (key, None, np.array([n, 1, 0, 0, 0, *side(n), *side(1)], np.int32).tobytes(), None, False)
     code = lambda i, j, rank: ((matches.PAIR_BASE + i) * matches.PAIR_BASE + j) * coded.RANKS + rank
     answer = lambda key, *codes: (key, None, None, np.array(codes, np.int64).tobytes(), True)
-    rows = [sample(None, 1), sample("a", 2), answer("a", code(0, 0, 1), code(7, 7, 2)), answer("a", code(1, 0, 0)), answer("a", code(0, 0, 2)),
+    rows = [sample(None, 1), sample(None, 2), sample(None, 1), sample("a", 2), answer("a", code(0, 0, 1), code(7, 7, 2)), answer("a", code(1, 0, 0)), answer("a", code(0, 0, 2)),
             answer("a", code(1, 0, 1)), answer("b", code(0, 0, 2)), answer("b"), sample("c", 1), sample("c", 1), sample("d", 1), answer("d", code(0, 0, 2))]
     for size in (1, 2, 3, 5, 100):
         batches = [
             pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[n : n + size]], schema) for n in range(0, len(rows), size)
         ]
         got = [r for b in coded.counted_batches(batches, ("sample_id",), ("sample_id",), False, 1) for r in b.to_pylist()]
-        assert [(r["sample_id"], r["n_gt_obs"], r["obs_hits"]) for r in got] == [(None, 1, 0), ("a", 2, 1), ("c", 1, 0), ("c", 1, 0), ("d", 1, 1)]
+        assert [(r["sample_id"], r["n_gt_obs"], r["obs_hits"]) for r in got] == [(None, 1, 0), (None, 2, 0), (None, 1, 0), ("a", 2, 1), ("c", 1, 0), ("c", 1, 0), ("d", 1, 1)]
 
 
 def test_work_in_parts_gives_the_same(monkeypatch, spark):
